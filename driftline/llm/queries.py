@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, secrets
+from . import pii, secrets, simhash
 from .common import table
 
 
@@ -16,7 +16,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op9_simhash": op9_simhash,
     "op3_pii": op3_pii,
     "op10_secrets": op10_secrets,
 }
