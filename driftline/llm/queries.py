@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import pii, secrets, simhash
-from .common import table
+from . import pii, secrets, simhash, toxicity
+from .common import bucket, table
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +21,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learned = labels.filter(bucket(F.col("doc_id"), 3) != 1).select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs.select("doc_id", "text").join(learned, "doc_id"))
+    return toxicity.toxicity_scores(docs, model).select(
+        "doc_id",
+        (bucket(F.col("doc_id"), 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
     "op9_simhash": op9_simhash,
     "op3_pii": op3_pii,
     "op10_secrets": op10_secrets,
