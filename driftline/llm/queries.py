@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, secrets, simhash, toxicity
+from . import language, pii, secrets, simhash, tokens, toxicity
 from .common import bucket, table
 
 
@@ -33,7 +33,21 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_digest(table(spark, sf_dir, "documents"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(bucket(F.col("doc_id"), 5) != 0))
+    return language.identify(docs, model).select(
+        "doc_id", (bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score"
+    )
+
+
 QUERIES = {
+    "op1_tokens": op1_tokens,
+    "op8_language": op8_language,
     "op5_toxicity": op5_toxicity,
     "op9_simhash": op9_simhash,
     "op3_pii": op3_pii,
