@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, pii, secrets, simhash, tokens, toxicity
+from . import language, packing, pii, secrets, simhash, templates, tokens, toxicity
 from .common import bucket, table
 
 
@@ -45,7 +45,17 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_lengths(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op6_packing": op6_packing,
     "op1_tokens": op1_tokens,
     "op8_language": op8_language,
     "op5_toxicity": op5_toxicity,
