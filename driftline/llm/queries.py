@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, pii, secrets, simhash, templates, tokens, toxicity
+from . import hilbert, language, packing, pii, secrets, simhash, templates, tokens, toxicity, warc
 from .common import bucket, table
 
 
@@ -53,7 +53,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_lengths(table(spark, sf_dir, "documents")))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_digest(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op4_neighbours": op4_neighbours,
+    "op7_warc": op7_warc,
     "op2_decontamination": op2_decontamination,
     "op6_packing": op6_packing,
     "op1_tokens": op1_tokens,
@@ -64,4 +74,15 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f
+    """,
+}
