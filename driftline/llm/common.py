@@ -5,12 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a small side may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 200_000
+#: Rows with texts that a worker turns into Python objects at once.
+ROWS = 500
 
 _scratch: list[tuple[SparkSession, str, str]] = []
 
@@ -78,8 +82,11 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
-def text_or_empty(df: DataFrame, text: str = "text"):
-    return F.coalesce(F.col(text), F.lit(""))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches a few rows at a time, so that what a worker makes of their texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def bucket(column, modulus: int):

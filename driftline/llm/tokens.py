@@ -18,14 +18,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import scratch_path, slices
 
 END_ID = 1
 ROW_GROUP_BYTES = 16 << 20
 PAGE_ROWS = 2_000
-#: Words whose ids a worker remembers; longer words are encoded each time.
+#: Words whose ids a worker remembers, twice over: a full generation becomes the old one.
 REMEMBERED = 400_000
+#: Longer words are encoded each time.
 LONGEST = 64
+#: Marks that end a word and never join what stands before them.
+MARKS = frozenset(b".,;:!?")
 
 
 def default_tokenizer() -> str:
@@ -37,34 +40,54 @@ def default_tokenizer() -> str:
 class WordIds(dict):
     """word (UTF-8) -> its ids as little-endian unsigned 32-bit integers.
 
-    For tokenizers that drop white space and never join what it separates, as word_bpe does: the ids
-    of a text are then those of its words, one after the other, and each word needs encoding once.
+    For tokenizers that lower-case, drop white space and never join what it separates, as word_bpe
+    does: the ids of a text are then those of its words, one after the other, and each word needs
+    encoding once. A mark after a letter or digit is a token of its own there as well.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.old: dict[bytes, bytes] = {}
         self.encode = Tokenizer.from_file(path).encode
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) > 1 and word[-1] in MARKS and word[-2] < 128 and chr(word[-2]).isalnum():
+            return self[word[:-1]] + self[word[-1:]]
+        ids = self.old.get(word)
+        if ids is None:
+            ids = np.array(self.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
     def text(self, text: str | None) -> bytes:
+        raw = (text or "").encode("utf-8")
+        if b"<|" not in raw:  # special tokens are told by their case
+            raw = raw.lower()
         # bytes.split takes ASCII white space only; whatever other space there is stays in a word, for the tokenizer
-        return b"".join(map(self.__getitem__, (text or "").encode("utf-8").split()))
+        return b"".join(map(self.__getitem__, raw.split()))
+
+
+_loaded: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The tokenizer's words, kept by the worker process from task to task."""
+    if path not in _loaded:
+        _loaded[path] = WordIds(path)
+    return _loaded[path]
 
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(path), np.array([end_id], "<u4").tobytes()
+        words, end = word_ids(path), np.array([end_id], "<u4").tobytes()
         part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             raw = [words.text(t.as_py()) + end for t in batch.column(1)]
             n = np.array([len(r) // 4 for r in raw], np.int64)
             ends = np.cumsum(n)
