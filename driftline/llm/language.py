@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Labelled rows of each language that the model is fitted on, in expectation; a quarter of them give the temperature.
 ROWS_PER_LANGUAGE = 1_500
 #: Hash buckets of the n-grams of each order, and the orders.
@@ -141,7 +143,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = [], np.zeros(batch.num_rows)
             for i, item in enumerate(batch.column(0)):
                 found = item.as_py()

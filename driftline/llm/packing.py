@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .tokens import WordIds, default_tokenizer
+from .common import materialize, slices
+from .tokens import default_tokenizer, word_ids
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: What a sequence costs besides its tokens and padding, in tokens.
@@ -86,8 +86,8 @@ def token_lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
-        for batch in batches:
+        words = word_ids(path)
+        for batch in slices(batches):
             n = [len(words.text(t.as_py())) // 4 + 1 for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
@@ -129,9 +129,10 @@ def pack(
     """
     most = max(capacities)
     size = F.col(f"`{n_tokens}`").cast("long")
+    rows = lengths.select(F.col(f"`{doc_id}`").alias("doc_id"), size.alias("n")).filter(F.col("n") > 0)
+    # ranges are taken from a sample and then dealt: two reads, of the lengths and not of the texts
     pieces = (
-        lengths.select(F.col(f"`{doc_id}`").alias("doc_id"), size.alias("n"))
-        .filter(F.col("n") > 0)
+        materialize(rows, "lengths", tag)
         .select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / most).cast("int") - 1)).alias("piece"))
         .select(
             "doc_id",

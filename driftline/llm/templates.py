@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side
+from .common import materialize, slices, small_side
 
 #: Template tokens of a window; shorter items have one window of all their tokens.
 WINDOW = 8
@@ -88,7 +88,7 @@ def _windows(sizes: list[int] | None, known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Hashes()
         keep = None if known is None else known.value
-        for batch in batches:
+        for batch in slices(batches):
             ids, hashes, places, lengths, numbers, slots = [], [], [], [], [], []
             for own, item in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tokens, values = template(item.as_py())

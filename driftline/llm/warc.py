@@ -23,7 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import materialize, scratch_path, slices
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
@@ -171,7 +171,7 @@ def write_warc(
         fs.create_dir(where, recursive=True)
         name = f"{uuid.uuid4().hex}.warc.gz"
         out, size, n = None, 0, 0
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 out = out or fs.open_output_stream(f"{where}/.{name}", compression=None)
                 data = member(record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"]))
