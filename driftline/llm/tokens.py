@@ -24,7 +24,7 @@ END_ID = 1
 ROW_GROUP_BYTES = 16 << 20
 PAGE_ROWS = 2_000
 #: Words whose ids a worker remembers, twice over: a full generation becomes the old one.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: Longer words are encoded each time.
 LONGEST = 64
 #: Marks that end a word and never join what stands before them.
