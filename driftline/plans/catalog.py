@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.operators import discovery, effects, network, secondary, windows
+from driftline.operators import discovery, effects, network, robustness, secondary, windows
 from driftline.plans.planner import evaluate
 from driftline.sources import adapters as a
+from driftline.sources import simulators
+from driftline.streaming.ingest import windowed_reducers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -604,3 +606,56 @@ def single_graph(spark, sf_dir):
 def negative_control(spark, sf_dir):
     s, pairs = _series(spark, sf_dir)
     return secondary.negative_control(s, pairs, _LAG, 0.5, 0.9, 20, 0.1, 5, 12)
+
+
+# ---- robustness, simulators, windows of time -------------------------------------------------
+
+
+@query("noise_robustness")
+def noise_robustness(spark, sf_dir):
+    s, pairs = _series(spark, sf_dir)
+    return discovery.bootstrap_graph(robustness.add_noise(s, 0.2, 0), pairs, _LAG, 0.5, 0.9, 20, 0.2)[0]
+
+
+@query("missing_robustness")
+def missing_robustness(spark, sf_dir):
+    s, pairs = _series(spark, sf_dir)
+    return discovery.bootstrap_graph(robustness.drop_values(s, 0.1, 0), pairs, _LAG, 0.5, 0.9, 20, 0.2)[0]
+
+
+@query("data_efficiency")
+def data_efficiency(spark, sf_dir):
+    s, pairs = _series(spark, sf_dir)
+    return discovery.bootstrap_graph(robustness.subset(s, 5, 0), pairs, _LAG, 0.5, 0.9, 20, 0.2)[0]
+
+
+@query("corrupted_candidates")
+def corrupted_candidates(spark, sf_dir):
+    s, pairs = _series(spark, sf_dir)
+    out, added = robustness.corrupt(pairs, "redundant_semantic_indicator", 0.1, 0)
+    return discovery.point_graph(robustness.add_series(s, added, 0), out, _LAG, 0.5, 0.9)
+
+
+@query("simulated_segregation")
+def simulated_segregation(spark, sf_dir):
+    tasks = simulators.task_matrix({"tolerance": (0.2, 0.4, 0.6)}, range(3), doses=2)
+    runs = simulators.simulate(spark, "segregation", tasks, {"steps": 12, "side": 9, "agents": 60})
+    return runs.groupBy("condition", "seed", "time").agg(F.avg("similarity").alias("similarity"), F.avg(F.col("unhappy").cast("double")).alias("unhappy"))
+
+
+@query("simulated_opinions")
+def simulated_opinions(spark, sf_dir):
+    tasks = simulators.task_matrix({"bound": (0.2, 0.4, 0.6), "rate": (0.1, 0.3, 0.5)}, range(2), doses=2)
+    runs = simulators.simulate(spark, "opinions", tasks, {"steps": 10, "agents": 24, "degree": 4})
+    return runs.groupBy("condition", "seed", "time").agg(F.stddev_pop("opinion").alias("spread"), F.avg(F.col("accepted").cast("double")).alias("accepted"))
+
+
+@query(
+    "windowed_reducers",
+    """SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, round(avg(value), 6) + 0.0 AS mean, round(sum(value), 6) + 0.0 AS sum, count(value) AS count,
+     round(var_pop(value), 6) + 0.0 AS variance, round(stddev_pop(value), 6) + 0.0 AS std FROM events GROUP BY 1, 2""",
+)
+def daily_reducers(spark, sf_dir):
+    e = a.read(spark, sf_dir, "events")
+    found = windowed_reducers(e.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value")
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
