@@ -181,3 +181,144 @@ def negative_control(
     turned = circular_shift(series.filter(F.col("node_id").isin(parents)).select("seed", "node_id", "time", "value"), ["seed", "node_id"], "value", shifts)
     rest = series.filter(~F.col("node_id").isin(parents)).select("seed", "node_id", "time", "value")
     return discovery.bootstrap_graph(turned.unionByName(rest), pairs, lag, parent_alpha, fdr_alpha, replicates, support, master, f"negative:{repetition}")[0]
+
+
+def bootstrap_mean(values: DataFrame, keys, value: str, replicates: int, level: float, master: int, label: str) -> DataFrame:
+    """keys, mean, low, high: percentile bounds of the mean over resamples of the rows' seeds.
+
+    values has one row for each (keys, seed), with the same seeds in every group. The draws are a
+    table of replicates x seeds counts, joined on seed: no group is gathered.
+    """
+    import numpy as np
+
+    from driftline.functions.stats import draws
+
+    spark = values.sparkSession
+    seeds = sorted(r["seed"] for r in values.select("seed").distinct().collect())
+    table = []
+    for r, row in enumerate(draws(master, label, replicates, len(seeds)) if seeds else []):
+        table += [(r, seeds[i], float(n)) for i, n in zip(*np.unique(row, return_counts=True), strict=True)]
+    weights = F.broadcast(spark.createDataFrame(table, f"replicate int, seed {values.schema['seed'].dataType.simpleString()}, w double"))
+    a = (1 - level) / 2
+    means = values.join(weights, "seed").groupBy(*keys, "replicate").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("_m"))
+    bounds = means.groupBy(*keys).agg(F.percentile("_m", F.lit(a)).alias("low"), F.percentile("_m", F.lit(1 - a)).alias("high"))
+    return values.groupBy(*keys).agg(F.avg(value).alias("mean")).join(bounds, list(keys))
+
+
+def dose_effects(runs: DataFrame, keys, base: float, evaluation_start: int) -> DataFrame:
+    """keys, dose, seed, effect, standardised: mean difference from the base dose of the same seed and time.
+
+    runs: keys, dose, seed, time, value. standardised is over the spread of the base dose's values;
+    missing without one.
+    """
+    late = runs.filter(F.col("time") >= evaluation_start)
+    centre = late.filter(F.col("dose") == base).select(*keys, "seed", "time", F.col("value").alias("_b"))
+    spread = centre.groupBy(*keys).agg(F.stddev_samp("_b").alias("_sd"))
+    per = late.join(centre, [*keys, "seed", "time"]).groupBy(*keys, "dose", "seed").agg(F.avg(F.col("value") - F.col("_b")).alias("effect"))
+    return per.join(spread, list(keys)).select(*keys, "dose", "seed", "effect", F.when(F.col("_sd") > TINY, F.col("effect") / F.col("_sd")).alias("standardised"))
+
+
+def path_timing(qualified: DataFrame, effects: DataFrame, tolerance: int) -> DataFrame:
+    """path_id, scale, node_id, onset_time, observational_lag, response_delay, lag_difference, concordant of qualified paths.
+
+    Paths for which one of the three nodes has no effect row are left out. Timing decides nothing.
+    """
+    own = qualified.filter("path_temporally_qualified").select("path_id", "parameter", "direction", "micro", "meso", "macro", "micro_meso_lag", "meso_macro_lag")
+    rows = own.select(
+        "path_id", "parameter", "direction",
+        F.explode(
+            F.array(
+                F.struct(F.lit("micro").alias("scale"), F.col("micro").alias("node_id"), F.lit(0).alias("_k"), F.lit(None).cast("int").alias("observational_lag")),
+                F.struct(F.lit("meso").alias("scale"), F.col("meso").alias("node_id"), F.lit(1).alias("_k"), F.col("micro_meso_lag").cast("int").alias("observational_lag")),
+                F.struct(F.lit("macro").alias("scale"), F.col("macro").alias("node_id"), F.lit(2).alias("_k"), F.col("meso_macro_lag").cast("int").alias("observational_lag")),
+            )
+        ).alias("s"),
+    ).select("path_id", "parameter", "direction", "s.*")
+    found = rows.join(effects.select("parameter", "direction", "node_id", "onset_time", "significant", "cumulative_effect_standardised"), ["parameter", "direction", "node_id"])
+    part = Window.partitionBy("path_id", "parameter", "direction")
+    before = F.lag("onset_time").over(part.orderBy("_k"))
+    delay = F.when((F.col("onset_time") >= 0) & (before >= 0), F.col("onset_time") - before)
+    return (
+        found.withColumns({"_n": F.count("*").over(part), "response_delay": delay})
+        .filter("_n = 3")
+        .withColumn("lag_difference", F.col("response_delay") - F.col("observational_lag"))
+        .withColumn("concordant", F.abs("lag_difference") <= tolerance)
+        .drop("_n")
+    )
+
+
+def propagating_paths(timing: DataFrame, evidence: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
+    """path_id of paths whose three responses are significant, in order of onset, and whose edges are supported.
+
+    timing: path_timing(). evidence: parameter, direction, root, source, target, edge_class; paths:
+    path_id, parameter, direction, micro, meso, macro. Without evidence the timing alone decides.
+    """
+    good = (
+        timing.groupBy("path_id", "parameter", "direction")
+        .agg(
+            F.count("*").alias("n"),
+            F.min("significant").alias("all"),
+            F.min("onset_time").alias("first"),
+            F.array_sort(F.collect_list(F.struct("_k", "onset_time"))).alias("o"),
+        )
+        .filter((F.col("n") == 3) & F.col("all") & (F.col("first") >= 0) & (F.col("o")[0]["onset_time"] <= F.col("o")[1]["onset_time"]) & (F.col("o")[1]["onset_time"] <= F.col("o")[2]["onset_time"]))
+        .select("path_id", "parameter", "direction")
+    )
+    if evidence is None:
+        return good.select("path_id").distinct()
+    own = evidence.filter("edge_class = 'supported'")
+    steps = good.join(paths, ["path_id", "parameter", "direction"])
+    for a, b in (("micro", "meso"), ("meso", "macro")):
+        edge = own.select("parameter", "direction", F.col("root").alias("micro"), F.col("source").alias(f"_{a}"), F.col("target").alias(b))
+        edge = edge.withColumnRenamed("_meso", "meso") if a == "meso" else edge.filter("_micro = micro").drop("_micro")
+        steps = steps.join(edge.distinct(), [c for c in edge.columns if c in steps.columns], "left_semi")
+    return steps.select("path_id").distinct()
+
+
+def representatives(paths: DataFrame, by) -> DataFrame:
+    """by, path_id: a supported and confirmed path before a supported one, then the first by path_id; else missing.
+
+    paths: by, path_id, path_classification, confirmation.
+    """
+    supported = F.col("path_classification") == "supported"
+    key = F.struct((F.col("confirmation") != "confirmed").alias("a"), F.col("path_id").alias("b"))
+    return paths.groupBy(*by).agg(F.min(F.when(supported, key)).alias("_k")).select(*by, F.col("_k.b").alias("path_id"), (~F.col("_k.a")).alias("confirmed"))
+
+
+def bidirectional(effects: DataFrame, keys, measures=("cumulative_effect_standardised", "onset_time", "significant")) -> DataFrame:
+    """keys and a column direction_scale_measure for each: effects of both directions and all scales side by side.
+
+    Without a row an effect is missing, an onset -1 and a significance false.
+    """
+    rest = {"onset_time": F.lit(-1), "significant": F.lit(False)}
+    cols = []
+    for d in ("minus", "plus"):
+        for s in ("micro", "meso", "macro"):
+            for m in measures:
+                c = F.max(F.when((F.col("direction") == d) & (F.col("scale") == s), F.col(m)))
+                cols.append((F.coalesce(c, rest[m]) if m in rest else c).alias(f"{d}_{s}_{m}"))
+    return effects.groupBy(*keys).agg(*cols)
+
+
+def node_means(series: DataFrame, keys, condition: str = "condition", baseline: str = "baseline", disabled: str = "mechanism_disabled") -> DataFrame:
+    """keys, baseline, disabled, difference: means of a node under both conditions."""
+    of = lambda c: F.avg(F.when(F.col(condition) == c, F.col("value")))
+    return series.groupBy(*keys).agg(of(baseline).alias("baseline"), of(disabled).alias("disabled")).withColumn("difference", F.col("disabled") - F.col("baseline"))
+
+
+def intervention_recovery(truth: DataFrame, eligible: DataFrame, supported: DataFrame) -> DataFrame:
+    """precision, recall, eligible_recall of supported edges (source, target): recall over all true edges and over eligible ones."""
+    flag = lambda df, n: df.select("source", "target", F.lit(True).alias(n)).distinct()
+    on = ["source", "target"]
+    j = flag(truth, "t").join(flag(eligible, "e"), on, "full").join(flag(supported, "s"), on, "full")
+    yes = lambda *names: F.count_if(F.coalesce(F.expr(" AND ".join(names)), F.lit(False)))
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    return j.agg(share(yes("t", "s"), yes("s")).alias("precision"), share(yes("t", "s"), yes("t")).alias("recall"), share(yes("t", "e", "s"), yes("t", "e")).alias("eligible_recall"))
+
+
+def prospective(predictions: DataFrame, paths: DataFrame) -> DataFrame:
+    """predictions (prediction_id, path_id) with the classification of their path; each prediction has one path."""
+    repeated = predictions.groupBy("prediction_id").count().filter("count > 1")
+    if not repeated.isEmpty():
+        raise ValueError("a prediction has several paths")
+    return predictions.join(paths.select("path_id", "path_classification"), "path_id", "left").withColumn("path_classification", F.coalesce("path_classification", F.lit("inconclusive")))

@@ -567,6 +567,94 @@ def pivot_conditions(spark, sf_dir):
     return a.flag_runs(spark, sf_dir).groupBy("node_id", F.col("time").cast("long").alias("time")).pivot("direction", ["A", "N", "R"]).agg(F.avg("value"))
 
 
+@query(
+    "path_timing",
+    f"""WITH {_CLASSIFIED}, lagged AS (SELECT q.*, (SELECT lag FROM edges e WHERE e.source = micro AND e.target = meso AND e.grp = q.grp) AS l1, (SELECT lag FROM edges e WHERE e.source = meso AND e.target = macro AND e.grp = q.grp) AS l2 FROM q WHERE qualified),
+     three AS (SELECT l.*, a.onset AS o1, b.onset AS o2, c.onset AS o3 FROM lagged l JOIN eff a ON a.parameter = l.parameter AND a.direction = l.direction AND a.node_id = micro
+       JOIN eff b ON b.parameter = l.parameter AND b.direction = l.direction AND b.node_id = meso JOIN eff c ON c.parameter = l.parameter AND c.direction = l.direction AND c.node_id = macro),
+     flat AS (SELECT *, concat_ws(':', parameter, direction, micro, meso, macro) AS path_id FROM three)
+     SELECT path_id, 'micro' AS scale, o1 AS onset_time, CAST(NULL AS INTEGER) AS response_delay, CAST(NULL AS BOOLEAN) AS concordant FROM flat
+     UNION ALL SELECT path_id, 'meso', o2, CASE WHEN o1 >= 0 AND o2 >= 0 THEN o2 - o1 END, CASE WHEN o1 >= 0 AND o2 >= 0 THEN abs(o2 - o1 - l1) <= 2 END FROM flat
+     UNION ALL SELECT path_id, 'macro', o3, CASE WHEN o2 >= 0 AND o3 >= 0 THEN o3 - o2 END, CASE WHEN o2 >= 0 AND o3 >= 0 THEN abs(o3 - o2 - l2) <= 2 END FROM flat""",
+)
+def path_timing(spark, sf_dir):
+    eff, _, _, _ = _decision_inputs(spark, sf_dir)
+    qualified, _ = _classified(spark, sf_dir)
+    return secondary.path_timing(qualified, eff, 2).select("path_id", "scale", "onset_time", "response_delay", "concordant")
+
+
+@query("propagating_paths")
+def propagating_paths(spark, sf_dir):
+    eff, _, _, tried = _decision_inputs(spark, sf_dir)
+    qualified, _ = _classified(spark, sf_dir)
+    evidence = effects.edge_evidence(tried.filter("root IS NOT NULL"), ["parameter", "direction", "root", "source", "target"])
+    paths = qualified.select("path_id", "parameter", "direction", "micro", "meso", "macro")
+    return secondary.propagating_paths(secondary.path_timing(qualified, eff, 2), evidence, paths)
+
+
+@query(
+    "representative_paths",
+    f"""WITH {_CLASSIFIED}, v AS (SELECT *, concat_ws(':', parameter, direction, micro, meso, macro) AS path_id, direction = 'plus' AS confirmed FROM verdict),
+     r AS (SELECT *, row_number() OVER (PARTITION BY parameter ORDER BY confirmed DESC, path_id) AS k FROM v WHERE cls2 = 'supported')
+     SELECT p.parameter, r.path_id, r.confirmed FROM (SELECT DISTINCT parameter FROM v) p LEFT JOIN r ON r.parameter = p.parameter AND k = 1""",
+)
+def representative_paths(spark, sf_dir):
+    v = _classified(spark, sf_dir)[1].withColumn("confirmation", F.when(F.col("direction") == "plus", "confirmed").otherwise("inconclusive"))
+    return secondary.representatives(v, ["parameter"])
+
+
+@query(
+    "bidirectional_summary",
+    f"""WITH {_ATTEMPTS.split(", edges(")[0]}, r(node_id, scale) AS (VALUES {_values([(k, v) for k, v in _ROLES.items() if k in ("v0", "v2", "v4")])}), e AS (SELECT * FROM eff JOIN r USING (node_id))
+     SELECT parameter, {", ".join(f"round(max(effect) FILTER (direction = '{d}' AND scale = '{s}'), 6) + 0.0 AS {d}_{s}_cumulative_effect_standardised, coalesce(max(onset) FILTER (direction = '{d}' AND scale = '{s}'), -1) AS {d}_{s}_onset_time, coalesce(bool_or(moved) FILTER (direction = '{d}' AND scale = '{s}'), false) AS {d}_{s}_significant" for d in ("minus", "plus") for s in ("micro", "meso", "macro"))} FROM e GROUP BY parameter""",
+)
+def bidirectional_summary(spark, sf_dir):
+    eff = _decision_inputs(spark, sf_dir)[0]
+    roles = spark.createDataFrame([(k, v) for k, v in _ROLES.items() if k in ("v0", "v2", "v4")], "node_id string, scale string")
+    return secondary.bidirectional(eff.join(roles, "node_id"), ["parameter"])
+
+
+@query(
+    "condition_means",
+    f"""WITH {FLAGS}, m AS (SELECT node_id, seed, avg(value) FILTER (direction = 'A') AS b, avg(value) FILTER (direction = 'N') AS d FROM runs GROUP BY 1, 2)
+     SELECT node_id, seed, round(b, 6) + 0.0 AS baseline, round(d, 6) + 0.0 AS disabled, round(d - b, 6) + 0.0 AS difference FROM m""",
+)
+def condition_means(spark, sf_dir):
+    return secondary.node_means(a.flag_runs(spark, sf_dir), ["node_id", "seed"], "direction", "A", "N")
+
+
+@query(
+    "intervention_recovery",
+    f"""WITH {TRADE}, t AS (SELECT u, v FROM edges WHERE time = 0), e AS (SELECT u, v FROM edges WHERE time IN (0, 1) AND u % 2 = 0), s AS (SELECT u, v FROM edges WHERE time = 1),
+     c AS (SELECT (SELECT count(*) FROM t) AS nt, (SELECT count(*) FROM s) AS ns, (SELECT count(*) FROM (SELECT * FROM t INTERSECT SELECT * FROM s)) AS ts,
+       (SELECT count(*) FROM (SELECT * FROM t INTERSECT SELECT * FROM e)) AS te, (SELECT count(*) FROM (SELECT * FROM t INTERSECT SELECT * FROM e INTERSECT SELECT * FROM s)) AS tes)
+     SELECT round(ts / ns, 6) + 0.0 AS precision, round(ts / nt, 6) + 0.0 AS recall, round(tes / te, 6) + 0.0 AS eligible_recall FROM c""",
+)
+def intervention_recovery(spark, sf_dir):
+    x, y = (g.select("source", "target") for g in _graphs(spark, sf_dir))
+    return secondary.intervention_recovery(x, x.union(y).filter("source % 2 = 0"), y)
+
+
+@query(
+    "dose_effects",
+    f"""WITH r AS (SELECT c_nationkey % 7 AS seed, year(o_orderdate) - 1995 AS time, CAST({_DOSE} AS DOUBLE) AS dose, avg(o_totalprice) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
+     b AS (SELECT seed, time, value FROM r WHERE dose = 0 AND time >= 1), sd AS (SELECT stddev_samp(value) AS sd FROM b)
+     SELECT 'price' AS node_id, dose, r.seed, round(avg(r.value - b.value), 6) + 0.0 AS effect, round(avg(r.value - b.value) / max(sd), 6) + 0.0 AS standardised FROM r JOIN b USING (seed, time), sd GROUP BY dose, r.seed""",
+)
+def dose_effects(spark, sf_dir):
+    o, c = a.read(spark, sf_dir, "orders"), a.read(spark, sf_dir, "customer")
+    r = o.join(c, o["o_custkey"] == c["c_custkey"]).groupBy(
+        F.lit("price").alias("node_id"), (F.col("c_nationkey") % 7).alias("seed"), (F.year("o_orderdate") - 1995).alias("time"), F.expr(f"CAST({_DOSE} AS DOUBLE)").alias("dose")
+    )
+    return secondary.dose_effects(r.agg(F.avg("o_totalprice").alias("value")), ["node_id"], 0.0, 1)
+
+
+@query("bootstrap_means")
+def bootstrap_means(spark, sf_dir):
+    per = _pairs(spark, sf_dir).groupBy("direction", "node_id", "seed").agg(F.avg("difference").alias("d"))
+    return secondary.bootstrap_mean(per, ["direction", "node_id"], "d", 200, 0.95, 0, "mean")
+
+
 # ---- discovery -------------------------------------------------------------------------------
 
 _LAG = 2
