@@ -193,9 +193,11 @@ def attempts(edges: DataFrame, routes: DataFrame, effects: DataFrame, directions
     tried = tried.join(F.broadcast(directions), F.col("parameter").isNotNull(), "left")
     for role in ("root", "source", "target"):
         tried = tried.join(of(role), ["parameter", "direction", role], "left")
-    there = F.col("root_there") & F.col("source_there") & F.col("target_there")
-    missing = F.col("parameter").isNotNull() & ~F.coalesce(there, F.lit(False))
-    s_on, t_on, r_on = (F.when(F.coalesce(there, F.lit(False)), F.col(f"{x}_onset")) for x in ("source", "target", "root"))
+    # an attempt without one of its three effects says nothing of the others
+    there = F.coalesce(F.col("root_there") & F.col("source_there") & F.col("target_there"), F.lit(False))
+    tried = tried.withColumns({f"{x}_{n}": F.when(there, F.col(f"{x}_{n}")) for x in ("root", "source", "target") for n in ("effect", "onset", "moved")})
+    missing = F.col("parameter").isNotNull() & F.col("root_moved").isNull()
+    s_on, t_on, r_on = (F.col(f"{x}_onset") for x in ("source", "target", "root"))
     delay = F.when((s_on >= 0) & (t_on >= 0), t_on - s_on)
     ordered = F.coalesce((s_on >= 0) & (t_on >= s_on), F.lit(False))
     expected = F.coalesce(F.signum(F.col("source_effect") * F.col("beta")), F.lit(0.0))

@@ -23,6 +23,8 @@ def duck(sf):
 def _plain(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return None
+    if hasattr(v, "isoformat"):
+        return v.isoformat()
     return round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
 
 
