@@ -40,15 +40,17 @@ def require_sound_edges(edges: DataFrame, keys, nodes: DataFrame | None = None)
         raise ValueError(f"{first[0]['fault']}: {first[0].asDict()}")
 
 
-def neighbourhood(values: DataFrame, edges: DataFrame, keys, op: str, value: str = "value", dynamic: bool = True) -> DataFrame:
-    """keys, time, agent, value of each node: op over the values of its neighbours; missing without any (count 0)."""
+def neighbourhood(values: DataFrame, edges: DataFrame, keys, ops, value: str = "value", dynamic: bool = True) -> DataFrame:
+    """keys, time, agent and a column for each of ops, over the values of a node's neighbours; missing without any (count 0).
+
+    One join and one aggregation, however many ops.
+    """
     at = [*keys, "time"] if dynamic else list(keys)
     theirs = values.select(*keys, "time", F.col("agent").alias("v"), F.col(value).alias("_x"))
-    reduced = (
-        both_ways(edges, at).join(theirs, [*at, "v"]).groupBy(*keys, "time", F.col("u").alias("agent")).agg(group_reducer(op, F.col("_x")).alias("_r"))
-    )
-    out = F.coalesce("_r", F.lit(0.0)) if op == "count" else F.col("_r")
-    return values.select(*keys, "time", "agent").join(reduced, [*keys, "time", "agent"], "left").select(*keys, "time", "agent", out.alias(value))
+    found = both_ways(edges, at).join(theirs, [*at, "v"]).groupBy(*keys, "time", F.col("u").alias("agent"))
+    reduced = found.agg(*[group_reducer(op, F.col("_x")).alias(f"_{op}") for op in ops])
+    out = [(F.coalesce("_count", F.lit(0.0)) if op == "count" else F.col(f"_{op}")).alias(op) for op in ops]
+    return values.select(*keys, "time", "agent").join(reduced, [*keys, "time", "agent"], "left").select(*keys, "time", "agent", *out)
 
 
 def assortativity(values: DataFrame, edges: DataFrame, keys, value: str = "value", dynamic: bool = True) -> DataFrame:

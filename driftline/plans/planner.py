@@ -20,10 +20,14 @@ class Planner:
     def __init__(self, data: Dataset):
         self.data, self.keys = data, data.keys
         self.done: dict[str, Tensor] = {}
+        #: reducers asked of each pair of values and groups, or values and edges
+        self.asked: dict[str, set[str]] = {}
 
     def plan(self, nodes: list[dict]) -> list[Tensor]:
         for node in nodes:
             g.analyze(node, self.data.fields)
+        for n in (n for node in nodes for n in g.walk(node) if n["op"] in ("group_reduce", "network_neighborhood_reduce")):
+            self.asked.setdefault(self._shared(n), set()).add(n["reducer"])
         waiting = {g.canonical(n): n for node in nodes for n in g.walk(node) if n["op"] in (*g.AXIS_REDUCERS, "correlation")}
         for level in sorted({g.height(n) for n in waiting.values()}):
             self._reduce_together([n for n in waiting.values() if g.height(n) == level])
@@ -35,6 +39,18 @@ class Planner:
             self.done[key] = self._build(node)
         return self.done[key]
 
+    @staticmethod
+    def _shared(node: dict) -> str:
+        return g.canonical({k: v for k, v in node.items() if k != "reducer"})
+
+    def _together(self, node: dict, make) -> Tensor:
+        """The column of node's reducer, of one table made for all reducers asked of the same inputs."""
+        key = self._shared(node)
+        if key not in self.done:
+            self.done[key] = make(sorted(self.asked.get(key, {node["reducer"]})))
+        t = self.done[key]
+        return Tensor(t.df, t.dims, F.col(node["reducer"]), "numeric")
+
     def _reduce_together(self, nodes: list[dict]) -> None:
         """Plan reductions of one height, those of one table and one result shape in one aggregation."""
         by: dict[tuple, list] = {}
@@ -102,7 +118,7 @@ class Planner:
         if op in ("entropy", "binned_entropy"):
             return self._entropy(node)
         if op == "group_reduce":
-            return self._group_reduce(node)
+            return self._together(node, lambda ops: self._group_reduce(node, ops))
         return self._structure(node)
 
     def _entropy(self, node: dict) -> Tensor:
@@ -130,33 +146,32 @@ class Planner:
         all_ = rows.select(*at).distinct()
         return Tensor(all_.join(found, at, "left").select(*at, F.coalesce("_h", F.lit(0.0)).alias(name)), dims, F.col(name), "numeric")
 
-    def _group_reduce(self, node: dict) -> Tensor:
-        values, groups = self.tensor(node["values"]), self.tensor(node["groups"])
-        axis, op = node["axis"], node["reducer"]
+    def _group_reduce(self, node: dict, ops: list[str]) -> Tensor:
+        values, groups, axis = self.tensor(node["values"]), self.tensor(node["groups"]), node["axis"]
         if values.df is groups.df:
-            rows = values.df.select(*self.keys, *groups.dims, values.value.alias("_x"), groups.value.alias("group"))
+            rows = values.df.select(*self.keys, *groups.dims, values.value.alias("_x"), groups.value.cast("long").alias("group"))
         else:
-            rows = column_of(groups, self.keys, "group").join(column_of(values, self.keys, "_x"), [*self.keys, *values.dims])
+            own = column_of(groups, self.keys, "group").withColumn("group", F.col("group").cast("long"))
+            rows = own.join(column_of(values, self.keys, "_x"), [*self.keys, *values.dims])
         at = [*self.keys, *[d for d in groups.dims if d != axis]]
         live = rows.filter(F.col("group") >= 0)
-        if op == "entropy":
-            counts = live.filter(F.col("_x").isNotNull()).groupBy(*at, "group", "_x").agg(F.count("*").alias("_c"))
-            lists = counts.groupBy(*at, "group").agg(F.sum("_c").alias("_n"), F.collect_list("_c").alias("_cs"))
-            reduced = lists.select(*at, "group", F.aggregate("_cs", F.lit(0.0), lambda s, c: s - c / F.col("_n") * F.log(c / F.col("_n") + 1e-15)).alias("_r"))
-        else:
-            reduced = live.groupBy(*at, "group").agg(nulls.group_reducer(op, F.col("_x")).alias("_r"))
         # every label from 0 to the run's largest has a row, at every place
-        kind = groups.df.schema[groups.value._jc.toString()].dataType if groups.value._jc.toString() in groups.df.columns else "int"
-        label = F.col("group").cast(kind)
         places = rows.select(*at).distinct()
-        most = live.groupBy(*self.keys).agg(F.max("group").cast("long").alias("_most"))
+        most = live.groupBy(*self.keys).agg(F.max("group").alias("_most"))
         dense = places.join(most, list(self.keys), "left") if self.keys else places.crossJoin(F.broadcast(most))
-        dense = dense.select(*at, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_most", F.lit(0).cast("long")))).alias("group"))
-        joined = dense.join(reduced.withColumn("group", label.cast("long")), [*at, "group"], "left")
-        name = fresh()
-        out = F.coalesce("_r", F.lit(0.0)) if op == "count" else F.col("_r")
+        found = dense.select(*at, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_most", F.lit(0).cast("long")))).alias("group"))
+        plain = [op for op in ops if op != "entropy"]
+        if plain:
+            reduced = live.groupBy(*at, "group").agg(*[nulls.group_reducer(op, F.col("_x")).alias(f"_{op}") for op in plain])
+            found = found.join(reduced, [*at, "group"], "left")
+        if "entropy" in ops:
+            counts = live.filter(F.col("_x").isNotNull()).groupBy(*at, "group", "_x").agg(F.count("*").alias("_c"))
+            lists = counts.groupBy(*at, "group").agg(F.sum("_c").alias("_n"), F.collect_list("_c").alias("_cs"))
+            h = F.aggregate("_cs", F.lit(0.0), lambda s, c: s - c / F.col("_n") * F.log(c / F.col("_n") + 1e-15))
+            found = found.join(lists.select(*at, "group", h.alias("_entropy")), [*at, "group"], "left")
+        out = [(F.coalesce("_count", F.lit(0.0)) if op == "count" else F.col(f"_{op}")).alias(op) for op in ops]
         dims = (*[d for d in groups.dims if d != axis], "group")
-        return Tensor(joined.select(*at, "group", out.alias(name)), dims, F.col(name), "numeric")
+        return Tensor(found.select(*at, "group", *out), dims, F.lit(None), "numeric")
 
     def _edges(self, node: dict) -> tuple[DataFrame, bool]:
         t = self.tensor(node)
@@ -192,7 +207,8 @@ class Planner:
         values = column_of(self.tensor(node["values"]), self.keys, "value")
         if op == "network_assortativity":
             return out(network.assortativity(values, edges, self.keys, dynamic=dynamic), ("time",))
-        return out(network.neighbourhood(values, edges, self.keys, node["reducer"], dynamic=dynamic), g.NODES)
+        near = lambda ops: Tensor(network.neighbourhood(values, edges, self.keys, ops, dynamic=dynamic), g.NODES, F.lit(None), "numeric")
+        return self._together(node, near)
 
     def _pair(self, key: str, op: str, make, first: str) -> Tensor:
         if key not in self.done:
