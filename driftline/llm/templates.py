@@ -3,7 +3,9 @@
 Numbers, units and names of a text become typed placeholders, so that a question with other numbers
 or names has the same template. Windows of template tokens are hash-joined with those of the
 benchmark, and the values that fill the placeholders are compared along each alignment: a
-re-parameterised question changes values one for one, chance matches do not.
+re-parameterised question changes values one for one, chance matches do not. A second form of each window knows
+no case and no names, so that texts in capitals or in title case are found as well; of windows with
+few words (numbers, short items), only verbatim copies are.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices, small_side
 
-#: Template tokens of a window; shorter items have one window of all their tokens.
+#: Tokens of a window; shorter items have one window of all their tokens.
 WINDOW = 8
-#: Tokens of a window that are words, not placeholders, at least; items of fewer have no windows.
+#: Tokens of a window that are words, not placeholders, at least; windows of fewer match verbatim only.
 LITERAL = 4
-#: Share of an item's windows that a document holds consistently, from which on it is contaminated.
+#: Share of an item's windows that a document holds, from which on it is contaminated.
 COVERAGE = 0.3
 #: Benchmark windows up to which their hashes go to each worker (16 MB); beyond it all windows are joined.
 FILTER_HASHES = 2_000_000
@@ -35,6 +37,8 @@ UNITS = frozenset(
 )
 _TOKEN = re.compile(r"[0-9]+(?:[.,:/][0-9]+)*|[^\W\d_]+(?:['’-][^\W\d_]+)*|[%$€£]")
 NUMBER, UNIT, NAME = "\x00n", "\x00u", "\x00p"
+#: Forms of a window.
+NAMED, FOLDED, VERBATIM = range(3)
 
 
 def template(text: str | None) -> tuple[list[str], list[str | None]]:
@@ -59,70 +63,166 @@ def template(text: str | None) -> tuple[list[str], list[str | None]]:
     return tokens, values
 
 
-class _Hashes(dict):
-    def __missing__(self, token: str) -> int:
-        if len(self) >= 1 << 19:
-            self.clear()
-        self[token] = h = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
-        return h
+class _Words(dict):
+    """word -> its place in kind (a digit, a unit after numbers, a capital first letter) and in the hashes of its forms."""
 
+    def __init__(self):
+        super().__init__()
+        self._clear(1 << 12)
 
-def window_hashes(tokens: list[str], size: int, seen: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of `size` tokens that have enough words, and where they begin."""
-    n = len(tokens) - size + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.fromiter(map(seen.__getitem__, tokens), np.uint64, len(tokens))
-    literal = np.concatenate(([0], np.cumsum(np.fromiter((t[0] != "\x00" for t in tokens), np.int64, len(tokens)))))
-    out = np.full(n, size, np.uint64)
+    def _clear(self, room: int) -> None:
+        self.clear()
+        self.kind, self.raw = np.zeros(room, np.uint8), np.zeros(room, np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        i = len(self)
+        if i == len(self.raw):
+            self.kind, self.raw = (np.concatenate((x, np.zeros_like(x))) for x in (self.kind, self.raw))
+        folded = word.casefold()
+        unit = word in "%$€£" or word.lower() in UNITS
+        self.kind[i] = 1 if word[0].isdigit() else 2 * unit + 4 * word[0].isupper()
+        self.raw[i] = xxhash.xxh64_intdigest(folded.encode("utf-8", "surrogatepass"))
+        self[word] = i
+        return i
+
+
+_PLACEHOLDERS = np.array([xxhash.xxh64_intdigest(t) for t in (NUMBER, UNIT, NAME)], np.uint64)
+
+
+def _rolled(h: np.ndarray, size: int, seed: int) -> np.ndarray:
+    n = len(h) - size + 1
+    out = np.full(n, size + 256 * seed, np.uint64)
     for k in range(size):
         out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(32)
-    at = np.flatnonzero(literal[size:] - literal[:-size] >= min(LITERAL, size))
-    return out[at].view(np.int64), at
+    return out
+
+
+def _enough(literal: np.ndarray, size: int) -> np.ndarray:
+    """Which windows of `size` hold LITERAL words at least."""
+    total = np.concatenate(([0], np.cumsum(literal)))
+    return total[size:] - total[:-size] >= LITERAL
+
+
+def window_hashes(words: list[str], sizes: list[int], seen: _Words) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(size, form, hashes, where they begin) of the windows of words.
+
+    NAMED: numbers, units and names are placeholders; windows of LITERAL other words only. FOLDED:
+    names are words without case; all windows, those of fewer than LITERAL words with their numbers
+    and units as they are, so that they match verbatim only.
+    """
+    if len(seen) >= 1 << 19:
+        seen._clear(1 << 12)
+    i = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+    kind, raw = seen.kind[i], seen.raw[i]
+    number = kind == 1
+    unit = np.zeros(len(words), bool)
+    unit[1:] = (kind[1:] & 2 > 0) & number[:-1]
+    name = (kind & 4 > 0) & ~unit
+    folded = np.where(number, _PLACEHOLDERS[0], np.where(unit, _PLACEHOLDERS[1], raw))
+    named = np.where(name, _PLACEHOLDERS[2], folded)
+    word = ~(number | unit)
+    for size in sizes:
+        if size < 1 or len(words) < size:
+            continue
+        at = np.flatnonzero(_enough(word & ~name, size))
+        if len(at):
+            yield size, NAMED, _rolled(named, size, NAMED)[at].view(np.int64), at
+        h, few = _rolled(folded, size, FOLDED), np.flatnonzero(~_enough(word, size))
+        if len(few):
+            h[few] = _rolled(raw, size, VERBATIM)[few]
+        yield size, FOLDED, h.view(np.int64), np.arange(len(h))
 
 
 def _windows(sizes: list[int] | None, known):
-    """(id, text) -> (id, hash, at, size, windows, slots) of windows; sizes None: the item's own; known: hashes that go on."""
+    """(id, text) -> windows; sizes None: those of an item, of its own size; known: hashes that go on.
+
+    Of items, named_windows and windows count the NAMED ones and all places, and named tells that a place has a NAMED one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Hashes()
+        seen = _Words()
         keep = None if known is None else known.value
         for batch in slices(batches):
-            ids, hashes, places, lengths, numbers, slots = [], [], [], [], [], []
+            ids, hashes, places, lengths, named, numbers, totals, slots = [], [], [], [], [], [], [], []
             for own, item in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens, values = template(item.as_py())
-                for size in sizes if sizes is not None else [min(WINDOW, len(tokens))]:
-                    if size < LITERAL:
-                        continue
-                    h, at = window_hashes(tokens, size, seen)
-                    n = len(h)
-                    if keep is not None and n:
+                text = item.as_py()
+                words = _TOKEN.findall(text or "")
+                some: set[int] = set()
+                values = None
+                for size, form, h, at in window_hashes(words, [min(WINDOW, len(words))] if sizes is None else sizes, seen):
+                    if sizes is None and form == NAMED:
+                        some = set(at.tolist())
+                    if keep is not None:
                         i = np.searchsorted(keep, h)
                         i[i == len(keep)] = 0
                         hit = keep[i] == h
                         h, at = h[hit], at[hit]
+                    if not len(h):
+                        continue
+                    if values is None:
+                        tokens, values = template(text)
+                        folded = [v if t in (NUMBER, UNIT) else None for t, v in zip(tokens, values, strict=True)]
+                    of = values if form == NAMED else folded
                     ids += [own] * len(h)
                     hashes += h.tolist()
                     places += at.tolist()
                     lengths += [size] * len(h)
-                    numbers += [n] * len(h)
-                    slots += [[v for v in values[a : a + size] if v is not None] for a in at.tolist()]
+                    named += [a in some for a in at.tolist()]
+                    numbers += [len(some)] * len(h)
+                    totals += [len(words) - size + 1] * len(h)
+                    slots += [[v for v in of[a : a + size] if v is not None] for a in at.tolist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, batch.schema.field(0).type),
                     pa.array(hashes, pa.int64()),
                     pa.array(places, pa.int64()),
                     pa.array(lengths, pa.int32()),
+                    pa.array(named, pa.bool_()),
                     pa.array(numbers, pa.int64()),
+                    pa.array(totals, pa.int64()),
                     pa.array(slots, pa.list_(pa.string())),
                 ],
-                ["id", "hash", "at", "size", "windows", "slots"],
+                ["id", "hash", "at", "size", "named", "named_windows", "windows", "slots"],
             )
 
     return run
 
 
+def equal(a: list[str], b: list[str]) -> bool:
+    return [v.casefold() for v in a] == [v.casefold() for v in b]
+
+
+def accepted(windows: list[tuple[list[str], list[str]]]) -> list[bool]:
+    """Which windows of an alignment, (the item's values, the document's), count.
+
+    All or none: along an alignment values must map one for one.
+    """
+    pairs = {(x, y) for a, b in windows for x, y in zip(a, b, strict=True)}
+    good = len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
+    return [good] * len(windows)
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, item_id, found, named_windows, windows) of alignments -> a row for each window that counts."""
+    for batch in slices(batches):
+        rows, of = [], []
+        for i, found in enumerate(batch.column(2)):
+            found = found.as_py()
+            exact = all(equal(w["a"], w["b"]) for w in found)
+            for w, good in zip(found, accepted([(w["a"], w["b"]) for w in found]), strict=True):
+                if good:
+                    of.append(i)
+                    rows.append((w["place"], w["named"], exact))
+        take = batch.take(pa.array(of, pa.int64()))
+        place, named, exact = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [take.column(0), take.column(1), pa.array(place, pa.int64()), pa.array(named, pa.bool_()), pa.array(exact, pa.bool_())]
+            + [take.column(3), take.column(4)],
+            ["id", "item_id", "place", "named", "exact", "named_windows", "windows"],
+        )
+
+
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
 
@@ -139,17 +239,19 @@ def contaminated(
 ) -> DataFrame:
     """doc_id, item_id, coverage, exact: a row for each document and benchmark item that it holds.
 
-    coverage is the share of the item's windows found along alignments whose placeholder values match
-    one for one; exact tells that all values are the same. Null and empty texts hold nothing; rows of
-    one doc_id are judged together, a null doc_id like any other; repeated items and items of equal
-    text each give rows; items too short for a window are never found; an empty table on either side
-    gives an empty result; other columns are not read.
+    coverage is the share of the item's windows found (of all, or of those in NAMED form if that is
+    more) with accepted() values; exact tells that all values are the same but for case. Null and empty
+    texts hold nothing; rows of one doc_id are judged together, a null doc_id like any other; repeated
+    items and items of equal text each give rows; items of fewer than LITERAL words are found wherever
+    their words stand in a row; an empty table on either side gives an empty result; other columns are
+    not read.
     """
     spark = docs.sparkSession
-    of = "hash long, at long, size int, windows long, slots array<string>"
+    of = "hash long, at long, size int, named boolean, named_windows long, windows long, slots array<string>"
     kinds = [_rows(d, k, t).schema["id"].dataType.simpleString() for d, k, t in ((docs, doc_id, text), (benchmark, item_id, item_text))]
     items = _rows(benchmark, item_id, item_text).filter(F.col("text").isNotNull()).mapInArrow(_windows(None, None), f"id {kinds[1]}, {of}")
-    items = materialize(items.toDF("item_id", "hash", "item_at", "size", "windows", "item_slots"), "item-windows", tag)
+    items = items.toDF("item_id", "hash", "item_at", "size", "named", "named_windows", "windows", "item_slots")
+    items = materialize(items, "item-windows", tag)
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW of them
     hashes, known = items.select("hash").distinct(), None
     if hashes.limit(FILTER_HASHES + 1).count() <= FILTER_HASHES:
@@ -158,25 +260,22 @@ def contaminated(
         known = spark.sparkContext.broadcast(found if len(found) else np.zeros(1, np.int64))
     hits = _rows(docs, doc_id, text).filter(F.col("text").isNotNull()).mapInArrow(_windows(sizes, known), f"id {kinds[0]}, {of}")
     pairs = hits.select("id", "hash", "at", "size", "slots").join(small_side(items), ["hash", "size"])
-    # an alignment of document and item; its values must map one for one
-    alignment = (
+    # an alignment of document and item, whose values are judged together
+    window = F.struct(F.col("item_at").alias("place"), "named", F.col("item_slots").alias("a"), F.col("slots").alias("b"))
+    aligned = (
         pairs.groupBy("id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
-        .agg(
-            F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))))).alias("map"),
-            F.collect_set("item_at").alias("places"),
-            F.max("windows").alias("windows"),
-        )
-        .filter(
-            (F.size("map") == F.size(F.array_distinct(F.transform("map", lambda p: p["a"]))))
-            & (F.size("map") == F.size(F.array_distinct(F.transform("map", lambda p: p["b"]))))
-        )
-        .select("id", "item_id", "windows", F.forall("map", lambda p: p["a"] == p["b"]).alias("exact"), F.explode("places").alias("place"))
+        .agg(F.collect_set(window).alias("found"), F.max("named_windows").alias("named_windows"), F.max("windows").alias("windows"))
+        .drop("shift")
+    )
+    judged = aligned.mapInArrow(
+        _judge, f"id {kinds[0]}, item_id {kinds[1]}, place long, named boolean, exact boolean, named_windows long, windows long"
     )
+    of_named = F.count_if("named") / F.nullif(F.max("named_windows"), F.lit(0))
     return (
-        alignment.groupBy("id", "item_id", "place")
-        .agg(F.max("windows").alias("windows"), F.max("exact").alias("exact"))
+        judged.groupBy("id", "item_id", "place")
+        .agg(*[F.max(c).alias(c) for c in ("named", "exact", "named_windows", "windows")])
         .groupBy("id", "item_id")
-        .agg((F.count("*") / F.max("windows")).alias("coverage"), F.min("exact").alias("exact"))
+        .agg(F.greatest(F.count("*") / F.max("windows"), of_named).alias("coverage"), F.min("exact").alias("exact"))
         .filter(F.col("coverage") >= coverage)
         .select(F.col("id").alias("doc_id"), "item_id", "coverage", "exact")
     )
