@@ -2,8 +2,8 @@
 
 Numbers, units and names of a text become typed placeholders, so that a question with other numbers
 or names has the same template. Windows of template tokens are hash-joined with those of the
-benchmark, and the values that fill the placeholders are compared along each alignment: a
-re-parameterised question changes values one for one, chance matches do not. A second form of each window knows
+benchmark, and the values that fill the placeholders are compared along each alignment: windows count
+whose values follow the mapping that most of the alignment gives. A second form of each window knows
 no case and no names, so that texts in capitals or in title case are found as well; of windows with
 few words (numbers, short items), only verbatim copies are.
 """
@@ -11,6 +11,7 @@ few words (numbers, short items), only verbatim copies are.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -196,11 +197,21 @@ def equal(a: list[str], b: list[str]) -> bool:
 def accepted(windows: list[tuple[list[str], list[str]]]) -> list[bool]:
     """Which windows of an alignment, (the item's values, the document's), count.
 
-    All or none: along an alignment values must map one for one.
+    Those of equal values always do; others if each of their values goes to the value that most windows
+    give it and, of names, comes from the one that most windows give back. Several numbers may become one.
     """
-    pairs = {(x, y) for a, b in windows for x, y in zip(a, b, strict=True)}
-    good = len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
-    return [good] * len(windows)
+    forth: dict[str, Counter] = defaultdict(Counter)
+    back: dict[str, Counter] = defaultdict(Counter)
+    for a, b in windows:
+        for x, y in zip(a, b, strict=True):
+            forth[x][y] += 1
+            back[y][x] += 1
+    most = lambda of: {k: max(n, key=lambda v: (n[v], v == k, v)) for k, n in of.items()}
+    to, from_ = most(forth), most(back)
+    return [
+        equal(a, b) or all(to[x] == y and (not y[0].isupper() or from_[y] == x) for x, y in zip(a, b, strict=True))
+        for a, b in windows
+    ]
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
