@@ -2,11 +2,13 @@
 
 One interpolated bigram model for each label, of Kneser-Ney's adjusted counts: a word counts once for
 each distinct word before it, a pair once for each distinct word before the pair, so that a passage
-copied a thousand times weighs as much as one. Both classes back off to one shared distribution, the
+copied a thousand times weighs as much as one. All words and pairs of the sample count, rare ones
+discounted. Both classes back off to one shared distribution, the
 continuation counts over both, so that an expression too rare to tell is worth the same to either.
 Discounts are the modified Kneser-Ney ones, estimated from counts of counts. The log-likelihood
-ratio of the words, normalised by length and at its strongest words, is calibrated by logistic
-regression on labelled rows that gave no counts.
+ratio of the words, normalised by length and at its strongest words, is taken of words alone and of
+words after the word before, and both are calibrated together, by logistic regression on labelled
+rows that gave no counts: it decides how far pairs are trusted.
 """
 
 from __future__ import annotations
@@ -27,12 +29,13 @@ from .common import materialize, slices
 FIT_ROWS = 8_000
 #: Labelled rows of each class on which the score is calibrated, in expectation.
 CALIBRATION_ROWS = 3_000
-#: Words and word pairs that the model keeps: those of the most contexts, words of two at least.
-KEPT_WORDS = 1 << 19
-KEPT_PAIRS = 1 << 20
-#: Distinct words before a pair from which on its own counts are used; the ratio of fewer is noise
-#: (at 20, held-out recall on 4,000 labels was 0.83, at 200 it is 0.89).
-PAIR_CONTEXTS = 200
+#: Words and word pairs up to which the driver takes all that the sample has (24 bytes each); of more, those of the most contexts.
+KEPT_WORDS = 1 << 22
+KEPT_PAIRS = 1 << 23
+#: Parts in which pairs come to the driver, a power of two.
+PARTS = 8
+#: Numbers that tell of a text.
+FEATURES = 7
 #: Words remembered by a worker between texts.
 REMEMBERED = 1 << 19
 THRESHOLD = 0.7
@@ -73,30 +76,32 @@ class Model:
     weights: np.ndarray | None = None  # of the calibration
 
     def features(self, ids: np.ndarray) -> np.ndarray:
-        """Of the words' log-likelihood ratios: mean, log of 1 + the sum over CLEAR, mean of the three highest; log length."""
+        """Of the log-likelihood ratios of the words alone and after the words before them: mean, log of 1 + the sum over CLEAR, mean of the three highest; log length."""
         n = len(ids)
         if not n:
-            return np.zeros(4)
+            return np.zeros(FEATURES)
         each = self.word[ids]
+        alone = _told(each)
         if n > 1 and len(self.pairs):
             key = ids[:-1] * np.int64(len(self.hashes) + 1) + ids[1:]
             at = np.searchsorted(self.pairs, key)
             at[at == len(self.pairs)] = 0
             each[1:] = np.where(self.pairs[at] == key, self.pair[at], each[1:] + self.after[ids[:-1]])
-        top = min(3, n)
-        return np.array(
-            [
-                np.clip(each, -CLEAR, 2 * CLEAR).mean(),
-                np.log1p(np.maximum(each - CLEAR, 0).sum()),
-                np.partition(each, n - top)[n - top :].mean(),
-                np.log(n),
-            ]
-        )
+        return np.array([*alone, *_told(each), np.log(n)])
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_design(features) @ self.weights, -30, 30)))
 
 
+def _told(each: np.ndarray) -> tuple[float, float, float]:
+    top = min(3, len(each))
+    return (
+        np.clip(each, -CLEAR, 2 * CLEAR).mean(),
+        np.log1p(np.maximum(each - CLEAR, 0).sum()),
+        np.partition(each, len(each) - top)[len(each) - top :].mean(),
+    )
+
+
 def _design(x: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), x])
 
@@ -114,17 +119,13 @@ def _discounts(counts: np.ndarray) -> np.ndarray:
 def build(words: dict[str, np.ndarray], pairs: dict[str, np.ndarray]) -> Model:
     """The models from adjusted counts.
 
-    words: h (hash), c0, c1 (distinct words before it in each class), left (over both). pairs: a, b
-    (hashes), c0, c1 (distinct words before it in each class).
+    words: h (hash, ascending), c0, c1 (distinct words before it in each class), left (over both).
+    pairs: key (place of the first word * (words + 1) + place of the second, ascending), c0, c1 (distinct
+    words before it in each class).
     """
-    order = np.argsort(words["h"])
-    words = {k: v[order] for k, v in words.items()}
     hashes, size = words["h"], len(words["h"])
     shared = (np.append(words["left"], 0) + 1.0) / (words["left"].sum() + size + 1.0)
-    a, b = np.searchsorted(hashes, pairs["a"]), np.searchsorted(hashes, pairs["b"])
-    key = a.astype(np.int64) * np.int64(size + 1) + b
-    order = np.argsort(key)
-    a, b = a[order], b[order]
+    a, b = (x.astype(np.int32) for x in np.divmod(pairs["key"], np.int64(size + 1)))
     word, after, pair = [], [], []
     for c in (0, 1):
         count = np.append(words[f"c{c}"], 0).astype(float)
@@ -132,17 +133,17 @@ def build(words: dict[str, np.ndarray], pairs: dict[str, np.ndarray]) -> Model:
         less = np.maximum(count - off[np.minimum(count, 3).astype(int)], 0)
         total = max(count.sum(), 1.0)
         p = less / total + (1 - less.sum() / total) * shared
-        own = pairs[f"c{c}"][order].astype(float)
-        off = _discounts(pairs[f"c{c}"])
+        own = pairs[f"c{c}"].astype(np.float32)
+        off = _discounts(pairs[f"c{c}"]).astype(np.float32)
         less = np.maximum(own - off[np.minimum(own, 3).astype(int)], 0)
         # pairs without a count of their own are one event after each word
         total = np.maximum(np.bincount(a, own, size + 1), count) + 1.0
-        high = less / total[a]
+        high = less / total.astype(np.float32)[a]
         low = np.maximum(1 - np.bincount(a, high, size + 1), 1e-3)
         word.append(np.log(p))
         after.append(np.log(low))
-        pair.append(np.log(high + low[a] * p[b]))
-    return Model(hashes, word[1] - word[0], after[1] - after[0], key[order], pair[1] - pair[0])
+        pair.append(np.log(high + low.astype(np.float32)[a] * p.astype(np.float32)[b]))
+    return Model(hashes, word[1] - word[0], after[1] - after[0], pairs["key"], pair[1] - pair[0])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,13 +171,40 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def _most(counts: DataFrame, rank: Column, keys: list[str], most: int) -> DataFrame:
+    """counts, or if they are more than `most` rows, those of the highest rank."""
+    if counts.limit(most + 1).count() <= most:
+        return counts
+    return counts.orderBy(rank.desc(), *keys).limit(most)
+
+
+def _taken(counts: DataFrame, keys: list[str]) -> dict[str, np.ndarray]:
+    found = counts.select(*[F.col(c) if c in keys else F.col(c).cast("int") for c in counts.columns]).toArrow()
+    return {c: found[c].to_numpy() for c in found.column_names}
+
+
+def _taken_pairs(counts: DataFrame, hashes: np.ndarray) -> dict[str, np.ndarray]:
+    """key, c0, c1 of the pairs of known words, ascending by key; fetched a range of hashes at a time to stay small."""
+    parts = []
+    for i in range(PARTS):
+        part = _taken(counts.filter(F.shiftrightunsigned("a", 64 - PARTS.bit_length() + 1) == i), ["a", "b"])
+        first, second = part["a"].view(np.uint64), part["b"].view(np.uint64)
+        a, b = np.searchsorted(hashes, first), np.searchsorted(hashes, second)
+        known = np.flatnonzero((a < len(hashes)) & (b < len(hashes)))
+        known = known[(hashes[a[known]] == first[known]) & (hashes[b[known]] == second[known])]
+        key = a[known] * np.int64(len(hashes) + 1) + b[known]
+        order = np.argsort(key)
+        parts.append({"key": key[order]} | {c: part[c][known][order] for c in ("c0", "c1")})
+    return {c: np.concatenate([x[c] for x in parts]) for c in ("key", "c0", "c1")}
+
+
 def fit(labelled: DataFrame, text: str = "text", label: str = "label", doc_id: str = "doc_id", tag: str = "") -> Model:
     """The calibrated model of labelled rows (label 0 or 1; others, nulls included, are left out).
 
     Of each class, FIT_ROWS rows in expectation, chosen by a hash of doc_id, give counts and
     CALIBRATION_ROWS others the calibration; all there are, if fewer. Without rows of both classes
-    every score is a half. The counts are made on the executors and only KEPT_WORDS words and
-    KEPT_PAIRS pairs come to the driver.
+    every score is a half. The counts are made on the executors; those of all words and pairs come to
+    the driver, KEPT_WORDS and KEPT_PAIRS at most.
     """
     rows = labelled.select(
         F.col(f"`{text}`").alias("text"),
@@ -206,28 +234,19 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", doc_id: s
     words = (
         pairs.groupBy("b")
         .agg(F.count_if(F.col("c0") > 0).alias("c0"), F.count_if(F.col("c1") > 0).alias("c1"), F.count("*").alias("left"))
-        .filter(F.col("left") >= 2)
-        .orderBy(F.col("left").desc(), "b")
-        .limit(KEPT_WORDS)
-        .toPandas()
-    )
-    kept = (
-        pairs.filter((F.col("c0") + F.col("c1") >= PAIR_CONTEXTS) & (F.col("a") != 0))
-        .orderBy((F.col("c0") + F.col("c1")).desc(), "a", "b")
-        .limit(KEPT_PAIRS)
-        .toPandas()
     )
-    h = words["b"].to_numpy(np.int64).view(np.uint64)
-    first, second = (kept[k].to_numpy(np.int64).view(np.uint64) for k in ("a", "b"))
-    known = np.isin(first, h) & np.isin(second, h)
-    model = build(
-        {"h": h} | {k: words[k].to_numpy(np.int64) for k in ("c0", "c1", "left")},
-        {"a": first[known], "b": second[known]} | {k: kept[k].to_numpy(np.int64)[known] for k in ("c0", "c1")},
-    )
-    found = _with_features(sample.filter(part(1 - share, share, CALIBRATION_ROWS)), model).select("label", "f").toPandas()
+    words = _taken(_most(words, F.col("left"), ["b"], KEPT_WORDS), ["b"])
+    words["h"] = words.pop("b").view(np.uint64)
+    order = np.argsort(words["h"])
+    words = {k: v[order] for k, v in words.items()}
+    kept = _most(pairs.filter(F.col("a") != 0), F.col("c0") + F.col("c1"), ["a", "b"], KEPT_PAIRS)
+    model = build(words, _taken_pairs(kept, words["h"]))
+    sent = pairs.sparkSession.sparkContext.broadcast(model)
+    found = _with_features(sample.filter(part(1 - share, share, CALIBRATION_ROWS)), sent).select("label", "f").toPandas()
+    sent.destroy()
     y = found["label"].to_numpy(float)
     if not len(y) or y.min() == y.max():
-        model.weights = np.zeros(5)
+        model.weights = np.zeros(FEATURES + 1)
         return model
     prior = numbers.get(1, 0) / sum(numbers.values())
     model.weights = calibrate(np.stack(found["f"].to_numpy()), y, prior)
@@ -251,8 +270,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
     return w / scale
 
 
-def _with_features(rows: DataFrame, model: Model) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+def _with_features(rows: DataFrame, sent) -> DataFrame:
     return _scored(rows, sent, lambda own, f: pa.array(list(f), pa.list_(pa.float64())), "f", "array<double>")
 
 
@@ -265,7 +283,7 @@ def _scored(rows: DataFrame, sent, make, name: str, kind: str) -> DataFrame:
         own = sent.value
         ids = Ids(own.hashes)
         for batch in slices(batches):
-            f = np.zeros((batch.num_rows, 4))
+            f = np.zeros((batch.num_rows, FEATURES))
             for i, text in enumerate(batch.column(0)):
                 found = words_of(text.as_py())
                 f[i] = own.features(np.fromiter(map(ids.__getitem__, found), np.int64, len(found)))
@@ -296,7 +314,7 @@ def keep_below(docs: DataFrame, model: Model, text: str = "text", threshold: flo
         ids = Ids(own.hashes)
         for batch in slices(batches):
             found = [words_of(t.as_py()) for t in batch.column(at)]
-            f = np.array([own.features(np.fromiter(map(ids.__getitem__, w), np.int64, len(w))) for w in found]).reshape(-1, 4)
+            f = np.array([own.features(np.fromiter(map(ids.__getitem__, w), np.int64, len(w))) for w in found]).reshape(-1, FEATURES)
             yield batch.filter(pa.array(own.score(f) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
