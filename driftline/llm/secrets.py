@@ -22,7 +22,12 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?+\x20*+[:=]\x20*+["'
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
 #: Kinds that the method adds.
-PEM = r"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----"
+#: From the first line through the END line; of a key cut off before it, the lines that may be its body.
+PEM = (
+    r"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----"
+    r"(?:[^-]{0,20000}+(?:-(?!----)[^-]{0,2000}+){0,40}+-----END (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----"
+    r"|(?:[\s\\rn]*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:[\s\\rn]++[A-Za-z0-9+/=]{16,}+)*+)"
+)
 JWT = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 CODE_HOST = r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}+"
 CHAT = r"(?<![A-Za-z0-9_])xox[abprs]-[A-Za-z0-9-]{10,}+"
@@ -38,11 +43,18 @@ def _assigned(match: Column) -> Column:
     return F.regexp_extract(match, ASSIGN, 1)
 
 
+def _key_body(match: Column) -> Column:
+    """A key without its first and last line, headers, line breaks and blanks; the match where nothing is left."""
+    body = F.regexp_replace(match, r"-----[A-Z ]*+-----|(?:Proc-Type|DEK-Info):[^\r\n\\]*+", "")
+    body = F.regexp_replace(body, r"\\[nr]|\s", "")
+    return let(body, lambda b: F.when(b == "", match).otherwise(b))
+
+
 KINDS = [
     Kind("assign", ASSIGN, keep=lambda m: F.length(_assigned(m)) >= 6, value=_assigned),
     Kind("access", ACCESS),
     Kind("hex", HEX),
-    Kind("pem", PEM, base=False),
+    Kind("pem", PEM, value=_key_body, base=False),
     Kind("jwt", JWT, base=False),
     Kind("codehost", CODE_HOST, base=False),
     Kind("chat", CHAT, base=False),
