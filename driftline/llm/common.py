@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a small side may be broadcast; beyond it joins shuffle.
+#: Rows and bytes up to which a small side may be broadcast; beyond either joins shuffle.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 #: Rows with texts that a worker turns into Python objects at once.
 ROWS = 500
 
@@ -24,17 +25,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in one process a temporary one where unset."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="driftline-"))
         folder = sc.getCheckpointDir()
-        if not folder:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="driftline-"))
-            folder = sc.getCheckpointDir()
     return folder.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each behind as many underscores as tell it and what begins with it from df's columns."""
+    taken = [c.lower() for c in df.columns]
+    out = []
+    for name in names:
+        while any(c.startswith(name.lower()) for c in taken):
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def scratch_path(spark: SparkSession, name: str, tag: str = "") -> str:
     """A new path in the shared folder; removed by release(tag) or when the process ends."""
     path = f"{shared_folder(spark)}/driftline/{name}-{uuid.uuid4().hex}"
@@ -76,10 +88,11 @@ def _release_all() -> None:
             return
 
 
-def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows, else df as it is (the join then shuffles)."""
-    few = df.limit(most + 1).count() <= most
-    return F.broadcast(df) if few else df
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows and, as text, `most_bytes` bytes, else df as it is (the join then shuffles)."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if n <= most and total <= most_bytes else df
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:

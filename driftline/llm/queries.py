@@ -24,7 +24,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     learned = labels.filter(bucket(F.col("doc_id"), 3) != 1).select("doc_id", F.col("toxic").alias("label"))
-    model = toxicity.fit(docs.select("doc_id", "text").join(learned, "doc_id"))
+    model = toxicity.fit(docs, learned)
     return toxicity.toxicity_scores(docs, model).select(
         "doc_id",
         (bucket(F.col("doc_id"), 3) == 1).alias("held_out"),

@@ -4,9 +4,9 @@ Patterns propose candidates; a hash of each candidate is counted over all distin
 owners of the corpus. One that many owners hold is a copied example; one that few hold, and that
 looks random, is live. DataFrame functions only.
 
-Results for odd input: a null text counts as empty; a null repository or owner counts as one of its
-own name; repeated rows give a row each and count once per owner; an empty table gives no rows;
-further columns stay beside the added ones.
+Results for odd input: a null text counts as empty; a null repository or owner counts as one named "";
+repeated rows give a row each and count once per owner; an empty table gives no rows; texts are searched
+whole, however long; further columns, whatever their names, stay beside the added one.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side
+from .common import fresh, materialize, small_side
 from .spans import Kind, digest_columns, let, with_spans
 
 #: Fixed patterns of the base kinds, written so that a run is entered at its first place only.
@@ -80,62 +80,62 @@ def owner_counts(candidates: DataFrame) -> DataFrame:
 
 
 def secret_findings(
-    docs: DataFrame, text: str = "text", repo: str = "source", owner: str = "source", shared: int = SHARED, tag: str = ""
+    docs: DataFrame,
+    text: str = "text",
+    repo: str = "source",
+    owner: str = "source",
+    shared: int = SHARED,
+    tag: str = "",
+    out: str = "secrets",
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """docs with secrets: array<struct<start, rank, end, kind, value, score, class>>, class live or example.
+    """docs, or its columns keep, with out: array<struct<start, rank, end, kind, value, score, class>>, class live or example.
 
     A candidate whose hash at least `shared` distinct owners or repositories hold is an example, and
-    so is one that does not look random. The spans are found once and written to the shared folder;
-    only hashes are counted, only rows with candidates move, and only shared hashes are joined back,
-    to spans that are dealt by hash. A hot hash has one row on the counted side, so the join's large
-    side can be split.
+    so is one that does not look random. Rows and their spans are written to the shared folder once, with
+    a key: what is read of them later has the same keys, however docs was made. Only hashes are counted,
+    and only rows with candidates are joined. A hot hash has one row on the counted side, so the join's
+    large side can be split. A column of the name out is replaced.
     """
-    key, own = "__row", "__secrets"
-    base = with_spans(docs, F.col(f"`{text}`"), KINDS, own)
-    base = base.withColumn(key, F.monotonically_increasing_id())
-    rows = base.select(key, own, F.col(f"`{repo}`").alias("repo"), F.col(f"`{owner}`").alias("owner"))
-    hashed = F.transform(F.col(own), lambda s: s.withField("hash", F.sha2(s["value"].cast("binary"), 256)))
-    table = materialize(
-        rows.filter(F.size(own) > 0).select(
-            key,
-            F.coalesce(F.col("repo").cast("string"), F.lit("")).alias("repo"),
-            F.coalesce(F.col("owner").cast("string"), F.lit("")).alias("owner"),
-            hashed.alias("spans"),
-        ),
-        "secret-spans",
-        tag,
-    )
-    single = table.select(key, "repo", "owner", F.explode("spans").alias("s"))
-    counts = owner_counts(single.select(F.col("s.hash").alias("hash"), "owner", "repo"))
-    copied = counts.filter((F.col("owners") >= shared) | (F.col("repos") >= shared)).select(
-        "hash", F.lit(True).alias("copied")
+    key, spans, who, found = fresh(docs, "__row", "__own", "__who", "__found")
+    base = with_spans(docs, F.col(f"`{text}`"), KINDS, spans)
+    name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    base = base.withColumns({key: F.monotonically_increasing_id(), who: F.struct(name(repo).alias("repo"), name(owner).alias("owner"))})
+    kept = [F.col(f"`{c}`") for c in keep or docs.columns if c.lower() != out.lower()]
+    base = materialize(base.select(*kept, key, spans, who), "secret-spans", tag)
+    single = base.filter(F.size(spans) > 0).select(
+        F.col(key).alias("key"), F.col(f"{who}.repo").alias("repo"), F.col(f"{who}.owner").alias("owner"), F.explode(spans).alias("s")
     )
+    single = single.withColumn("hash", F.sha2(F.col("s.value").cast("binary"), 256))
+    counts = owner_counts(single.select("hash", "owner", "repo"))
+    copied = counts.filter((F.col("owners") >= shared) | (F.col("repos") >= shared)).select("hash", F.lit(True).alias("copied"))
     copied = materialize(copied, "secret-copied", tag)
+    known = F.when(F.col("copied") | ~_random_looking(F.col("s.value")), F.lit("example")).otherwise(F.lit("live"))
     told = (
-        single.select(key, "s", F.col("s.hash").alias("hash"))
-        .join(small_side(copied), "hash", "left")
-        .withColumn(
-            "class",
-            F.when(F.col("copied") | ~_random_looking(F.col("s.value")), F.lit("example")).otherwise(F.lit("live")),
-        )
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.col("s").dropFields("hash").withField("class", F.col("class")))).alias("x"))
+        single.join(small_side(copied), "hash", "left")
+        .groupBy("key")
+        .agg(F.sort_array(F.collect_list(F.col("s").withField("class", known))).alias(found))
+        .withColumnRenamed("key", f"{key}_of")
     )
     told = materialize(told, "secret-classes", tag)
-    return base.drop(own).join(told, key, "left").withColumn("secrets", F.coalesce("x", F.array())).drop(key, "x")
+    none = F.array().cast(told.schema[found].dataType)
+    # rows without candidates stay where they are
+    clean = base.filter(F.size(spans) == 0).select(*kept, none.alias(out))
+    hit = base.filter(F.size(spans) > 0).join(small_side(told), F.col(key) == F.col(f"{key}_of"))
+    return clean.union(hit.select(*kept, F.col(found).alias(out)))
 
 
 def secret_digest(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "source", owner: str = "source"
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "source", owner: str = "source", tag: str = ""
 ) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256, spans, and how many are live or examples."""
-    rows = docs.select(
-        F.col(f"`{doc_id}`").alias("doc_id"),
-        F.col(f"`{text}`").alias("text"),
-        F.col(f"`{repo}`").alias("repo"),
-        F.col(f"`{owner}`").alias("owner"),
-    )
-    found = secret_findings(rows, "text", "repo", "owner")
+    """doc_id, counts of the base kinds, base_sha256, spans, and how many are live or examples.
+
+    A table of documents tells one thing of where a text comes from, its source: it stands for the
+    repository and for its owner, so that both counts are of sources there.
+    """
+    column = lambda c, name: F.col(f"`{c}`").alias(name)
+    rows = docs.select(column(doc_id, "doc_id"), column(text, "text"), column(repo, "repo"), column(owner, "owner"))
+    found = secret_findings(rows, "text", "repo", "owner", tag=tag, keep=["doc_id"])
     spans = F.col("secrets")
     of = lambda name: F.size(F.filter(spans, lambda s: s["class"] == name)).cast("long").alias(f"n_{name}")
     counted = [of("live"), of("example")]

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Running totals go over blocks of this many elements, so that n matches cost n * BLOCK, not n * n.
 BLOCK = 128
 #: Code points either side of a match in which context words count.
@@ -110,24 +112,26 @@ def with_spans(df: DataFrame, text: Column, kinds: list[Kind], out: str) -> Data
     """df with the column out: array<struct<start, rank, end, kind, value, score>> by start, then rank.
 
     rank is the place of the kind in kinds, value the match (or the part that kind.value takes).
-    No shuffle; empty array where nothing is found; a null text counts as empty.
+    No shuffle; empty array where nothing is found; a null text counts as empty. Columns of df stay,
+    but one of the name out, which is replaced.
     """
     none = F.array().cast("array<string>")
-    whole = f"__{out}_text"
+    (own,) = fresh(df, "__spans")
+    whole = f"{own}_text"
     df = df.withColumn(whole, F.coalesce(text, F.lit("")))
     t = F.col(whole)
     names = []
     found = {}
     for k in kinds:
         some = t.rlike(k.pattern)
-        hits, gaps = f"__{out}_{k.name}_hits", f"__{out}_{k.name}_gaps"
+        hits, gaps = f"{own}_{k.name}_hits", f"{own}_{k.name}_gaps"
         found[hits] = F.when(some, F.regexp_extract_all(t, F.lit(k.pattern), F.lit(0))).otherwise(none)
         found[gaps] = F.when(some, F.split(t, k.pattern, -1)).otherwise(none)
         names += [hits, gaps]
     df = df.withColumns(found)
 
     def of(rank: int, k: Kind) -> Column:
-        hits, gaps = F.col(f"__{out}_{k.name}_hits"), F.col(f"__{out}_{k.name}_gaps")
+        hits, gaps = F.col(f"{own}_{k.name}_hits"), F.col(f"{own}_{k.name}_gaps")
         n = F.size(hits)
         steps = F.zip_with(hits, F.slice(gaps, 1, n), lambda h, g: (F.length(h) + F.length(g)).cast("long"))
         rows = F.arrays_zip(

@@ -3,12 +3,15 @@
 One interpolated bigram model for each label, of Kneser-Ney's adjusted counts: a word counts once for
 each distinct word before it, a pair once for each distinct word before the pair, so that a passage
 copied a thousand times weighs as much as one. All words and pairs of the sample count, rare ones
-discounted. Both classes back off to one shared distribution, the
-continuation counts over both, so that an expression too rare to tell is worth the same to either.
-Discounts are the modified Kneser-Ney ones, estimated from counts of counts. The log-likelihood
-ratio of the words, normalised by length and at its strongest words, is taken of words alone and of
-words after the word before, and both are calibrated together, by logistic regression on labelled
-rows that gave no counts: it decides how far pairs are trusted.
+discounted (modified Kneser-Ney, discounts from counts of counts). What a class's discounts set free
+goes to counts that both classes share: of words to the continuation counts over both, of pairs to the
+pair counts over both and from there to the words, so that an expression too rare to tell is worth
+nearly the same to either.
+
+A text's score is the length-normalised comparison of both: the power mean over its words of the
+likelihood ratio, on a log scale. Power 0 is the mean log-likelihood ratio; a larger one lets a few
+telling words in a long text count. The power, how far pairs move the ratio of their second word, and a
+slope and an offset are all chosen on labelled rows that gave no counts.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, small_side
 
 #: Labelled rows of each class from which the counts are taken, in expectation.
 FIT_ROWS = 8_000
@@ -34,13 +37,12 @@ KEPT_WORDS = 1 << 22
 KEPT_PAIRS = 1 << 23
 #: Parts in which pairs come to the driver, a power of two.
 PARTS = 8
-#: Numbers that tell of a text.
-FEATURES = 7
+#: Powers of the mean, and shares of what a pair tells beyond its second word, that the calibration chooses from.
+POWERS = (0.0, 1.0, 2.0, 4.0)
+PAIR_SHARES = (0.0, 0.5, 1.0)
 #: Words remembered by a worker between texts.
 REMEMBERED = 1 << 19
 THRESHOLD = 0.7
-#: Log-likelihood ratio from which on a word tells clearly.
-CLEAR = 2.0
 
 _WORD = re.compile(r"\w+")
 
@@ -66,6 +68,14 @@ class Ids(dict):
         return i
 
 
+def power_mean(ratios: np.ndarray, power: float) -> float:
+    """Log of the power mean of likelihood ratios given by their logs: their plain mean at power 0, their maximum far on."""
+    if power == 0:
+        return float(ratios.mean())
+    top = ratios.max()
+    return float(top + np.log(np.exp(power * (ratios - top)).mean()) / power)
+
+
 @dataclass
 class Model:
     hashes: np.ndarray  # known words, ascending
@@ -73,37 +83,28 @@ class Model:
     after: np.ndarray  # what the word before adds where the pair isn't known
     pairs: np.ndarray  # known pairs, ascending
     pair: np.ndarray  # log-likelihood ratio of the second word of each pair
-    weights: np.ndarray | None = None  # of the calibration
+    power: float = 0.0
+    share: float = 0.0
+    weights: np.ndarray | None = None  # offset and slope of the calibration
 
-    def features(self, ids: np.ndarray) -> np.ndarray:
-        """Of the log-likelihood ratios of the words alone and after the words before them: mean, log of 1 + the sum over CLEAR, mean of the three highest; log length."""
-        n = len(ids)
-        if not n:
-            return np.zeros(FEATURES)
+    def ratios(self, ids: np.ndarray, share: float) -> np.ndarray:
+        """The log-likelihood ratio of each word: of itself, and for `share` what the word before makes of it."""
         each = self.word[ids]
-        alone = _told(each)
-        if n > 1 and len(self.pairs):
+        if share and len(ids) > 1 and len(self.pairs):
             key = ids[:-1] * np.int64(len(self.hashes) + 1) + ids[1:]
             at = np.searchsorted(self.pairs, key)
             at[at == len(self.pairs)] = 0
-            each[1:] = np.where(self.pairs[at] == key, self.pair[at], each[1:] + self.after[ids[:-1]])
-        return np.array([*alone, *_told(each), np.log(n)])
-
-    def score(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_design(features) @ self.weights, -30, 30)))
-
-
-def _told(each: np.ndarray) -> tuple[float, float, float]:
-    top = min(3, len(each))
-    return (
-        np.clip(each, -CLEAR, 2 * CLEAR).mean(),
-        np.log1p(np.maximum(each - CLEAR, 0).sum()),
-        np.partition(each, len(each) - top)[len(each) - top :].mean(),
-    )
+            each[1:] += share * np.where(self.pairs[at] == key, self.pair[at] - each[1:], self.after[ids[:-1]])
+        return each
 
+    def measure(self, ids: np.ndarray, power: float | None = None, share: float | None = None) -> float:
+        """The length-normalised comparison of a text; 0 of one without words."""
+        if not len(ids):
+            return 0.0
+        return power_mean(self.ratios(ids, self.share if share is None else share), self.power if power is None else power)
 
-def _design(x: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(x)), x])
+    def score(self, measures: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + self.weights[1] * measures, -30, 30)))
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
@@ -126,6 +127,17 @@ def build(words: dict[str, np.ndarray], pairs: dict[str, np.ndarray]) -> Model:
     hashes, size = words["h"], len(words["h"])
     shared = (np.append(words["left"], 0) + 1.0) / (words["left"].sum() + size + 1.0)
     a, b = (x.astype(np.int32) for x in np.divmod(pairs["key"], np.int64(size + 1)))
+
+    def discounted(own: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Share of each pair among those of its first word, and what the discounts leave of each first word."""
+        off = _discounts(own).astype(np.float32)
+        less = np.maximum(own - off[np.minimum(own, 3).astype(int)], 0).astype(np.float32)
+        # pairs without a count of their own are one event after each word
+        total = np.maximum(np.bincount(a, own, size + 1), least) + 1.0
+        less /= total.astype(np.float32)[a]
+        return less, np.maximum(1 - np.bincount(a, less, size + 1), 1e-3).astype(np.float32)
+
+    both, rest = discounted(pairs["c0"] + pairs["c1"], np.append(words["left"], 0))
     word, after, pair = [], [], []
     for c in (0, 1):
         count = np.append(words[f"c{c}"], 0).astype(float)
@@ -133,16 +145,10 @@ def build(words: dict[str, np.ndarray], pairs: dict[str, np.ndarray]) -> Model:
         less = np.maximum(count - off[np.minimum(count, 3).astype(int)], 0)
         total = max(count.sum(), 1.0)
         p = less / total + (1 - less.sum() / total) * shared
-        own = pairs[f"c{c}"].astype(np.float32)
-        off = _discounts(pairs[f"c{c}"]).astype(np.float32)
-        less = np.maximum(own - off[np.minimum(own, 3).astype(int)], 0)
-        # pairs without a count of their own are one event after each word
-        total = np.maximum(np.bincount(a, own, size + 1), count) + 1.0
-        high = less / total.astype(np.float32)[a]
-        low = np.maximum(1 - np.bincount(a, high, size + 1), 1e-3)
+        high, low = discounted(pairs[f"c{c}"], count)
         word.append(np.log(p))
         after.append(np.log(low))
-        pair.append(np.log(high + low.astype(np.float32)[a] * p.astype(np.float32)[b]))
+        pair.append(np.log(high + low[a] * (both + rest[a] * p.astype(np.float32)[b])))
     return Model(hashes, word[1] - word[0], after[1] - after[0], pairs["key"], pair[1] - pair[0])
 
 
@@ -198,43 +204,47 @@ def _taken_pairs(counts: DataFrame, hashes: np.ndarray) -> dict[str, np.ndarray]
     return {c: np.concatenate([x[c] for x in parts]) for c in ("key", "c0", "c1")}
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", doc_id: str = "doc_id", tag: str = "") -> Model:
-    """The calibrated model of labelled rows (label 0 or 1; others, nulls included, are left out).
+def _share(u: Column, numbers: dict, most: float, at: float, cap: int) -> Column:
+    """Rows of label whose u lies in [at, at + width) of the unit interval, width: most, or less for a large class."""
+    out = F.lit(False)
+    for c, n in numbers.items():
+        lo, hi = at, at + min(most, cap / n)
+        out = out | ((F.col("label") == c) & (u >= int(lo * (1 << 30))) & (u < int(hi * (1 << 30))))
+    return out
 
-    Of each class, FIT_ROWS rows in expectation, chosen by a hash of doc_id, give counts and
-    CALIBRATION_ROWS others the calibration; all there are, if fewer. Without rows of both classes
-    every score is a half. The counts are made on the executors; those of all words and pairs come to
-    the driver, KEPT_WORDS and KEPT_PAIRS at most.
+
+def fit(
+    docs: DataFrame, labels: DataFrame | None = None, text: str = "text", label: str = "label", doc_id: str = "doc_id", tag: str = ""
+) -> Model:
+    """The calibrated model of docs' labelled rows (label 0 or 1; others, nulls included, are left out).
+
+    labels: doc_id, label; without it they are columns of docs. Of each class, FIT_ROWS rows in
+    expectation, chosen by a hash of doc_id, give counts and CALIBRATION_ROWS others the calibration; all
+    there are, if fewer. A doc_id labelled both ways counts as either; repeated labels count once, rows
+    repeated under one doc_id all do; a null doc_id has no label. Without rows of both classes every score
+    is a half. Ids alone are joined with labels; of the chosen ones the texts are read. The counts are
+    made on the executors; those of all words and pairs come to the driver, KEPT_WORDS and KEPT_PAIRS at
+    most; rarer ones, if any, are left to the words and to unknown words.
     """
-    rows = labelled.select(
-        F.col(f"`{text}`").alias("text"),
-        F.col(f"`{label}`").cast("int").alias("label"),
-        F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.lit("toxicity")), F.lit(1 << 30)).alias("__u"),
-    ).filter(F.col("label").isin(0, 1))
-    share = FIT_ROWS / (FIT_ROWS + CALIBRATION_ROWS)
-    numbers = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-
-    def part(most: float, at: float, cap: int) -> Column:
-        """Rows whose hash lies in [at, at + width) of the unit interval, width: most, or less for a large class."""
-        out = F.lit(False)
-        for c, n in numbers.items():
-            lo, hi = at, at + min(most, cap / n)
-            out = out | ((F.col("label") == c) & (F.col("__u") >= int(lo * (1 << 30))) & (F.col("__u") < int(hi * (1 << 30))))
-        return out
-
-    sample = materialize(rows.filter(part(share, 0.0, FIT_ROWS) | part(1 - share, share, CALIBRATION_ROWS)), "toxicity-fit", tag)
-    chosen = sample.filter(part(share, 0.0, FIT_ROWS)).select("text", "label")
+    labels = docs if labels is None else labels
+    known = labels.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("label"))
+    known = known.filter(F.col("label").isin(0, 1) & F.col("__id").isNotNull()).distinct()
+    ids = docs.select(F.col(f"`{doc_id}`").alias("__id")).filter(F.col("__id").isNotNull()).distinct().join(known, "__id")
+    ids = materialize(ids.withColumn("u", F.pmod(F.xxhash64("__id", F.lit("toxicity")), F.lit(1 << 30))), "toxicity-ids", tag)
+    numbers = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    part = FIT_ROWS / (FIT_ROWS + CALIBRATION_ROWS)
+    counted = _share(F.col("u"), numbers, part, 0.0, FIT_ROWS)
+    chosen = ids.withColumn("counts", counted).filter(F.col("counts") | _share(F.col("u"), numbers, 1 - part, part, CALIBRATION_ROWS))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("text"))
+    sample = materialize(rows.join(small_side(chosen.select("__id", "label", "counts")), "__id").drop("__id"), "toxicity-fit", tag)
     pairs = (
-        chosen.mapInArrow(_contexts, "z long, a long, b long, label int")
+        sample.filter("counts").select("text", "label").mapInArrow(_contexts, "z long, a long, b long, label int")
         .distinct()
         .groupBy("a", "b")
         .agg(F.count_if(F.col("label") == 0).alias("c0"), F.count_if(F.col("label") == 1).alias("c1"))
-    )
+    )
     pairs = materialize(pairs, "toxicity-pairs", tag)
-    words = (
-        pairs.groupBy("b")
-        .agg(F.count_if(F.col("c0") > 0).alias("c0"), F.count_if(F.col("c1") > 0).alias("c1"), F.count("*").alias("left"))
-    )
+    words = pairs.groupBy("b").agg(F.count_if(F.col("c0") > 0).alias("c0"), F.count_if(F.col("c1") > 0).alias("c1"), F.count("*").alias("left"))
     words = _taken(_most(words, F.col("left"), ["b"], KEPT_WORDS), ["b"])
     words["h"] = words.pop("b").view(np.uint64)
     order = np.argsort(words["h"])
@@ -242,79 +252,90 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", doc_id: s
     kept = _most(pairs.filter(F.col("a") != 0), F.col("c0") + F.col("c1"), ["a", "b"], KEPT_PAIRS)
     model = build(words, _taken_pairs(kept, words["h"]))
     sent = pairs.sparkSession.sparkContext.broadcast(model)
-    found = _with_features(sample.filter(part(1 - share, share, CALIBRATION_ROWS)), sent).select("label", "f").toPandas()
+    ways = [(power, share) for share in PAIR_SHARES for power in POWERS]
+    found = _measured(sample.filter("NOT counts").select("text", "label"), sent, ways).select("label", "f").toPandas()
     sent.destroy()
     y = found["label"].to_numpy(float)
     if not len(y) or y.min() == y.max():
-        model.weights = np.zeros(FEATURES + 1)
+        model.weights = np.zeros(2)
         return model
-    prior = numbers.get(1, 0) / sum(numbers.values())
-    model.weights = calibrate(np.stack(found["f"].to_numpy()), y, prior)
+    x, prior = np.stack(found["f"].to_numpy()), numbers.get(1, 0) / sum(numbers.values())
+    tried = [calibrate(x[:, i], y, prior) for i in range(len(ways))]
+    # a likelier toxic text never scores less
+    best = min(range(len(ways)), key=lambda i: (tried[i][0][1] < 0, tried[i][1], i))
+    (model.power, model.share), model.weights = ways[best], tried[best][0]
+    if not model.share:  # no score needs the pairs
+        model.pairs, model.pair = model.pairs[:0], model.pair[:0]
     return model
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
-    """Weights of a logistic regression, rows weighted so that the classes stand as in all labelled rows."""
-    d = _design(x)
-    scale = np.maximum(d.std(axis=0), 1e-9)
-    scale[0] = 1
-    d, w = d / scale, np.zeros(d.shape[1])
+def calibrate(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Offset and slope of a logistic regression on x, and its loss; rows weighted so that the classes stand as in all labelled rows."""
+    scale = max(float(x.std()), 1e-9)
+    d, w = np.column_stack([np.ones(len(x)), x / scale]), np.zeros(2)
     weight = np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9))
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
         g = d.T @ (weight * (q - y)) + 0.1 * w
-        step = np.linalg.solve((d * (weight * q * (1 - q))[:, None]).T @ d + 0.1 * np.eye(len(w)), g)
+        step = np.linalg.solve((d * (weight * q * (1 - q))[:, None]).T @ d + 0.1 * np.eye(2), g)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return w / scale
+    q = np.clip(1 / (1 + np.exp(-np.clip(d @ w, -30, 30))), 1e-12, 1 - 1e-12)
+    return w / [1, scale], float(-(weight * np.where(y == 1, np.log(q), np.log(1 - q))).mean())
 
 
-def _with_features(rows: DataFrame, sent) -> DataFrame:
-    return _scored(rows, sent, lambda own, f: pa.array(list(f), pa.list_(pa.float64())), "f", "array<double>")
+def _ids(batches: Iterator[pa.RecordBatch], own: Model, at: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The batches in slices, with the word places of each text in column at."""
+    ids = Ids(own.hashes)
+    for batch in slices(batches):
+        words = (words_of(t.as_py()) for t in batch.column(at))
+        yield batch, [np.fromiter(map(ids.__getitem__, w), np.int64, len(w)) for w in words]
 
 
-def _scored(rows: DataFrame, sent, make, name: str, kind: str) -> DataFrame:
-    """rows without text, with a column made of the features of each text."""
-    keep = [c for c in rows.columns if c != "text"]
-    ordered = rows.select("text", *keep)
+def _measured(rows: DataFrame, sent, ways: list[tuple[float, float]]) -> DataFrame:
+    """label, f: the measures of each text (text, label) for each (power, share)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        ids = Ids(own.hashes)
-        for batch in slices(batches):
-            f = np.zeros((batch.num_rows, FEATURES))
-            for i, text in enumerate(batch.column(0)):
-                found = words_of(text.as_py())
-                f[i] = own.features(np.fromiter(map(ids.__getitem__, found), np.int64, len(found)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], make(own, f)], [*keep, name])
+        for batch, found in _ids(batches, own, 0):
+            f = [[own.measure(i, power, share) for power, share in ways] for i in found]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(f, pa.list_(pa.float64()))], ["label", "f"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields[1:]]
-    return ordered.mapInArrow(run, ", ".join([*fields, f"{name} {kind}"]))
+    return rows.mapInArrow(run, "label int, f array<double>")
 
 
 def toxicity_scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score of each row: the probability that its whole text is labelled toxic.
+    """doc_id, score of each row: the probability that its whole text, however long, is labelled toxic.
 
-    Null, empty and wordless texts score what the calibration says of no evidence; repeated rows give
-    a row each; an empty table gives no rows; other columns are not read.
+    Null, empty and wordless texts score what the calibration says of no evidence; repeated rows and
+    null ids give a row each; an empty table gives no rows; other columns are not read.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"))
     sent = rows.sparkSession.sparkContext.broadcast(model)
-    return _scored(rows, sent, lambda own, f: pa.array(own.score(f)), "score", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch, found in _ids(batches, own, 0):
+            scores = own.score(np.array([own.measure(i) for i in found], float))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(scores)], ["doc_id", "score"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def keep_below(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose text scores threshold or more; all columns as they are, no shuffle."""
+    """docs without the rows whose text scores threshold or more; all columns as they are, no shuffle.
+
+    Null, empty and wordless texts are kept or not as toxicity_scores() scores them; of repeated rows all
+    or none go.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        ids = Ids(own.hashes)
-        for batch in slices(batches):
-            found = [words_of(t.as_py()) for t in batch.column(at)]
-            f = np.array([own.features(np.fromiter(map(ids.__getitem__, w), np.int64, len(w))) for w in found]).reshape(-1, FEATURES)
-            yield batch.filter(pa.array(own.score(f) < threshold))
+        for batch, found in _ids(batches, own, at):
+            scores = own.score(np.array([own.measure(i) for i in found], float))
+            yield batch.filter(pa.array(scores < threshold))
 
     return docs.mapInArrow(run, docs.schema)
