@@ -1,15 +1,15 @@
 """Approximate nearest neighbours over several shifted Hilbert orderings of projected vectors.
 
-Each curve projects the vectors by its own random rotation, shifts and quantises the first few
-coordinates, and orders the vectors by their place on the Hilbert curve. The order is cut into blocks
-of equal size by quantiles of the keys; queries of a block meet the vectors of the blocks around it,
-and the best of all curves are merged. Scores are exact inner products of the original vectors.
-
-How wide the windows must be depends on the data. Vectors with structure (clusters, few dimensions)
-need narrow ones. In vectors spread evenly over a sphere of 64 dimensions a curve tells little:
-a true neighbour is in a window of half of all vectors about 0.6 of the time, so that three curves of
-such windows are needed for a recall of 0.9 (measured; README). window is therefore a share of the
-table and a parameter.
+Each curve projects the vectors on DIMENSIONS axes of a random rotation that no other curve of the
+rotation has, shifts and quantises the coordinates, and orders the vectors by their place on the Hilbert
+curve. The order is cut into tiles of equal size by quantiles of the keys; a query meets the vectors of
+its tile and of the nearer neighbouring tile, and the best of all curves are merged. Scores are exact
+inner products of the original vectors.
+
+The vectors of two tiles are a share of the table that no size changes: 2 / TILES, on CURVES curves
+together 0.97 of the table. Only of tables under TILES * LEAST vectors tiles are larger, since the k
+nearest of few vectors lie farther off. A task holds a slice of the queries and passes over a tile's
+vectors batch by batch, so its memory depends on neither.
 """
 
 from __future__ import annotations
@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-CURVES = 4
+CURVES = 16
 #: Dimensions and bits of a curve, and bits of a hash below them that keep equal keys apart.
-DIMENSIONS, BITS, TIE_BITS = 6, 5, 30
-#: Share of the blocks that a query meets on each curve.
-WINDOW = 0.5
-#: Vectors in a block, about, and blocks of a curve at most.
-BLOCK, MOST_BLOCKS = 4096, 4096
+DIMENSIONS, BITS, TIE_BITS = 4, 6, 30
+#: Tiles of a curve, and vectors in a tile at least.
+TILES, LEAST = 33, 160
+#: Queries that a task holds, about.
+SLICE = 16_384
+#: Candidates kept of a pass besides the k asked for.
+SPARE = 8
 #: Vectors that the quantiles of the keys are taken from, in expectation.
 SAMPLE = 100_000
 SEED = 7
@@ -66,9 +68,11 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 def _curve(dim: int, curve: int) -> tuple[np.ndarray, np.ndarray]:
     """Projection and shift of a curve: the same for every task."""
-    rng = np.random.default_rng([SEED, dim, curve])
-    basis = np.linalg.qr(rng.standard_normal((dim, min(dim, DIMENSIONS))))[0]
-    return basis, rng.random(basis.shape[1])
+    own = min(dim, DIMENSIONS)
+    rotation, place = divmod(curve, dim // own)
+    basis = np.linalg.qr(np.random.default_rng([SEED, dim, rotation]).standard_normal((dim, dim)))[0]
+    shift = np.random.default_rng([SEED, dim, rotation, place]).random(own)
+    return basis[:, place * own : (place + 1) * own], shift
 
 
 def curve_key(vectors: np.ndarray, curve: int, scale: float) -> np.ndarray:
@@ -85,6 +89,67 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores of each row and their ids, of equal scores the smaller ids, in no order."""
+    if score.shape[1] <= k:
+        return score, ids
+    keep = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(score, keep, 1), np.take_along_axis(ids, keep, 1)
+
+
+class _Tile:
+    """The queries of a slice and the best that they have met so far."""
+
+    def __init__(self, rep: np.ndarray, vectors: np.ndarray, k: int):
+        self.rep, self.vectors, self.k = rep, vectors, k
+        self.score, self.found = np.zeros((len(rep), 0)), np.zeros((len(rep), 0), np.int64)
+
+    def meet(self, rep: np.ndarray, vectors: np.ndarray) -> None:
+        scores, found = [], []
+        for at in range(0, len(self.rep), 512):  # the scores of a part of the queries at a time
+            own = slice(at, at + 512)
+            score = self.vectors[own] @ vectors.T
+            part, ids = _best(score, np.broadcast_to(rep, score.shape), self.k)
+            part, ids = _best(np.hstack([self.score[own], part]), np.hstack([self.found[own], ids]), self.k)
+            scores.append(part)
+            found.append(ids)
+        if scores:
+            self.score, self.found = np.vstack(scores), np.vstack(found)
+
+    def rows(self) -> pa.RecordBatch:
+        q = np.repeat(self.rep, self.found.shape[1])
+        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(self.found.ravel()), pa.array(self.score.ravel())], ["q", "c", "score"])
+
+
+def _search(dim: int, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(curve, tile, slice, asks, rep, embedding), by the first three and queries first -> (q, c, score)."""
+        at, queries, tile = None, [], None
+        for batch in batches:
+            keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)] + [batch.column(3).to_numpy(zero_copy_only=False)]).astype(np.int64)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                own, asks = tuple(keys[lo, :3].tolist()), bool(keys[lo, 3])
+                if own != at:
+                    if tile is not None:
+                        yield tile.rows()
+                    at, queries, tile = own, [], None
+                rep = batch.column(4).slice(lo, hi - lo).to_numpy()
+                vectors = _matrix(batch.column(5).slice(lo, hi - lo), dim)
+                if asks:
+                    queries.append((rep, vectors))
+                elif queries or tile is not None:
+                    if tile is None:
+                        tile, queries = _Tile(*(np.concatenate(x) for x in zip(*queries, strict=True)), k), []
+                    tile.meet(rep, vectors)
+        if tile is not None:
+            yield tile.rows()
+
+    return run
+
+
 def nearest(
     vectors: DataFrame,
     k: int = 20,
@@ -92,8 +157,8 @@ def nearest(
     vec_id: str = "vec_id",
     embedding: str = "embedding",
     curves: int = CURVES,
-    window: float = WINDOW,
-    block: int = BLOCK,
+    tiles: int = TILES,
+    least: int = LEAST,
     tag: str = "",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k found of largest inner product for each row that query (SQL on vec_id) holds for.
@@ -106,14 +171,16 @@ def nearest(
     """
     spark = vectors.sparkSession
     e = F.col("embedding")
+    kind = vectors.schema[embedding].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select(F.col(f"`{vec_id}`").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col(f"`{vec_id}`").alias("vec_id"), F.col(f"`{embedding}`").cast(kind).alias("embedding"))
     rows = rows.filter(F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0) & fine)
     common = rows.groupBy(F.size(e).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if common is None:
         return spark.createDataFrame([], schema)
-    dim, total = common["d"], common["n"]
+    dim = common["d"]
     # of each distinct vector the k + 1 smallest ids: no more can be among the k nearest
     same = Window.partitionBy("embedding").orderBy("vec_id")
     kept = materialize(
@@ -127,86 +194,74 @@ def nearest(
     asking = materialize(asking, "queries", tag)
     wanted = asking.select("rep").distinct().withColumn("asks", F.lit(True))
     classes = classes.join(wanted, "rep", "left").select("rep", "embedding", F.coalesce("asks", F.lit(False)).alias("asks"))
-    scale = float((1.0 / dim) ** 0.5) * (rows.agg(F.avg(F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 1.0)
+    norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    total, length, questions = classes.agg(F.count("*"), F.avg(norm), F.count_if("asks")).first()
+    scale = float((1.0 / dim) ** 0.5) * (length or 1.0)
 
     @F.pandas_udf("array<long>")
     def keys(v: pd.Series, rep: pd.Series) -> pd.Series:
         if not len(v):
             return pd.Series([], dtype=object)
-        m = np.stack(v.to_numpy())
+        m = np.stack(v.to_numpy()).astype(np.float64)
         tie = (rep.to_numpy(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TIE_BITS)).astype(np.int64)
         return pd.Series(list(np.column_stack([curve_key(m, c, scale) << TIE_BITS | tie for c in range(curves)])))
 
     placed = materialize(classes.withColumn("keys", keys("embedding", "rep")), "curve-keys", tag)
-    # blocks: equal shares of each curve's order, by quantiles of a sample of the keys
-    number = int(min(MOST_BLOCKS, max(1, round(total / block))))
+    # half tiles: equal shares of each curve's order, by quantiles of a sample of the keys
+    number = max(1, min(tiles, total // least))
     cuts = np.zeros((curves, 0), np.int64)
     if number > 1:
         share = min(1.0, SAMPLE / total)
         sample = np.stack(
             placed.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(share * (1 << 30))).select("keys").toPandas()["keys"].to_numpy()
         )
-        cuts = np.quantile(sample, np.arange(1, number) / number, axis=0, method="lower").T.astype(np.int64)
-    half = max(1, -(-int(window * number) // 2)) if number > 1 else 0
+        cuts = np.quantile(sample, np.arange(1, 2 * number) / (2 * number), axis=0, method="lower").T.astype(np.int64)
+    parts = max(1, -(-2 * questions // (number * SLICE)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vector once to its block of each curve, each query to all blocks of its window."""
+        """Each vector to its tile of each curve, once for each slice of queries; each query to its tile and the nearer one beside it."""
         for batch in batches:
             if not batch.num_rows:
                 continue
             own = np.stack(batch.column(3).to_numpy(zero_copy_only=False))
-            asks = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            take, curve_of, block_of, query_of = [], [], [], []
+            q = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
+            part_of = (batch.column(0).to_numpy()[q].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % parts
+            every = np.arange(batch.num_rows)
+            rows: list[tuple] = []
             for c in range(curves):
-                at = np.searchsorted(cuts[c], own[:, c], "right")
-                take.append(np.arange(len(at)))
-                block_of.append(at)
-                query_of.append(np.zeros(len(at), bool))
-                q = np.flatnonzero(asks)
-                # at the ends of a curve the window moves inwards, so that all are as wide
-                first = np.clip(at[q] - half, 0, max(0, number - 1 - 2 * half))
-                width = min(number, 2 * half + 1)
-                take.append(np.repeat(q, width))
-                block_of.append((first[:, None] + np.arange(width)).ravel())
-                query_of.append(np.ones(len(q) * width, bool))
-                curve_of.append(np.full(len(at) + len(q) * width, c, np.int32))
-            i = pa.array(np.concatenate(take))
+                half = np.searchsorted(cuts[c], own[:, c], "right")
+                tile = half // 2
+                rows += [(every, c, tile, np.full(len(every), p), False) for p in range(parts)]
+                beside = np.where(half % 2 == 0, tile - 1, tile + 1)[q]
+                # at the ends of a curve there is one neighbour
+                beside = np.where(beside < 0, 1, np.where(beside >= number, number - 2, beside))
+                rows.append((q, c, tile[q], part_of, True))
+                if number > 1:
+                    rows.append((q, c, beside, part_of, True))
+            take = pa.array(np.concatenate([r[0] for r in rows]))
+            each = [len(r[0]) for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate(curve_of)),
-                    pa.array(np.concatenate(block_of).astype(np.int32)),
-                    pa.array(np.concatenate(query_of)),
-                    batch.column(0).take(i),
-                    batch.column(1).take(i),
+                    pa.array(np.repeat([r[1] for r in rows], each).astype(np.int32)),
+                    pa.array(np.concatenate([r[2] for r in rows]).astype(np.int32)),
+                    pa.array(np.concatenate([r[3] for r in rows]).astype(np.int32)),
+                    pa.array(np.repeat([r[4] for r in rows], each)),
+                    batch.column(0).take(take),
+                    batch.column(1).take(take),
                 ],
-                ["curve", "block", "asks", "rep", "embedding"],
+                ["curve", "tile", "slice", "asks", "rep", "embedding"],
             )
 
     dealt = placed.select("rep", "embedding", "asks", "keys").mapInArrow(
-        deal, "curve int, block int, asks boolean, rep long, embedding array<double>"
+        deal, f"curve int, tile int, slice int, asks boolean, rep long, embedding {kind}"
     )
-
-    def search(table: pa.Table) -> pa.Table:
-        asks = table["asks"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
-        rep = table["rep"].combine_chunks().to_numpy()
-        m = _matrix(table["embedding"].combine_chunks(), dim)
-        q, v = np.flatnonzero(asks), np.flatnonzero(~asks)
-        v = v[np.argsort(rep[v], kind="stable")]
-        out = []
-        for at in range(0, len(q) if len(v) else 0, 512):  # the scores of a part of the queries at a time
-            own = q[at : at + 512]
-            scores = m[own] @ m[v].T
-            best = np.argpartition(-scores, min(k, len(v) - 1), axis=1)[:, : k + 1] if len(v) > k + 1 else np.tile(np.arange(len(v)), (len(own), 1))
-            i = np.repeat(own, best.shape[1])
-            j = v[best.ravel()]
-            out.append((rep[i], rep[j], np.einsum("ij,ij->i", m[i], m[j])))
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"q": cols[0], "c": cols[1], "score": cols[2]})
-
-    found = dealt.groupBy("curve", "block").applyInArrow(search, "q long, c long, score double")
+    group = ["curve", "tile", "slice"]
+    dealt = dealt.repartition(*group).sortWithinPartitions(*group, F.desc("asks"))
+    found = dealt.mapInArrow(_search(dim, k + 1 + SPARE), "q long, c long, score double")
     merged = found.groupBy("q", "c").agg(F.max("score").alias("score"))
     of_query = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    best = materialize(merged.withColumn("n", F.row_number().over(of_query)).filter(F.col("n") <= k + 1).drop("n"), "nearest-classes", tag)
+    best = merged.withColumn("n", F.row_number().over(of_query)).filter(F.col("n") <= k + 1).drop("n")
+    best = materialize(best, "nearest-classes", tag)
     # members of the classes found, then for each row that asks the k nearest but itself
     listed = best.join(members, best["c"] == members["rep"]).select("q", "vec_id", "score")
     in_query = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
