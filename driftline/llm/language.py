@@ -23,6 +23,8 @@ BUCKETS = 1 << 14
 ORDERS = 3
 #: Characters hashed at once of a long text.
 CHUNK = 1 << 16
+#: Languages at most; of a column with more, whatever it holds are no languages.
+MOST_LANGUAGES = 1_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.0005, 2
 UNKNOWN = "und"
 
@@ -52,14 +54,13 @@ class Model:
     weights: np.ndarray  # [buckets, languages]
     temperature: float = 1.0
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The text's L2-normalised TF-IDF vector, sparse."""
-        at, n = ngrams(text)
+    def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The L2-normalised TF-IDF vector of ngrams() of a text, sparse."""
         x = (1 + np.log(n)) * self.idf[at]
         return at, x / max(np.sqrt((x * x).sum()), 1e-12)
 
     def probabilities(self, text: str) -> np.ndarray:
-        at, x = self.vector(text)
+        at, x = self.vector(*ngrams(text))
         return softmax(x @ self.weights[at] / self.temperature)
 
 
@@ -68,16 +69,16 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[str], languages: list[str], held: np.ndarray) -> Model:
-    """The calibrated model; held: rows that give the temperature only."""
+def train(own: list[tuple[np.ndarray, np.ndarray]], languages: list[str], held: np.ndarray) -> Model:
+    """The calibrated model of ngrams() of texts; held: rows that give the temperature only."""
     names = sorted(set(languages))
-    y = np.array([names.index(x) for x in languages])
-    own = [ngrams(t) for t in texts]
+    places = {x: i for i, x in enumerate(names)}
+    y = np.array([places[x] for x in languages])
     df = np.zeros(ORDERS * BUCKETS)
     for (at, _), h in zip(own, held, strict=True):
         df[at] += not h
     model = Model(names, np.log((1 + (~held).sum()) / (1 + df)) + 1, np.zeros((len(df), len(names))))
-    vectors = [model.vector(t) for t in texts]
+    vectors = [model.vector(*x) for x in own]
     z, n, w = (np.zeros_like(model.weights) for _ in range(3))
     order = np.flatnonzero(~held)
     rng = np.random.default_rng(0)
@@ -105,29 +106,48 @@ def train(texts: list[str], languages: list[str], held: np.ndarray) -> Model:
     return model
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, lang, u) -> (lang, u, at, n): the n-gram buckets of each text and their counts."""
+    for batch in slices(batches):
+        found = [ngrams(t.as_py()) for t in batch.column(0)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(1), batch.column(2)]
+            + [pa.array([x[i].astype(np.int32) for x in found], pa.list_(pa.int32())) for i in (0, 1)],
+            ["lang", "u", "at", "n"],
+        )
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
     """The model of labelled rows with a text and a language.
 
     Of each language ROWS_PER_LANGUAGE rows in expectation (all, if fewer), chosen by a hash of
-    doc_id: the sample is bounded whatever the table. Without rows the model knows no language and
-    every text is und.
+    doc_id: the sample is bounded whatever the table. n-grams are counted on the executors; their
+    buckets, at most ORDERS * BUCKETS for a text however long, come to the driver. Rows repeated under
+    one doc_id are chosen together. Without rows the model knows no language and every text is und; more
+    than MOST_LANGUAGES languages are an error.
     """
     rows = labelled.select(
         F.col(f"`{text}`").cast("string").alias("text"),
         F.col(f"`{lang}`").cast("string").alias("lang"),
-        F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.lit("language")), F.lit(1 << 30)).alias("__u"),
+        F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.lit("language")), F.lit(1 << 30)).alias("u"),
     ).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    numbers = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    numbers = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(numbers) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    width = {r["lang"]: int(min(1.0, ROWS_PER_LANGUAGE / r["n"]) * (1 << 30)) for r in numbers}
     chosen: Column = F.lit(False)
-    for name, n in numbers.items():
-        chosen = chosen | ((F.col("lang") == name) & (F.col("__u") < int(min(1.0, ROWS_PER_LANGUAGE / n) * (1 << 30))))
-    found = rows.filter(chosen).orderBy("__u", "lang", F.xxhash64("text")).toPandas()
-    if not len(found):
+    if width:
+        chosen = F.col("u") < F.element_at(F.create_map(*[F.lit(x) for pair in width.items() for x in pair]), F.col("lang"))
+    found = rows.filter(chosen).mapInArrow(_counted, "lang string, u long, at array<int>, n array<int>").toArrow()
+    if not found.num_rows:
         return Model([], np.ones(ORDERS * BUCKETS), np.zeros((ORDERS * BUCKETS, 0)))
-    held = found["__u"].to_numpy() % 4 == 0
+    u, langs = found["u"].to_numpy(), found["lang"].to_pylist()
+    grams = [tuple(np.asarray(x.values) for x in pair) for pair in zip(found["at"], found["n"], strict=True)]
+    order = sorted(range(len(u)), key=lambda i: (u[i], langs[i], grams[i][0].tobytes(), grams[i][1].tobytes()))
+    held = u[order] % 4 == 0
     if held.all():
         held[:] = False
-    return train(found["text"].tolist(), found["lang"].tolist(), held)
+    return train([grams[i] for i in order], [langs[i] for i in order], held)
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,4 +1,7 @@
-"""The opN_ queries: each applies its operator, with production parameters, to its whole table."""
+"""The opN_ queries: each applies its operator, with production parameters, to its whole table.
+
+The scratch tables that a result is read from are removed when its query runs again, or at the end.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hilbert, language, packing, pii, secrets, simhash, templates, tokens, toxicity, warc
-from .common import bucket, table
+from .common import bucket, release, table
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,17 +17,20 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_digest(table(spark, sf_dir, "documents"))
+    release("op10")
+    return secrets.secret_digest(table(spark, sf_dir, "documents"), tag="op10")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_digest(table(spark, sf_dir, "documents"))
+    release("op9")
+    return simhash.simhash_digest(table(spark, sf_dir, "documents"), tag="op9")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    release("op5")
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     learned = labels.filter(bucket(F.col("doc_id"), 3) != 1).select("doc_id", F.col("toxic").alias("label"))
-    model = toxicity.fit(docs, learned)
+    model = toxicity.fit(docs, learned, tag="op5")
     return toxicity.toxicity_scores(docs, model).select(
         "doc_id",
         (bucket(F.col("doc_id"), 3) == 1).alias("held_out"),
@@ -34,7 +40,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_digest(table(spark, sf_dir, "documents"))
+    release("op1")
+    return tokens.token_digest(table(spark, sf_dir, "documents"), tag="op1")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,19 +53,23 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    release("op2")
+    return templates.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), tag="op2")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.token_lengths(table(spark, sf_dir, "documents")))
+    release("op6")
+    return packing.pack(packing.token_lengths(table(spark, sf_dir, "documents")), tag="op6")
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hilbert.nearest(table(spark, sf_dir, "embeddings"))
+    release("op4")
+    return hilbert.nearest(table(spark, sf_dir, "embeddings"), tag="op4")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.warc_digest(table(spark, sf_dir, "pages"))
+    release("op7")
+    return warc.warc_digest(table(spark, sf_dir, "pages"), tag="op7")
 
 
 QUERIES = {

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small_side
+from .common import fresh, materialize, slices, small_side
 from .components import components
 
 RADIUS = 3
@@ -257,9 +257,9 @@ def simhash_components(
     return found.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def simhash_digest(docs: DataFrame) -> DataFrame:
+def simhash_digest(docs: DataFrame, tag: str = "") -> DataFrame:
     """doc_id, fingerprint as 16 hex digits, component_id."""
-    return simhash_components(docs).select(
+    return simhash_components(docs, tag=tag).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -270,5 +270,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tag: s
     Rows repeated under one doc_id stay together; rows without a doc_id stay.
     """
     found = simhash_components(docs, doc_id, text, tag=tag)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")
+    (gone_id,) = fresh(docs, "__id")
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone_id)).distinct()
+    gone = small_side(materialize(gone, "near-gone", tag))
+    return docs.join(gone, F.col(f"`{doc_id}`") == F.col(gone_id), "left_anti")

@@ -6,6 +6,12 @@ benchmark, and the values that fill the placeholders are compared along each ali
 whose values follow the mapping that most of the alignment gives. A second form of each window knows
 no case and no names, so that texts in capitals or in title case are found as well; of windows with
 few words (numbers, short items), only verbatim copies are.
+
+Benchmark items of one template and one pattern of repeated values are joined as one: their placeholders
+are variables, numbered as they first occur, and a window that many of them have is one row. A template
+with many questions and many documents so costs a row a document, not one for each pair. Which windows
+hold the very values of a question, and which whole questions stand there, is looked up by hashes of the
+values.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small_side
+from .common import fresh, materialize, slices, small_side
 
 #: Tokens of a window; shorter items have one window of all their tokens.
 WINDOW = 8
@@ -135,25 +141,70 @@ def window_hashes(words: list[str], sizes: list[int], seen: _Words) -> Iterator[
         yield size, FOLDED, h.view(np.int64), np.arange(len(h))
 
 
-def _windows(sizes: list[int] | None, known):
-    """(id, text) -> windows; sizes None: those of an item, of its own size; known: hashes that go on.
+def _hash(parts: list) -> int:
+    return np.array(xxhash.xxh64_intdigest(repr(parts).encode("utf-8", "surrogatepass")), np.uint64).view(np.int64).item()
+
+
+def _filling(values: list[str | None], at: int, size: int) -> list[str]:
+    return [v for v in values[at : at + size] if v is not None]
+
+
+def _folded(tokens: list[str], values: list[str | None]) -> list[str | None]:
+    """The values of FOLDED windows: names are words there."""
+    return [v if t in (NUMBER, UNIT) else None for t, v in zip(tokens, values, strict=True)]
 
-    Of items, named_windows and windows count the NAMED ones and all places, and named tells that a place has a NAMED one.
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> the windows of each item.
+
+    template: a number for items of the same NAMED windows and pattern of values. slots: the variables
+    that fill the window; filled: a hash of the values that do; whole: of all the item's FOLDED windows.
+    windows and named_windows count all places and the NAMED ones.
     """
+    seen = _Words()
+    for batch in slices(batches):
+        rows = []
+        for own, item in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = item.as_py()
+            words = _TOKEN.findall(text or "")
+            tokens, values = template(text)
+            variables = {v: str(i) for i, v in enumerate(dict.fromkeys(v for v in values if v is not None))}
+            pattern = [v if v is None else variables[v] for v in values]
+            of = {NAMED: (values, pattern), FOLDED: (_folded(tokens, values), _folded(tokens, pattern))}
+            found = list(window_hashes(words, [min(WINDOW, len(words))], seen))
+            rows_of = [
+                (h, at, size, form, _hash([v.casefold() for v in _filling(of[form][0], at, size)]))
+                for size, form, hashes, places in found
+                for h, at in zip(hashes.tolist(), places.tolist(), strict=True)
+            ]
+            whole = _hash([(at, h, filled) for h, at, _, form, filled in rows_of if form == FOLDED])
+            named = [(h.tolist(), at.tolist()) for _, form, h, at in found if form == NAMED]
+            class_ = _hash([len(words), named, pattern]) if named else whole
+            for h, at, size, form, filled in rows_of:
+                rows.append(
+                    (own, class_, whole, h, at, size, form == NAMED, len(named[0][1]) if named else 0, len(words) - size + 1)
+                    + (_filling(of[form][1], at, size), filled)
+                )
+        kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+        kinds += [pa.list_(pa.string()), pa.int64()]
+        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+        names = ["id", "template", "whole", "hash", "at", "size", "named", "named_windows", "windows", "slots", "filled"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def _windows(sizes: list[int], known):
+    """(id, text) -> windows of a document; known: hashes that go on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Words()
         keep = None if known is None else known.value
         for batch in slices(batches):
-            ids, hashes, places, lengths, named, numbers, totals, slots = [], [], [], [], [], [], [], []
+            ids, hashes, places, lengths, slots, filled = [], [], [], [], [], []
             for own, item in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = item.as_py()
                 words = _TOKEN.findall(text or "")
-                some: set[int] = set()
                 values = None
-                for size, form, h, at in window_hashes(words, [min(WINDOW, len(words))] if sizes is None else sizes, seen):
-                    if sizes is None and form == NAMED:
-                        some = set(at.tolist())
+                for size, form, h, at in window_hashes(words, sizes, seen):
                     if keep is not None:
                         i = np.searchsorted(keep, h)
                         i[i == len(keep)] = 0
@@ -163,28 +214,18 @@ def _windows(sizes: list[int] | None, known):
                         continue
                     if values is None:
                         tokens, values = template(text)
-                        folded = [v if t in (NUMBER, UNIT) else None for t, v in zip(tokens, values, strict=True)]
-                    of = values if form == NAMED else folded
+                        folded = _folded(tokens, values)
+                    found = [_filling(values if form == NAMED else folded, a, size) for a in at.tolist()]
                     ids += [own] * len(h)
                     hashes += h.tolist()
                     places += at.tolist()
                     lengths += [size] * len(h)
-                    named += [a in some for a in at.tolist()]
-                    numbers += [len(some)] * len(h)
-                    totals += [len(words) - size + 1] * len(h)
-                    slots += [[v for v in of[a : a + size] if v is not None] for a in at.tolist()]
+                    slots += found
+                    filled += [_hash([v.casefold() for v in x]) for x in found]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, batch.schema.field(0).type),
-                    pa.array(hashes, pa.int64()),
-                    pa.array(places, pa.int64()),
-                    pa.array(lengths, pa.int32()),
-                    pa.array(named, pa.bool_()),
-                    pa.array(numbers, pa.int64()),
-                    pa.array(totals, pa.int64()),
-                    pa.array(slots, pa.list_(pa.string())),
-                ],
-                ["id", "hash", "at", "size", "named", "named_windows", "windows", "slots"],
+                [pa.array(ids, batch.schema.field(0).type), pa.array(hashes, pa.int64()), pa.array(places, pa.int64())]
+                + [pa.array(lengths, pa.int32()), pa.array(slots, pa.list_(pa.string())), pa.array(filled, pa.int64())],
+                ["id", "hash", "at", "size", "slots", "filled"],
             )
 
     return run
@@ -194,43 +235,51 @@ def equal(a: list[str], b: list[str]) -> bool:
     return [v.casefold() for v in a] == [v.casefold() for v in b]
 
 
-def accepted(windows: list[tuple[list[str], list[str]]]) -> list[bool]:
-    """Which windows of an alignment, (the item's values, the document's), count.
+def accepted(windows: list[tuple[list[str], list[str]]], same: list[bool] | None = None) -> list[bool]:
+    """Which windows of an alignment, (the item's values or variables, the document's values), count.
 
-    Those of equal values always do; others if each of their values goes to the value that most windows
+    Those of the same values always do; others if each of their values goes to the value that most windows
     give it and, of names, comes from the one that most windows give back. Several numbers may become one.
     """
+    same = [equal(a, b) for a, b in windows] if same is None else same
     forth: dict[str, Counter] = defaultdict(Counter)
     back: dict[str, Counter] = defaultdict(Counter)
-    for a, b in windows:
+    held = set()
+    for (a, b), own in zip(windows, same, strict=True):
         for x, y in zip(a, b, strict=True):
             forth[x][y] += 1
             back[y][x] += 1
-    most = lambda of: {k: max(n, key=lambda v: (n[v], v == k, v)) for k, n in of.items()}
+            if own:
+                held |= {(x, y), (y, x)}
+    most = lambda of: {k: max(n, key=lambda v: (n[v], (k, v) in held, v)) for k, n in of.items()}
     to, from_ = most(forth), most(back)
     return [
-        equal(a, b) or all(to[x] == y and (not y[0].isupper() or from_[y] == x) for x, y in zip(a, b, strict=True))
-        for a, b in windows
+        own or all(to[x] == y and (not y[0].isupper() or from_[y] == x) for x, y in zip(a, b, strict=True))
+        for (a, b), own in zip(windows, same, strict=True)
     ]
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, item_id, found, named_windows, windows) of alignments -> a row for each window that counts."""
+    """(id, template, found, named_windows, windows) of alignments -> a row for each window that counts.
+
+    whole: of alignments that hold all FOLDED windows, their hash as _items() makes it.
+    """
     for batch in slices(batches):
         rows, of = [], []
-        for i, found in enumerate(batch.column(2)):
+        for i, (found, total) in enumerate(zip(batch.column(2), batch.column(4).to_pylist(), strict=True)):
             found = found.as_py()
-            exact = all(equal(w["a"], w["b"]) for w in found)
-            for w, good in zip(found, accepted([(w["a"], w["b"]) for w in found]), strict=True):
+            folded = sorted((w["place"], w["hash"], w["filled"]) for w in found if not w["named"])
+            whole = _hash(folded) if len(folded) == total else None
+            for w, good in zip(found, accepted([(w["a"], w["b"]) for w in found], [w["same"] for w in found]), strict=True):
                 if good:
                     of.append(i)
-                    rows.append((w["place"], w["named"], exact))
+                    rows.append((w["place"], w["named"], whole))
         take = batch.take(pa.array(of, pa.int64()))
-        place, named, exact = zip(*rows, strict=True) if rows else ((), (), ())
+        place, named, whole = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays(
-            [take.column(0), take.column(1), pa.array(place, pa.int64()), pa.array(named, pa.bool_()), pa.array(exact, pa.bool_())]
+            [take.column(0), take.column(1), pa.array(place, pa.int64()), pa.array(named, pa.bool_()), pa.array(whole, pa.int64())]
             + [take.column(3), take.column(4)],
-            ["id", "item_id", "place", "named", "exact", "named_windows", "windows"],
+            ["id", "template", "place", "named", "whole", "named_windows", "windows"],
         )
 
 
@@ -248,54 +297,83 @@ def contaminated(
     coverage: float = COVERAGE,
     tag: str = "",
 ) -> DataFrame:
-    """doc_id, item_id, coverage, exact: a row for each document and benchmark item that it holds.
-
-    coverage is the share of the item's windows found (of all, or of those in NAMED form if that is
-    more) with accepted() values; exact tells that all values are the same but for case. Null and empty
-    texts hold nothing; rows of one doc_id are judged together, a null doc_id like any other; repeated
-    items and items of equal text each give rows; items of fewer than LITERAL words are found wherever
-    their words stand in a row; an empty table on either side gives an empty result; other columns are
-    not read.
+    """doc_id, item_id, coverage, exact, n_items: a row for each document and template of the benchmark that it holds.
+
+    coverage is the share of the template's windows found (of all, or of those in NAMED form if that is
+    more) with accepted() values; n_items tells how many items have the template. exact tells that an item
+    stands there as a whole, but for case: item_id is it, the least if there are several, and else the least
+    of the template. Null and empty texts hold nothing; texts are read whole, however long; rows of one
+    doc_id are judged together, a null doc_id like any other; items of equal text are items of one
+    template, repeated ones one; items of fewer than LITERAL words are found wherever their words stand in
+    a row; an empty table on either side gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    of = "hash long, at long, size int, named boolean, named_windows long, windows long, slots array<string>"
     kinds = [_rows(d, k, t).schema["id"].dataType.simpleString() for d, k, t in ((docs, doc_id, text), (benchmark, item_id, item_text))]
-    items = _rows(benchmark, item_id, item_text).filter(F.col("text").isNotNull()).mapInArrow(_windows(None, None), f"id {kinds[1]}, {of}")
-    items = items.toDF("item_id", "hash", "item_at", "size", "named", "named_windows", "windows", "item_slots")
+    of = "template long, whole long, hash long, at long, size int, named boolean, named_windows long, windows long, slots array<string>, filled long"
+    items = _rows(benchmark, item_id, item_text).filter(F.col("text").isNotNull()).mapInArrow(_items, f"id {kinds[1]}, {of}")
     items = materialize(items, "item-windows", tag)
+    members = items.groupBy("template").agg(F.min("id").alias("item_id"), F.count_distinct(F.struct("id")).alias("n_items"))
+    members = materialize(members, "item-templates", tag)
+    wholes = materialize(items.groupBy("template", "whole").agg(F.min("id").alias("own_id")), "item-texts", tag)
+    shared = ["template", "hash", "size", "named", "named_windows", "windows"]
+    windows = items.select(*shared, F.col("at").alias("item_at"), F.col("slots").alias("item_slots")).distinct()
+    windows = materialize(windows, "template-windows", tag)
+    values = materialize(items.select("template", "hash", F.col("at").alias("item_at"), "filled").distinct(), "item-values", tag)
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW of them
     hashes, known = items.select("hash").distinct(), None
     if hashes.limit(FILTER_HASHES + 1).count() <= FILTER_HASHES:
         found = hashes.toPandas()["hash"].to_numpy(np.int64)
         found.sort()
         known = spark.sparkContext.broadcast(found if len(found) else np.zeros(1, np.int64))
-    hits = _rows(docs, doc_id, text).filter(F.col("text").isNotNull()).mapInArrow(_windows(sizes, known), f"id {kinds[0]}, {of}")
-    pairs = hits.select("id", "hash", "at", "size", "slots").join(small_side(items), ["hash", "size"])
-    # an alignment of document and item, whose values are judged together
-    window = F.struct(F.col("item_at").alias("place"), "named", F.col("item_slots").alias("a"), F.col("slots").alias("b"))
+    hits = _rows(docs, doc_id, text).filter(F.col("text").isNotNull()).mapInArrow(
+        _windows(sizes, known), f"id {kinds[0]}, hash long, at long, size int, slots array<string>, filled long"
+    )
+    pairs = hits.join(small_side(windows), ["hash", "size"])
+    pairs = pairs.join(small_side(values.withColumn("same", F.lit(True))), ["template", "hash", "item_at", "filled"], "left")
+    # an alignment of document and template, whose values are judged together
+    same = F.coalesce("same", F.lit(False)).alias("same")
+    window = F.struct(F.col("item_at").alias("place"), "hash", "named", "filled", same, F.col("item_slots").alias("a"), F.col("slots").alias("b"))
     aligned = (
-        pairs.groupBy("id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+        pairs.groupBy("id", "template", (F.col("at") - F.col("item_at")).alias("shift"))
         .agg(F.collect_set(window).alias("found"), F.max("named_windows").alias("named_windows"), F.max("windows").alias("windows"))
         .drop("shift")
     )
     judged = aligned.mapInArrow(
-        _judge, f"id {kinds[0]}, item_id {kinds[1]}, place long, named boolean, exact boolean, named_windows long, windows long"
+        _judge, f"id {kinds[0]}, template long, place long, named boolean, whole long, named_windows long, windows long"
     )
+    judged = materialize(judged, "judged-windows", tag)
     of_named = F.count_if("named") / F.nullif(F.max("named_windows"), F.lit(0))
-    return (
-        judged.groupBy("id", "item_id", "place")
-        .agg(*[F.max(c).alias(c) for c in ("named", "exact", "named_windows", "windows")])
-        .groupBy("id", "item_id")
-        .agg(F.greatest(F.count("*") / F.max("windows"), of_named).alias("coverage"), F.min("exact").alias("exact"))
+    held = (
+        judged.groupBy("id", "template", "place")
+        .agg(*[F.max(c).alias(c) for c in ("named", "named_windows", "windows")])
+        .groupBy("id", "template")
+        .agg(F.greatest(F.count("*") / F.max("windows"), of_named).alias("coverage"))
         .filter(F.col("coverage") >= coverage)
-        .select(F.col("id").alias("doc_id"), "item_id", "coverage", "exact")
+    )
+    there = judged.filter(F.col("whole").isNotNull()).select("id", "template", "whole").distinct().join(small_side(wholes), ["template", "whole"])
+    there = there.groupBy("id", "template").agg(F.min("own_id").alias("own_id"), F.lit(True).alias("exact"))
+    there = there.withColumnsRenamed({"id": "__id", "template": "__template"})
+    return (
+        held.join(small_side(members), "template")
+        .join(there, F.col("id").eqNullSafe(F.col("__id")) & (F.col("template") == F.col("__template")), "left")
+        .select(
+            F.col("id").alias("doc_id"),
+            F.when(F.col("exact"), F.col("own_id")).otherwise(F.col("item_id")).alias("item_id"),
+            "coverage",
+            F.coalesce("exact", F.lit(False)).alias("exact"),
+            "n_items",
+        )
     )
 
 
-def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, contaminated, n_items, item_id and coverage of the best item (ties: the least id), exact: a row for each row."""
-    best = F.struct((-F.col("coverage")).alias("c"), F.col("item_id").alias("i"), F.col("exact").alias("e"))
-    found = contaminated(docs, benchmark).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min(best).alias("b"))
+def decontamination_report(docs: DataFrame, benchmark: DataFrame, tag: str = "") -> DataFrame:
+    """doc_id, contaminated, n_items, item_id and coverage of the best item, exact: a row for each row.
+
+    The best is the one of the highest coverage, of equals a whole one, then the least id. n_items counts
+    the items of all templates found; columns of docs other than doc_id and text are not read.
+    """
+    best = F.struct((-F.col("coverage")).alias("c"), (~F.col("exact")).alias("x"), F.col("item_id").alias("i"))
+    found = contaminated(docs, benchmark, tag=tag).groupBy("doc_id").agg(F.sum("n_items").alias("n_items"), F.min(best).alias("b"))
     found = found.withColumnRenamed("doc_id", "__id")
     rows = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     return rows.select(
@@ -304,11 +382,13 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.col("b.i").alias("item_id"),
         F.coalesce(-F.col("b.c"), F.lit(0.0)).alias("coverage"),
-        F.coalesce("b.e", F.lit(False)).alias("exact"),
+        F.coalesce(~F.col("b.x"), F.lit(False)).alias("exact"),
     )
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", tag: str = "") -> DataFrame:
-    """docs without those that hold a benchmark item."""
-    gone = contaminated(docs, benchmark, doc_id, text, tag=tag).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")), "left_anti")
+    """docs without those that hold a benchmark item; of rows with one doc_id, all or none go. Ids alone are looked up where few are found."""
+    (gone_id,) = fresh(docs, "__id")
+    gone = contaminated(docs, benchmark, doc_id, text, tag=tag).select(F.col("doc_id").alias(gone_id)).distinct()
+    gone = small_side(materialize(gone, "contaminated", tag))
+    return docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(gone_id)), "left_anti")

@@ -115,8 +115,9 @@ def write_tokens(
     """Encode every whole text of docs, append end_id, and write a token set to path.
 
     Null and empty texts are the end id alone; rows of equal doc_id stand side by side, in an order
-    of their texts, and a null doc_id before all others; an empty table gives an empty set; other
-    columns are not written. One shuffle, of the texts, by ranges of doc_id.
+    of their texts, and a null doc_id before all others; a very long text is one row like any other, of
+    up to 2 ** 31 - 1 ids; an empty table gives an empty set; other columns, whatever their names, are not
+    written. One shuffle, of the texts, by ranges of doc_id.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -176,8 +177,8 @@ def with_crc32(tokens: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, f"{fields}, ids_crc32 long")
 
 
-def token_digest(docs: DataFrame) -> DataFrame:
+def token_digest(docs: DataFrame, tag: str = "") -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, of a token set written to the shared folder and read back."""
-    path = scratch_path(docs.sparkSession, "tokens")
+    path = scratch_path(docs.sparkSession, "tokens", tag)
     write_tokens(docs, path)
     return with_crc32(read_tokens(docs.sparkSession, path))

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from driftline.llm import hilbert, language, packing, simhash, templates, tokens, toxicity, warc
 from driftline.llm.common import scratch_path
@@ -72,7 +73,7 @@ def test_simhash_components_equal_brute_force(spark, monkeypatch):
         texts.append(" ".join(own))
     ids = random.Random(0).sample(range(1000), len(texts))
     want = plain_components([plain_fingerprint(t) for t in texts], ids)
-    df = docs_of(spark, list(zip(ids, texts, strict=True)), "").withColumn("fp", __import__("pyspark").sql.functions.lit("clash"))
+    df = docs_of(spark, list(zip(ids, texts, strict=True)), "").withColumn("fp", F.lit("clash"))
     got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_digest(df).collect()}
     assert got == want
     # large shards are split further and lose nothing
@@ -306,7 +307,9 @@ def brute(ids, x, k):
     return out
 
 
-def test_neighbours_recall_and_ties(spark):
+@pytest.mark.parametrize(("least", "slice_"), [(hilbert.LEAST, hilbert.SLICE), (36, 3)])
+def test_neighbours_recall_and_ties(spark, monkeypatch, least, slice_):
+    monkeypatch.setattr(hilbert, "SLICE", slice_)
     rng = np.random.default_rng(3)
     x = rng.standard_normal((1500, 24)).astype(np.float32)
     x[100:400] = x[100]  # copies
@@ -315,7 +318,7 @@ def test_neighbours_recall_and_ties(spark):
     bad = [(2000, None), (2020, [0.0] * 24), (2040, [float("nan")] * 24), (2060, [None] * 24), (2080, [1.0]), (None, x[0].tolist()), (0, x[0].tolist())]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
     got = {}
-    for r in hilbert.nearest(df, block=100).collect():
+    for r in hilbert.nearest(df.withColumn("rep", F.lit(1)), least=least).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     want = brute(ids, x.astype(float), 20)
     assert set(got) == set(want)
