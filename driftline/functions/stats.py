@@ -55,39 +55,48 @@ def t_two_sided(t: np.ndarray, dof: float) -> np.ndarray:
     return beta_inc(dof / 2, 0.5, dof / (dof + t * t))
 
 
-def moments(x: np.ndarray) -> np.ndarray:
-    """Sums of products of [1, columns]; moments of rows put together are the sum of theirs."""
+def factor(x: np.ndarray) -> np.ndarray:
+    """The triangular factor of [1, columns]: all that least squares needs of the rows, at their own condition."""
     z = np.column_stack([np.ones(len(x)), x])
-    return z.T @ z
+    out = np.zeros((z.shape[1], z.shape[1]))
+    if len(z):
+        r = np.linalg.qr(z, mode="r")
+        out[: len(r)] = r
+    return out
 
 
-def standardised_fit(m: np.ndarray, response: int, terms: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def joined_factor(factors: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The factor of all rows behind [n, size, size] factors put together, each as often as its weight says."""
+    own = factors[weights > 0] * np.sqrt(weights[weights > 0])[:, None, None]
+    return np.linalg.qr(own.reshape(-1, factors.shape[-1]), mode="r") if len(own) else np.zeros(factors.shape[1:])
+
+
+def standardised_fit(r: np.ndarray, response: int, terms: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients and p values of the standardised least squares of column `response` on columns `terms`.
 
-    From moments alone. Columns that do not vary get 0 and 1, as do all if rows are too few or the
-    response does not vary; collinear columns share by the least norm.
+    From the triangular factor alone: its first row holds the means, the rest the centred columns.
+    Columns that do not vary get 0 and 1, as do all if rows are too few or the response does not vary;
+    collinear columns share by the least norm.
     """
     beta, p = np.zeros(len(terms)), np.ones(len(terms))
-    n = m[0, 0]
+    n = round(float(r[0, 0]) ** 2)
     if n <= len(terms) + 2:
         return beta, p
-    at = [1 + response, *[1 + t for t in terms]]
-    mean = m[0, at] / n
-    cov = (m[np.ix_(at, at)] - n * np.outer(mean, mean)) / (n - 1)
-    sd = np.sqrt(np.maximum(np.diag(cov), 0))
-    use = np.flatnonzero(sd[1:] > 1e-12)
-    if not sd[0] > 1e-12 or not len(use):
+    centred = r[1:, 1:]
+    norms = np.sqrt((centred * centred).sum(axis=0))
+    sd = norms / np.sqrt(n - 1)
+    use = np.flatnonzero(sd[terms] > 1e-12)
+    if not sd[response] > 1e-12 or not len(use):
         return beta, p
-    own = use + 1
-    r = cov[np.ix_(own, own)] / np.outer(sd[own], sd[own])
-    ry = cov[own, 0] / (sd[own] * sd[0])
-    values, vectors = np.linalg.eigh(r)
-    keep = values > values[-1] * 1e-11
-    inverse = (vectors[:, keep] / values[keep]) @ vectors[:, keep].T
-    b = inverse @ ry
-    dof = max(n - keep.sum(), 1)
-    rest = max((n - 1) * (1 - 2 * b @ ry + b @ r @ b), 0.0)
-    error = np.sqrt(np.maximum(np.diag(inverse) * rest / dof / (n - 1), 0))
+    own = np.asarray(terms)[use]
+    y = centred[:, response] / norms[response]
+    u, s, v = np.linalg.svd(centred[:, own] / norms[own], full_matrices=False)
+    keep = s > s[0] * np.finfo(float).eps * max(n, len(own))
+    u, s, v = u[:, keep], s[keep], v[keep]
+    along = u.T @ y
+    b = v.T @ (along / s)
+    rest = y - u @ along
+    error = np.sqrt(((v / s[:, None]) ** 2).sum(axis=0) * (rest @ rest) / max(n - len(s), 1))
     t = np.divide(b, error, out=np.zeros_like(b), where=error > 0)
-    beta[use], p[use] = b, np.clip(t_two_sided(t, dof), 0, 1)
+    beta[use], p[use] = b, np.clip(t_two_sided(t, max(n - len(s), 1)), 0, 1)
     return beta, p

@@ -1,8 +1,11 @@
 """Directed edges between indicators: lagged regressions, false-discovery control, bootstrap.
 
-For each trajectory and target the sums of products of the lagged columns are made once; any
-resample of whole trajectories is a weighted sum of them. Replicates are rows of a draws table, not
-jobs: the cost of one does not depend on the length of the trajectories.
+For each trajectory and target the triangular factor of the lagged columns is made once; the factor of
+any resample of whole trajectories is that of theirs put together, so the cost of a replicate does not
+depend on the length of the trajectories, and near-collinear lags lose nothing to squaring. A target's
+factors meet in one group, where all its replicates are fitted.
+
+Every graph belongs to a cell (a setting of a sweep, or the only one): many settings are one job.
 """
 
 from __future__ import annotations
@@ -12,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.functions.stats import draws, moments, standardised_fit
+from driftline.functions.stats import draws, factor, joined_factor, standardised_fit
 from driftline.operators.windows import false_discovery
 
-TERMS = "replicate int, source string, target string, lag int, beta double, p double"
+TERMS = "cell int, replicate int, source string, target string, lag int, beta double, p double"
+#: Replicates that a task fits of a target.
+SLICE = 64
+Pairs = list[tuple[str, str, str]]
 
 
 def candidates_of(representation: dict) -> list[tuple[str, str, str]]:
@@ -32,96 +38,176 @@ def all_pairs(nodes: list[str], group: str = "unrestricted") -> list[tuple[str,
     return [(a, b, group) for a in sorted(nodes) for b in sorted(nodes) if a != b]
 
 
-def lagged_moments(series: DataFrame, pairs: list[tuple[str, str, str]], lag: int, keys=("seed",), time: str = "time") -> DataFrame:
-    """keys, target, moments: of [target, its lags, lags of each source in order], for each trajectory.
+def _sources(pairs: Pairs) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for source, target, _ in sorted(set(pairs)):
+        if source not in out.setdefault(target, []):
+            out[target].append(source)
+    return out
+
+
+def lagged_factors(series: DataFrame, pairs: dict[int, Pairs], lag: int) -> DataFrame:
+    """cell, seed, target, factor: of [target, its lags, lags of each source in order], for each trajectory.
 
-    series: keys, time, node_id, value. Rows with a missing value are left out of a target's sums;
-    trajectories of lag rows or fewer have none. Values are centred by each node's overall mean.
+    series: cell, seed, time, node_id, value; pairs by cell. A trajectory is gathered once, for all its
+    targets. Rows with a missing value are left out of a target's factor; trajectories of lag rows or
+    fewer have an empty one.
     """
-    spark = series.sparkSession
-    sources: dict[str, list[str]] = {}
-    for source, target, _ in sorted(set(pairs)):
-        if source not in sources.setdefault(target, []):
-            sources[target].append(source)
-    wanted = [(t, n, i) for t, s in sources.items() for i, n in enumerate([t, *s])]
-    plan = F.broadcast(spark.createDataFrame(wanted, "target string, node_id string, place int"))
-    centred = series.join(series.groupBy("node_id").agg(F.avg("value").alias("_m")), "node_id").withColumn("value", F.col("value") - F.col("_m")).drop("_m")
-    rows = centred.join(plan, "node_id").select(*keys, "target", "place", F.col(time).alias("time"), "value")
+    sources = {c: _sources(p) for c, p in pairs.items()}
 
     def run(table: pa.Table) -> pa.Table:
-        place, at, value = (table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("place", "time", "value"))
-        target = table["target"][0].as_py()
-        width = len(sources[target]) + 1
+        cell = table["cell"][0].as_py()
+        node, at, value = (table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("node_id", "time", "value"))
         times, row = np.unique(at, return_inverse=True)
-        wide = np.full((len(times), width), np.nan)
-        wide[row, place] = value.astype(float)
-        n = len(times) - lag
-        cols = [wide[lag:, 0]] + [wide[lag - k : lag - k + n, c] for c in range(width) for k in range(1, lag + 1)] if n > 0 else []
-        x = np.column_stack(cols) if n > 0 else np.zeros((0, 1 + width * lag))
-        m = moments(x[np.isfinite(x).all(axis=1)])
-        return pa.table({k: table[k].slice(0, 1) for k in keys} | {"target": [target], "moments": [m.ravel().tolist()]})
+        names = {n: i for i, n in enumerate(sorted(set(node)))}
+        wide = np.full((len(times), len(names) + 1), np.nan)  # the last of nodes without values
+        wide[row, [names[n] for n in node]] = value.astype(float)
+        n, out = len(times) - lag, []
+        for target, own in sources.get(cell, {}).items():
+            places = [names.get(x, len(names)) for x in (target, *own)]
+            cols = [wide[lag:, places[0]]] + [wide[lag - k : lag - k + n, c] for c in places for k in range(1, lag + 1)] if n > 0 else []
+            x = np.column_stack(cols) if n > 0 else np.zeros((0, 1 + len(places) * lag))
+            out.append((target, factor(x[np.isfinite(x).all(axis=1)]).ravel()))
+        return pa.table(
+            {
+                "cell": pa.array([cell] * len(out), pa.int32()),
+                "seed": pa.array([table["seed"][0].as_py()] * len(out), table["seed"].type),
+                "target": pa.array([t for t, _ in out], pa.string()),
+                "factor": pa.array([f for _, f in out], pa.list_(pa.float64())),
+            }
+        )
 
-    kinds = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.groupBy(*keys, "target").applyInArrow(run, f"{kinds}, target string, moments array<double>")
+    kind = series.schema["seed"].dataType.simpleString()
+    rows = series.select("cell", "seed", F.col("time").cast("long").alias("time"), "node_id", F.col("value").cast("double").alias("value"))
+    return rows.groupBy("cell", "seed").applyInArrow(run, f"cell int, seed {kind}, target string, factor array<double>")
 
 
-def fitted_terms(sums: DataFrame, pairs: list[tuple[str, str, str]], lag: int, parent_alpha: float) -> DataFrame:
-    """replicate, source, target, lag, beta, p: terms that pass a first fit, from a second without the others.
+def fitted_terms(factors: DataFrame, pairs: dict[int, Pairs], lag: int, parent_alpha: float, weights, replicates: int) -> DataFrame:
+    """cell, replicate, source, target, lag, beta, p: terms that pass a first fit, from a second without the others.
 
-    sums: replicate, target, moments, weight; all of a replicate and target are added up.
+    weights(cell, seeds) gives [replicates, seeds] how often a replicate has each trajectory, seeds in
+    order; it is asked for in the task. A target's factors go to a task for each SLICE of the replicates.
     """
-    sources: dict[str, list[str]] = {}
-    for source, target, _ in sorted(set(pairs)):
-        if source not in sources.setdefault(target, []):
-            sources[target].append(source)
+    sources = {c: _sources(p) for c, p in pairs.items()}
 
     def run(table: pa.Table) -> pa.Table:
-        target, replicate = table["target"][0].as_py(), table["replicate"][0].as_py()
-        own = sources[target]
-        m = np.zeros(0)
-        for part, w in zip(table["moments"], table["weight"], strict=True):
-            part = w.as_py() * part.values.to_numpy()
-            m = part if not len(m) else m + part
-        m = m.reshape(2 + lag * (1 + len(own)), -1)
+        cell, target, at = (table[c][0].as_py() for c in ("cell", "target", "slice"))
+        own = sources[cell][target]
+        table = table.sort_by("seed")
+        size = 2 + lag * (1 + len(own))
+        whole = table["factor"].combine_chunks().flatten().to_numpy().reshape(-1, size, size)
+        w = weights(cell, table["seed"].to_pylist())
         terms = list(range(1, 1 + lag * (1 + len(own))))
-        _, first = standardised_fit(m, 0, terms)
-        kept = [t for t in terms[lag:] if first[t - 1] < parent_alpha]
-        beta, p = standardised_fit(m, 0, terms[:lag] + kept) if kept else (np.zeros(lag), np.ones(lag))
+        rows = []
+        for replicate in range(at * SLICE, min((at + 1) * SLICE, len(w))):
+            r = joined_factor(whole, w[replicate])
+            _, first = standardised_fit(r, 0, terms)
+            kept = [t for t in terms[lag:] if first[t - 1] < parent_alpha]
+            if kept:
+                beta, p = standardised_fit(r, 0, terms[:lag] + kept)
+                rows += [(replicate, own[(t - 1) // lag - 1], (t - 1) % lag + 1, b, q) for t, b, q in zip(kept, beta[lag:], p[lag:], strict=True)]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+        n = len(rows)
         return pa.table(
             {
-                "replicate": pa.array([replicate] * len(kept), pa.int32()),
-                "source": pa.array([own[(t - 1) // lag - 1] for t in kept], pa.string()),
-                "target": pa.array([target] * len(kept), pa.string()),
-                "lag": pa.array([(t - 1) % lag + 1 for t in kept], pa.int32()),
-                "beta": pa.array(beta[lag:], pa.float64()),
-                "p": pa.array(p[lag:], pa.float64()),
+                "cell": pa.array([cell] * n, pa.int32()),
+                "replicate": pa.array(columns[0], pa.int32()),
+                "source": pa.array(columns[1], pa.string()),
+                "target": pa.array([target] * n, pa.string()),
+                "lag": pa.array(columns[2], pa.int32()),
+                "beta": pa.array(columns[3], pa.float64()),
+                "p": pa.array(columns[4], pa.float64()),
             }
         )
 
-    return sums.groupBy("replicate", "target").applyInArrow(run, TERMS)
+    slices = F.explode(F.sequence(F.lit(0), F.lit(max(0, (replicates - 1) // SLICE)))).alias("slice")
+    return factors.select("*", slices).groupBy("cell", "target", "slice").applyInArrow(run, TERMS)
 
 
-def select_edges(terms: DataFrame, pairs: list[tuple[str, str, str]], fdr_alpha: float) -> DataFrame:
-    """replicate, source, target, group, lag, beta, p, q, direction: the best lag of each pair with q under fdr_alpha."""
-    groups = F.broadcast(terms.sparkSession.createDataFrame(sorted(set(pairs)), "source string, target string, group string"))
-    tested = false_discovery(terms.join(groups, ["source", "target"]), ["replicate", "group"])
-    best = Window.partitionBy("replicate", "group", "source", "target").orderBy("q", "lag")
+def select_edges(terms: DataFrame, pairs: dict[int, Pairs], fdr_alpha: float) -> DataFrame:
+    """cell, replicate, source, target, group, lag, beta, p, q, direction: the best lag of each pair with q under fdr_alpha."""
+    listed = [(c, *p) for c, own in pairs.items() for p in sorted(set(own))]
+    groups = terms.sparkSession.createDataFrame(listed, "cell int, source string, target string, group string")
+    tested = false_discovery(terms.join(groups, ["cell", "source", "target"]), ["cell", "replicate", "group"])
+    best = Window.partitionBy("cell", "replicate", "group", "source", "target").orderBy("q", "lag")
     return (
         tested.withColumn("_n", F.row_number().over(best))
         .filter((F.col("_n") == 1) & (F.col("q") < fdr_alpha))
-        .select("replicate", "source", "target", "group", "lag", "beta", "p", "q", F.when(F.col("beta") > 0, "increase").otherwise("decrease").alias("direction"))
+        .select("cell", "replicate", "source", "target", "group", "lag", "beta", "p", "q", F.when(F.col("beta") > 0, "increase").otherwise("decrease").alias("direction"))
     )
 
 
-def point_graph(series: DataFrame, pairs, lag: int, parent_alpha: float, fdr_alpha: float) -> DataFrame:
+def _every(cell: int, seeds: list) -> np.ndarray:
+    return np.ones((1, len(seeds)))
+
+
+def _each(cell: int, seeds: list) -> np.ndarray:
+    return np.eye(len(seeds))
+
+
+def resamples(master: int, labels: dict[int, str], replicates: int):
+    """Weights of the data as they are, replicate 0, and of resamples of whole trajectories, 1 and on."""
+
+    def of(cell: int, seeds: list) -> np.ndarray:
+        drawn = draws(master, labels[cell], replicates, len(seeds))
+        return np.vstack([np.ones(len(seeds)), *[np.bincount(row, minlength=len(seeds)) for row in drawn]])
+
+    return of
+
+
+def _one(series: DataFrame) -> DataFrame:
+    return series.withColumn("cell", F.lit(0))
+
+
+def point_graphs(series: DataFrame, pairs: dict[int, Pairs], lag: int, parent_alpha: float, fdr_alpha: float) -> DataFrame:
+    """cell and the edges from all its trajectories together."""
+    terms = fitted_terms(lagged_factors(series, pairs, lag), pairs, lag, parent_alpha, _every, 1)
+    return select_edges(terms, pairs, fdr_alpha).drop("replicate")
+
+
+def point_graph(series: DataFrame, pairs: Pairs, lag: int, parent_alpha: float, fdr_alpha: float) -> DataFrame:
     """Edges from all trajectories together."""
-    one = lagged_moments(series, pairs, lag).select(F.lit(0).cast("int").alias("replicate"), "target", "moments", F.lit(1.0).alias("weight"))
-    return select_edges(fitted_terms(one, pairs, lag, parent_alpha), pairs, fdr_alpha).drop("replicate")
+    return point_graphs(_one(series), {0: pairs}, lag, parent_alpha, fdr_alpha).drop("cell")
+
+
+def bootstrap_graphs(
+    series: DataFrame,
+    pairs: dict[int, Pairs],
+    lag: int,
+    parent_alpha: float,
+    fdr_alpha: float,
+    replicates: int,
+    support: dict[int, float],
+    master: int,
+    labels: dict[int, str],
+) -> tuple[DataFrame, DataFrame]:
+    """bootstrap_graph() of each cell, in one job; support and labels by cell."""
+    terms = fitted_terms(lagged_factors(series, pairs, lag), pairs, lag, parent_alpha, resamples(master, labels, replicates), replicates + 1)
+    edges = select_edges(terms, pairs, fdr_alpha)
+    again = F.col("replicate") > 0
+    point = F.max(F.when(~again, F.struct("lag", "beta", "p", "q", "direction")))
+    lags = F.collect_list(F.when(again, F.col("lag")))  # at most one a replicate
+    least = F.element_at(F.create_map(*[F.lit(x) for c, v in support.items() for x in (c, float(v))]), F.col("cell"))
+    kept = (
+        edges.groupBy("cell", "source", "target", "group")
+        .agg(
+            point.alias("_p"),
+            (F.count_if(again) / replicates).alias("support"),
+            lags.alias("_lags"),
+            F.coalesce(F.stddev_samp(F.when(again, F.col("lag"))), F.lit(0.0)).alias("lag_std"),
+        )
+        .filter(F.col("_p").isNotNull() & (F.col("support") >= least))
+        .select(
+            "cell", "source", "target", "group", "_p.lag", "_p.beta", "_p.p", "_p.q", "_p.direction", "support",
+            (F.size(F.filter("_lags", lambda x: x == F.col("_p.lag"))) / replicates).alias("lag_support"), "lag_std",
+        )
+    )
+    return kept, edges.filter(again).withColumn("replicate", F.col("replicate") - 1)
 
 
 def bootstrap_graph(
     series: DataFrame,
-    pairs,
+    pairs: Pairs,
     lag: int,
     parent_alpha: float,
     fdr_alpha: float,
@@ -130,60 +216,46 @@ def bootstrap_graph(
     master: int = 0,
     label: str = "bootstrap",
 ) -> tuple[DataFrame, DataFrame]:
-    """Edges of the point graph that enough resamples of whole trajectories have, and the edges of each resample.
-
-    Replicate 0 is the data as they are, 1 and on are the resamples. Seeds are few: their list is
-    collected to make the draws.
-    """
-    spark = series.sparkSession
-    sums = lagged_moments(series, pairs, lag)
-    seeds = sorted(r["seed"] for r in series.select("seed").distinct().collect())
-    table = [(0, s, 1.0) for s in seeds]
-    for r, row in enumerate(draws(master, label, replicates, len(seeds))):
-        table += [(r + 1, seeds[i], float(n)) for i, n in zip(*np.unique(row, return_counts=True), strict=True)]
-    weights = F.broadcast(spark.createDataFrame(table, f"replicate int, seed {series.schema['seed'].dataType.simpleString()}, weight double"))
-    edges = select_edges(fitted_terms(sums.join(weights, "seed"), pairs, lag, parent_alpha), pairs, fdr_alpha)
-    pair = ["source", "target", "group"]
-    resampled = edges.filter("replicate > 0")
-    counts = resampled.groupBy(*pair).agg(
-        (F.count("*") / replicates).alias("support"), F.coalesce(F.stddev_samp("lag"), F.lit(0.0)).alias("lag_std")
-    )
-    lags = resampled.groupBy(*pair, "lag").agg((F.count("*") / replicates).alias("lag_support"))
-    point = edges.filter("replicate = 0").drop("replicate")
-    kept = (
-        point.join(counts, pair, "left")
-        .join(lags, [*pair, "lag"], "left")
-        .select(*pair, "lag", "beta", "p", "q", "direction", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("support", "lag_support", "lag_std")])
-        .filter(F.col("support") >= support)
-    )
-    return kept, resampled.withColumn("replicate", F.col("replicate") - 1)
-
-
-def vote_graph(series: DataFrame, pairs, lag: int, parent_alpha: float, fdr_alpha: float, votes: float) -> DataFrame:
-    """Edges that enough trajectories show each alone, at their commonest lag (ties: the shorter)."""
-    order = Window.orderBy("seed")
-    # a row for each trajectory: few
-    seeds = series.select("seed").distinct().select("seed", (F.row_number().over(order) - 1).cast("int").alias("replicate"))
-    n = seeds.count()
-    sums = lagged_moments(series, pairs, lag).join(F.broadcast(seeds), "seed").withColumn("weight", F.lit(1.0))
-    edges = select_edges(fitted_terms(sums, pairs, lag, parent_alpha), pairs, fdr_alpha)
-    pair = ["source", "target", "group"]
+    """Edges of the point graph that enough resamples of whole trajectories have, and the edges of each resample."""
+    kept, resampled = bootstrap_graphs(_one(series), {0: pairs}, lag, parent_alpha, fdr_alpha, replicates, {0: support}, master, {0: label})
+    return kept.drop("cell"), resampled.drop("cell")
+
+
+def vote_graphs(series: DataFrame, pairs: dict[int, Pairs], lag: int, parent_alpha: float, fdr_alpha: float, votes: float) -> DataFrame:
+    """vote_graph() of each cell, in one job."""
+    factors = lagged_factors(series, pairs, lag)
+    counts = series.groupBy("cell").agg(F.count_distinct("seed").alias("_n"))
+    most = counts.agg(F.coalesce(F.max("_n"), F.lit(1))).first()[0]
+    edges = select_edges(fitted_terms(factors, pairs, lag, parent_alpha, _each, most), pairs, fdr_alpha)
+    pair = ["cell", "source", "target", "group"]
     by_lag = edges.groupBy(*pair, "lag").agg(F.count("*").alias("_c"), F.avg("beta").alias("beta"), F.avg("p").alias("p"), F.avg("q").alias("q"), F.min_by("direction", "replicate").alias("direction"))
-    total = edges.groupBy(*pair).agg((F.count("*") / n).alias("support"), F.coalesce(F.stddev_samp("lag"), F.lit(0.0)).alias("lag_std"))
-    best = Window.partitionBy(*pair).orderBy(F.desc("_c"), "lag")
+    part = Window.partitionBy(*pair)
+    # the spread of lags, from the lags' counts
+    total, mean = F.sum("_c").over(part), F.sum(F.col("_c") * F.col("lag")).over(part) / F.sum("_c").over(part)
+    spread = F.sum(F.col("_c") * F.pow(F.col("lag") - F.col("_mean"), 2)).over(part)
     return (
-        by_lag.withColumn("_n", F.row_number().over(best))
-        .filter("_n = 1")
-        .join(total, pair)
+        by_lag.withColumns({"_total": total, "_mean": mean})
+        .withColumns({"_spread": spread, "_k": F.row_number().over(part.orderBy(F.desc("_c"), "lag"))})
+        .filter("_k = 1")
+        .join(counts, "cell")
+        .withColumn("support", F.col("_total") / F.col("_n"))
         .filter(F.col("support") >= votes)
-        .select(*pair, "lag", "beta", "p", "q", "direction", "support", (F.col("_c") / n).alias("lag_support"), "lag_std")
-    )
+        .select(
+            *pair, "lag", "beta", "p", "q", "direction", "support", (F.col("_c") / F.col("_n")).alias("lag_support"),
+            F.when(F.col("_total") > 1, F.sqrt(F.col("_spread") / (F.col("_total") - 1))).otherwise(0.0).alias("lag_std"),
+        )
+    )
+
+
+def vote_graph(series: DataFrame, pairs: Pairs, lag: int, parent_alpha: float, fdr_alpha: float, votes: float) -> DataFrame:
+    """Edges that enough trajectories show each alone, at their commonest lag (ties: the shorter)."""
+    return vote_graphs(_one(series), {0: pairs}, lag, parent_alpha, fdr_alpha, votes).drop("cell")
 
 
-def single_graph(series: DataFrame, pairs, lag: int, parent_alpha: float, fdr_alpha: float) -> DataFrame:
+def single_graph(series: DataFrame, pairs: Pairs, lag: int, parent_alpha: float, fdr_alpha: float) -> DataFrame:
     """The point graph of the trajectory with the lowest seed."""
     lowest = series.agg(F.min("seed").alias("seed"))
-    return point_graph(series.join(F.broadcast(lowest), "seed"), pairs, lag, parent_alpha, fdr_alpha)
+    return point_graph(series.join(lowest, "seed"), pairs, lag, parent_alpha, fdr_alpha)
 
 
 def prior_graph(candidates: DataFrame) -> DataFrame:

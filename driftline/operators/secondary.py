@@ -85,13 +85,18 @@ def attenuation(effects: DataFrame, keys) -> DataFrame:
 
 
 def recovery(truth: DataFrame, found: DataFrame, by=()) -> DataFrame:
-    """by, precision, recall, f1, shd, lag_mae, direction_accuracy of edges (by, source, target, lag, beta)."""
+    """by, precision, recall, f1, shd, lag_mae, direction_accuracy, stability, retained of found edges (by, source, target, lag, beta, support).
+
+    Lag errors count for edges found at a lag, directions for those found with a finite coefficient
+    other than 0; stability is the mean support of all edges found.
+    """
     on = [*by, "source", "target"]
     a = truth.select(*on, F.col("lag").alias("_tl"), F.col("beta").alias("_tb"), F.lit(True).alias("_t"))
-    b = found.select(*on, F.col("lag").alias("_fl"), F.col("beta").alias("_fb"), F.lit(True).alias("_f"))
+    b = found.select(*on, F.col("lag").alias("_fl"), F.col("beta").alias("_fb"), F.col("support").alias("_fs"), F.lit(True).alias("_f"))
     both = F.col("_t") & F.col("_f")
     hit, missed, extra = F.count_if(F.coalesce(both, F.lit(False))), F.count_if(F.col("_f").isNull()), F.count_if(F.col("_t").isNull())
     p, r = hit / F.greatest(hit + extra, F.lit(1)), hit / F.greatest(hit + missed, F.lit(1))
+    signed = ~F.isnan("_fb") & (F.col("_fb") != 0)
     return (
         a.join(b, on, "full")
         .groupBy(*by)
@@ -100,8 +105,10 @@ def recovery(truth: DataFrame, found: DataFrame, by=()) -> DataFrame:
             r.alias("recall"),
             F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"),
             (missed + extra).alias("shd"),
-            F.avg(F.when(both & (F.col("_tl") > 0), F.abs(F.col("_fl") - F.col("_tl")).cast("double"))).alias("lag_mae"),
-            F.avg(F.when(both & (F.col("_tb") != 0), (F.signum("_fb") == F.signum("_tb")).cast("double"))).alias("direction_accuracy"),
+            F.avg(F.when(both & (F.col("_fl") > 0), F.abs(F.col("_fl") - F.col("_tl")).cast("double"))).alias("lag_mae"),
+            F.avg(F.when(both & signed, (F.signum("_fb") == F.signum("_tb")).cast("double"))).alias("direction_accuracy"),
+            F.avg("_fs").alias("stability"),
+            F.count("_f").alias("retained"),
         )
     )
 
@@ -157,30 +164,32 @@ def edges_of_paths(paths: DataFrame) -> DataFrame:
     )
 
 
+def shifted_parents(series: DataFrame, parents, least: int, most: int, master: int = 0, repetition: int = 0) -> DataFrame:
+    """seed, node_id, time, value: series of parents turned round by least to most steps, each by a draw of its own."""
+    kind = series.schema["seed"].dataType.simpleString()
+    every = series.select("seed", "node_id").distinct()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            seeds, nodes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            found = [int(np.random.default_rng(stable_seed(master, "shift", repetition, s, n)).integers(least, most + 1)) if n in parents else 0 for s, n in zip(seeds, nodes, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], ["seed", "node_id", "shift"])
+
+    shifts = every.mapInArrow(run, f"seed {kind}, node_id string, shift int")
+    return circular_shift(series.select("seed", "node_id", "time", "value"), ["seed", "node_id"], "value", shifts)
+
+
 def negative_control(
     series: DataFrame, pairs, lag: int, parent_alpha: float, fdr_alpha: float, replicates: int, support: float, least: int, most: int, master: int = 0, repetition: int = 0
 ) -> DataFrame:
-    """The bootstrap graph of series whose parents are turned round by least to most steps, each by its own.
-
-    least must be over lag; parents are the sources of pairs, and the turn is drawn for each
-    trajectory and parent.
-    """
-    import numpy as np
-
+    """The bootstrap graph of series whose parents, the sources of pairs, are turned round by more steps than the lag."""
     if least <= lag or most < least:
         raise ValueError("shifts must be longer than the lag")
-    spark = series.sparkSession
-    parents = sorted({s for s, _, _ in pairs})
-    seeds = sorted(r["seed"] for r in series.select("seed").distinct().collect())
-    rows = []
-    for s in seeds:
-        for p in parents:
-            rng = np.random.default_rng(stable_seed(master, "shift", repetition, s, p))
-            rows.append((s, p, int(rng.integers(least, most + 1))))
-    shifts = F.broadcast(spark.createDataFrame(rows, f"seed {series.schema['seed'].dataType.simpleString()}, node_id string, shift int"))
-    turned = circular_shift(series.filter(F.col("node_id").isin(parents)).select("seed", "node_id", "time", "value"), ["seed", "node_id"], "value", shifts)
-    rest = series.filter(~F.col("node_id").isin(parents)).select("seed", "node_id", "time", "value")
-    return discovery.bootstrap_graph(turned.unionByName(rest), pairs, lag, parent_alpha, fdr_alpha, replicates, support, master, f"negative:{repetition}")[0]
+    turned = shifted_parents(series, {s for s, _, _ in pairs}, least, most, master, repetition)
+    return discovery.bootstrap_graph(turned, pairs, lag, parent_alpha, fdr_alpha, replicates, support, master, f"negative:{repetition}")[0]
 
 
 def bootstrap_mean(values: DataFrame, keys, value: str, replicates: int, level: float, master: int, label: str) -> DataFrame:
@@ -198,7 +207,7 @@ def bootstrap_mean(values: DataFrame, keys, value: str, replicates: int, level:
     table = []
     for r, row in enumerate(draws(master, label, replicates, len(seeds)) if seeds else []):
         table += [(r, seeds[i], float(n)) for i, n in zip(*np.unique(row, return_counts=True), strict=True)]
-    weights = F.broadcast(spark.createDataFrame(table, f"replicate int, seed {values.schema['seed'].dataType.simpleString()}, w double"))
+    weights = spark.createDataFrame(table, f"replicate int, seed {values.schema['seed'].dataType.simpleString()}, w double")
     a = (1 - level) / 2
     means = values.join(weights, "seed").groupBy(*keys, "replicate").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("_m"))
     bounds = means.groupBy(*keys).agg(F.percentile("_m", F.lit(a)).alias("low"), F.percentile("_m", F.lit(1 - a)).alias("high"))

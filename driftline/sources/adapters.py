@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.nulls import clean
@@ -57,16 +57,21 @@ def grid(spark: SparkSession, sf_dir: str) -> Dataset:
 
 
 def trade(spark: SparkSession, sf_dir: str) -> Dataset:
-    """A graph of nations for each year: edges where few items went between customers and suppliers; balance: mean order price."""
+    """A graph of nations for each year: edges where fewer items than the year's mean went between customers and suppliers; balance: mean order price.
+
+    Items are counted by order and supplier before either meets its nation.
+    """
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", (F.year("o_orderdate") - 1995).alias("time"))
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     placed = o.join(c, o["o_custkey"] == c["c_custkey"])
     l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    ends = placed.join(l, F.col("o_orderkey") == F.col("l_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    sold = l.join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey", "s_nationkey").agg(F.count("*").alias("k"))
+    ends = placed.select("o_orderkey", "time", "c_nationkey").join(sold, F.col("o_orderkey") == F.col("l_orderkey"))
     u, v = F.least("c_nationkey", "s_nationkey"), F.greatest("c_nationkey", "s_nationkey")
-    edges = ends.filter("c_nationkey <> s_nationkey").groupBy("time", u.alias("link_0"), v.alias("link_1")).agg(F.count("*").alias("n"))
-    edges = edges.filter("n % 5 = 0").select(F.lit("all").alias("run"), "time", "link_0", "link_1")
+    edges = ends.filter("c_nationkey <> s_nationkey").groupBy("time", u.alias("link_0"), v.alias("link_1")).agg(F.sum("k").alias("n"))
+    edges = edges.withColumn("mean", F.avg("n").over(Window.partitionBy("time")))
+    edges = edges.filter("n < mean").select(F.lit("all").alias("run"), "time", "link_0", "link_1")
     nodes = placed.groupBy(F.lit("all").alias("run"), "time", F.col("c_nationkey").alias("agent")).agg(F.avg("o_totalprice").alias("balance"))
     count = read(spark, sf_dir, "nation").agg(F.count("*").alias("nations")).withColumn("run", F.lit("all"))
     return Dataset(

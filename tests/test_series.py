@@ -33,12 +33,12 @@ def test_fit_from_moments_matches_least_squares():
     x = rng.standard_normal((80, 4))
     x[:, 3] = x[:, 2]  # collinear
     y = 0.5 * x[:, 0] - x[:, 2] + rng.standard_normal(80)
-    beta, p = stats.standardised_fit(stats.moments(np.column_stack([y, x])), 0, [1, 2, 3, 4])
+    beta, p = stats.standardised_fit(stats.factor(np.column_stack([y, x])), 0, [1, 2, 3, 4])
     z = lambda a: (a - a.mean(0)) / a.std(0, ddof=1)
     want = np.linalg.lstsq(z(x), z(y), rcond=None)[0]
     assert beta == pytest.approx(want, abs=1e-8) and p[0] < 0.01
     flat = np.column_stack([y, np.ones(80)])
-    assert stats.standardised_fit(stats.moments(flat), 0, [1]) == (pytest.approx([0]), pytest.approx([1]))
+    assert stats.standardised_fit(stats.factor(flat), 0, [1]) == (pytest.approx([0]), pytest.approx([1]))
 
 
 def lagged(spark, seeds=8, steps=260):
