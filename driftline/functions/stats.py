@@ -22,6 +22,8 @@ def draws(master: int, label: str, replicates: int, n: int) -> np.ndarray:
 def _beta_fraction(a: float, b: np.ndarray | float, x: np.ndarray) -> np.ndarray:
     """Continued fraction of the incomplete beta function (modified Lentz)."""
     tiny = 1e-300
+    if not len(x):
+        return x
     c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
@@ -40,12 +42,15 @@ def _beta_fraction(a: float, b: np.ndarray | float, x: np.ndarray) -> np.ndarray
 
 def beta_inc(a: float, b: float, x: np.ndarray) -> np.ndarray:
     """Regularised incomplete beta function."""
-    x = np.clip(np.asarray(x, float), 0.0, 1.0)
+    x = np.clip(np.atleast_1d(np.asarray(x, float)), 0.0, 1.0)
     front = np.exp(
         math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * np.log(np.maximum(x, 1e-300)) + b * np.log(np.maximum(1 - x, 1e-300))
     )
+    # each side of the mean has the fraction that converges fast there
     low = x < (a + 1) / (a + b + 2)
-    value = np.where(low, front * _beta_fraction(a, b, x) / a, 1 - front * _beta_fraction(b, a, 1 - x) / b)
+    value = np.empty_like(x)
+    value[low] = front[low] * _beta_fraction(a, b, x[low]) / a
+    value[~low] = 1 - front[~low] * _beta_fraction(b, a, 1 - x[~low]) / b
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, value))
 
 

@@ -37,12 +37,21 @@ def pair_runs(baseline: DataFrame, intervention: DataFrame, by, on=("seed", "tim
     left = baseline.select(*shared, F.col("value").alias("baseline"))
     if check:
         a, b = baseline.select("seed").distinct(), intervention.select(*by, "seed").distinct()
-        expected = intervention.select(*by).distinct().crossJoin(F.broadcast(a))
+        expected = intervention.select(*by).distinct().crossJoin(a)  # conditions by seeds, the rows that must be there
         if not expected.join(b, [*by, "seed"], "left_anti").isEmpty() or not b.join(a, "seed", "left_anti").isEmpty():
             raise ValueError("baseline and intervention have different seeds")
     return intervention.join(left, shared).select(*by, *shared, "baseline", "value", (F.col("value") - F.col("baseline")).alias("difference"))
 
 
+def unpaired(baseline: DataFrame, master: int, *label) -> DataFrame:
+    """baseline with its seeds dealt anew by a random permutation, so that pairs share nothing but time and node."""
+    spark, kind = baseline.sparkSession, baseline.schema["seed"].dataType.simpleString()
+    seeds = sorted(r["seed"] for r in baseline.select("seed").distinct().collect())  # few
+    order = np.random.default_rng(stable_seed(master, "unpaired", *label)).permutation(len(seeds))
+    moved = spark.createDataFrame([(seeds[j], seeds[i]) for i, j in enumerate(order)], f"seed {kind}, _to {kind}")
+    return baseline.join(moved, "seed").drop("seed").withColumnRenamed("_to", "seed").select(*baseline.columns)
+
+
 def mean_effects(pairs: DataFrame, keys, evaluation_start: int) -> DataFrame:
     """keys, raw, baseline_sd, standardised: mean difference from evaluation_start on, and over the baseline's spread."""
     late = F.col("time") >= evaluation_start
@@ -52,12 +61,13 @@ def mean_effects(pairs: DataFrame, keys, evaluation_start: int) -> DataFrame:
     return raw.join(spread, list(keys)).select(*keys, "raw", "baseline_sd", F.when(F.col("baseline_sd") > TINY, F.col("raw") / F.col("baseline_sd")).alias("standardised"))
 
 
-def first_onset(curve: np.ndarray, significant: np.ndarray, start: int, run: int) -> int:
-    """First step from start on with `run` significant steps of one sign, or -1."""
+def first_onset(curve: np.ndarray, significant: np.ndarray, start: int, run: int, times: np.ndarray | None = None) -> int:
+    """The first time (step, without times) from start on that begins `run` significant steps of one sign, or -1."""
     sign = np.where(significant, np.sign(np.nan_to_num(curve)), 0)
-    for t in range(start, len(sign) - run + 1):
-        if sign[t] != 0 and (sign[t : t + run] == sign[t]).all():
-            return t
+    times = np.arange(len(sign)) if times is None else times
+    for t in range(len(sign) - run + 1):
+        if times[t] >= start and sign[t] != 0 and (sign[t : t + run] == sign[t]).all():
+            return int(times[t])
     return -1
 
 
@@ -68,8 +78,9 @@ def _bands(table: pa.Table, keys, config: dict):
     times, j = np.unique(time, return_inverse=True)
     d, b = np.full((len(seeds), len(times)), np.nan), np.full((len(seeds), len(times)), np.nan)
     d[i, j], b[i, j] = diff.astype(float), base.astype(float)
-    start = config["evaluation_start"]
-    own = b[:, start:].ravel()
+    whole = ~np.isnan(d).any(axis=0)  # times that every seed has
+    d, b, times = d[:, whole], b[:, whole], times[whole]
+    own = b[:, times >= config["evaluation_start"]].ravel()
     sd = float(np.std(own, ddof=1)) if len(own) > 1 else np.nan
     # all nodes of one parameter and direction share the draws
     names = [table[k][0].as_py() for k in keys if k != "node_id"]
@@ -81,15 +92,16 @@ def _bands(table: pa.Table, keys, config: dict):
 
 def _summary(table: pa.Table, keys, config: dict) -> dict:
     d, times, sd, boot = _bands(table, keys, config)
-    start, low = config["evaluation_start"], (1 - config["confidence_level"]) / 2
+    late, low = times >= config["evaluation_start"], (1 - config["confidence_level"]) / 2
     threshold, run, begin = config["minimum_standardised_effect"], config["onset_consecutive_steps"], config["onset_detection_start"]
-    band = np.quantile(boot[:, start:].mean(axis=1), [low, 1 - low])
+    seen = bool(late.any())
+    band = np.quantile(boot[:, late].mean(axis=1), [low, 1 - low]) if seen else [None, None]
     out = {
-        "cumulative_effect_raw": float(d[:, start:].mean()),
-        "cumulative_raw_ci_low": float(band[0]),
-        "cumulative_raw_ci_high": float(band[1]),
+        "cumulative_effect_raw": float(d[:, late].mean()) if seen else None,
+        "cumulative_raw_ci_low": band[0],
+        "cumulative_raw_ci_high": band[1],
         "baseline_sd": sd,
-        "estimable": bool(np.isfinite(sd) and sd > TINY),
+        "estimable": seen and bool(np.isfinite(sd) and sd > TINY),
         "onset_time": -1,
         "peak_time": -1,
         "effect_sign": 0,
@@ -101,12 +113,12 @@ def _summary(table: pa.Table, keys, config: dict) -> dict:
     s, boot = d / sd, boot / sd
     mean = s.mean(axis=0)
     curve = np.quantile(boot, [low, 1 - low], axis=0)
-    onset = first_onset(mean, (curve[0] > threshold) | (curve[1] < -threshold), begin, run)
-    onsets = np.array([first_onset(c, np.abs(c) >= threshold, begin, run) for c in boot])
+    onset = first_onset(mean, (curve[0] > threshold) | (curve[1] < -threshold), begin, run, times)
+    onsets = np.array([first_onset(c, np.abs(c) >= threshold, begin, run, times) for c in boot])
     onsets = onsets[onsets >= 0]
-    by_seed = s[:, start:].mean(axis=1)
+    by_seed = s[:, late].mean(axis=1)
     total = float(by_seed.mean())
-    band = np.quantile(boot[:, start:].mean(axis=1), [low, 1 - low])
+    band = np.quantile(boot[:, late].mean(axis=1), [low, 1 - low])
     sign = int(np.sign(total))
     return out | {
         "cumulative_effect_standardised": total,
@@ -116,7 +128,7 @@ def _summary(table: pa.Table, keys, config: dict) -> dict:
         "onset_time": int(onset),
         "onset_ci_low": float(np.quantile(onsets, low)) if len(onsets) else None,
         "onset_ci_high": float(np.quantile(onsets, 1 - low)) if len(onsets) else None,
-        "peak_time": int(start + np.argmax(np.abs(mean[start:]))),
+        "peak_time": int(times[late][np.argmax(np.abs(mean[late]))]),
         "effect_sign": sign,
         "sign_consistency": float((np.sign(by_seed) == sign).mean()) if sign else 0.0,
         "significant": bool(onset >= 0 and (band[0] > threshold or band[1] < -threshold)),
@@ -124,7 +136,10 @@ def _summary(table: pa.Table, keys, config: dict) -> dict:
 
 
 def effect_summaries(pairs: DataFrame, keys=("scenario", "parameter", "direction", "node_id"), config: dict | None = None) -> DataFrame:
-    """keys and SUMMARY: effects of paired runs with bands from resamples of seeds. A task holds one effect's runs."""
+    """keys and SUMMARY: effects of paired runs with bands from resamples of seeds. A task holds one effect's runs.
+
+    Starts, onsets and peaks are times, not places; times that not every seed has are left out.
+    """
     config = CONFIG | (config or {})
     keys = list(keys)
     kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
@@ -161,21 +176,31 @@ def effect_curves(pairs: DataFrame, keys=("scenario", "parameter", "direction",
     )
 
 
-def manipulation_routes(edges: DataFrame, scales: DataFrame, roots: DataFrame, paths: DataFrame) -> DataFrame:
+def manipulation_routes(edges: DataFrame, scales: DataFrame, roots: DataFrame, paths: DataFrame | None, candidates: DataFrame | None = None) -> DataFrame:
     """source, target, root, parameter, scope: which parameters can move an edge's source.
 
     scales: node_id, scale. roots: parameter, root (micro indicators that a parameter drives
     directly). paths: micro, meso, macro. A micro-meso edge has its source as root, a meso-macro edge
-    the micro indicators of its paths.
+    the micro indicators of its paths; without paths, those that a candidate edge (source, target) leads
+    from to its source.
     """
     s, t = scales.select(F.col("node_id").alias("source"), F.col("scale").alias("_s")), scales.select(F.col("node_id").alias("target"), F.col("scale").alias("_t"))
     typed = edges.select("source", "target").distinct().join(s, "source").join(t, "target")
     direct = typed.filter("_s = 'micro' AND _t = 'meso'").select("source", "target", F.col("source").alias("root"), F.lit("direct_root").alias("scope"))
-    upstream = paths.select(F.col("meso").alias("source"), F.col("macro").alias("target"), F.col("micro").alias("root")).distinct()
-    mediated = typed.filter("_s = 'meso' AND _t = 'macro'").join(upstream, ["source", "target"]).select("source", "target", "root", F.lit("upstream_mediated").alias("scope"))
+    if paths is not None:
+        on, upstream = ["source", "target"], paths.select(F.col("meso").alias("source"), F.col("macro").alias("target"), F.col("micro").alias("root"))
+    else:
+        micro = scales.filter("scale = 'micro'").select(F.col("node_id").alias("root"))
+        on, upstream = ["source"], candidates.select(F.col("source").alias("root"), F.col("target").alias("source")).join(micro, "root")
+    mediated = typed.filter("_s = 'meso' AND _t = 'macro'").join(upstream.distinct(), on).select("source", "target", "root", F.lit("upstream_mediated").alias("scope"))
     return direct.union(mediated).join(roots, "root").select("source", "target", "root", "parameter", "scope").distinct()
 
 
+def testable_edges(edges: DataFrame, routes: DataFrame) -> DataFrame:
+    """The edges that some manipulation can test."""
+    return edges.join(routes.select("source", "target").distinct(), ["source", "target"], "left_semi")
+
+
 def attempts(edges: DataFrame, routes: DataFrame, effects: DataFrame, directions: DataFrame, tolerance: int, gated: bool = False) -> DataFrame:
     """What each manipulation says of each edge: edges x routes x directions, with a class.
 
@@ -291,9 +316,10 @@ def classify_paths(qualified: DataFrame, tried: DataFrame) -> DataFrame:
             F.struct("manipulation_success", "target_significant", "root_effect", "target_effect", "root_onset", "target_onset").alias(name),
         )
 
+    # of repeated attempts the least in every field
     on = ["parameter", "direction", "group", "micro"]
-    first = step("_1", "micro", "meso").filter("_a = micro").select(*on, F.col("_b").alias("meso"), "_1").dropDuplicates([*on, "meso"])
-    second = step("_2", "meso", "macro").select(*on, F.col("_a").alias("meso"), F.col("_b").alias("macro"), "_2").dropDuplicates([*on, "meso", "macro"])
+    first = step("_1", "micro", "meso").filter("_a = micro").groupBy(*on, F.col("_b").alias("meso")).agg(F.min("_1").alias("_1"))
+    second = step("_2", "meso", "macro").groupBy(*on, F.col("_a").alias("meso"), F.col("_b").alias("macro")).agg(F.min("_2").alias("_2"))
     joined = qualified.join(first, [*on, "meso"], "left").join(second, [*on, "meso", "macro"], "left")
     effects = [F.col("_1.root_effect"), F.col("_1.target_effect"), F.col("_2.target_effect")]
     onsets = [F.col("_1.root_onset"), F.col("_1.target_onset"), F.col("_2.target_onset")]

@@ -91,3 +91,17 @@ def add_series(series: DataFrame, added: dict[str, str | None], master: int) ->
             more = every.select("seed", "time", F.lit(name).alias("node_id"), normal.alias("value"))
         out = out.unionByName(more)
     return out
+
+
+def extra_series(rows: DataFrame, more: list[tuple[int, str, str | None]], master: int) -> DataFrame:
+    """cell, seed, time, node_id, value of series to add to rows (of the same columns): (cell, name, copied node or None for noise)."""
+    wanted = rows.sparkSession.createDataFrame(more, "cell int, _name string, _source string")
+    copies = rows.join(wanted, (rows["node_id"] == wanted["_source"]) & (rows["cell"] == wanted["cell"])).select(
+        rows["cell"], "seed", "time", F.col("_name").alias("node_id"), "value"
+    )
+    # two hashed uniforms make a normal number; a function of place, not of partition
+    u = [(F.pmod(F.xxhash64("seed", "time", "cell", "_name", F.lit(f"{master}:{i}")), F.lit(1 << 30)) + 0.5) / float(1 << 30) for i in (0, 1)]
+    normal = F.sqrt(-2 * F.log(u[0])) * F.cos(2 * np.pi * u[1])
+    places = rows.select("cell", "seed", "time").distinct()
+    noise = places.join(wanted.filter("_source IS NULL"), "cell").select("cell", "seed", "time", F.col("_name").alias("node_id"), normal.alias("value"))
+    return copies.unionByName(noise)
