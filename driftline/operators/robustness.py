@@ -105,3 +105,13 @@ def extra_series(rows: DataFrame, more: list[tuple[int, str, str | None]], maste
     places = rows.select("cell", "seed", "time").distinct()
     noise = places.join(wanted.filter("_source IS NULL"), "cell").select("cell", "seed", "time", F.col("_name").alias("node_id"), normal.alias("value"))
     return copies.unionByName(noise)
+
+
+def sample(df: DataFrame, key: str, kind: str, n: int, master: int) -> DataFrame:
+    """kind, place and df's row of each key drawn: without or with replacement, or a permutation of all (n of them). Keys are few."""
+    keys = sorted(r[key] for r in df.select(key).distinct().collect())
+    rng = np.random.default_rng(stable_seed(master, kind))
+    places = {"without": lambda: rng.choice(len(keys), n, replace=False), "with": lambda: rng.integers(0, len(keys), n), "permutation": lambda: rng.permutation(len(keys))}[kind]()
+    rows = [(kind, i, keys[p]) for i, p in enumerate(places)]
+    drawn = df.sparkSession.createDataFrame(rows, f"kind string, place int, {key} {df.schema[key].dataType.simpleString()}")
+    return drawn.join(df, key).select("kind", "place", *df.columns)

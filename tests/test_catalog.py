@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from driftline.plans.catalog import ORACLE_SQL, QUERIES
+from driftline.plans.extended import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
