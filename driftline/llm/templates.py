@@ -142,7 +142,12 @@ def window_hashes(words: list[str], sizes: list[int], seen: _Words) -> Iterator[
 
 
 def _hash(parts: list) -> int:
-    return np.array(xxhash.xxh64_intdigest(repr(parts).encode("utf-8", "surrogatepass")), np.uint64).view(np.int64).item()
+    h = xxhash.xxh64_intdigest(repr(parts).encode("utf-8", "surrogatepass"))
+    return h - (h >> 63 << 64)
+
+
+#: What _hash() gives of no values.
+EMPTY = _hash([])
 
 
 def _filling(values: list[str | None], at: int, size: int) -> list[str]:
@@ -221,7 +226,7 @@ def _windows(sizes: list[int], known):
                     places += at.tolist()
                     lengths += [size] * len(h)
                     slots += found
-                    filled += [_hash([v.casefold() for v in x]) for x in found]
+                    filled += [_hash([v.casefold() for v in x]) if x else EMPTY for x in found]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, batch.schema.field(0).type), pa.array(hashes, pa.int64()), pa.array(places, pa.int64())]
                 + [pa.array(lengths, pa.int32()), pa.array(slots, pa.list_(pa.string())), pa.array(filled, pa.int64())],

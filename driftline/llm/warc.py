@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -38,6 +39,8 @@ SPLIT = 8 << 20
 READ = 1 << 18
 HEADERS = 1 << 16
 PAYLOAD = 64 << 20
+#: Records of a member that wait for its checksum.
+HELD = 16
 #: Reading tasks at most; beyond it a task has several ranges.
 TASKS = 50_000
 MAGIC = b"\x1f\x8b\x08"
@@ -230,12 +233,16 @@ def read_range(read: Callable[[int, int], bytes], size: int, start: int, end: in
             if not _follows(read, at, size):
                 at += 1
                 continue
+        held: deque[Record] = deque()  # until the member's checksum has held, or many more records have come
         try:
             for x in records_at(read, at, size, keep):
                 if isinstance(x, int):
                     at, sure = x, True
+                    yield from held
                 else:
-                    yield x
+                    held.append(x)
+                    if len(held) > HELD:
+                        yield held.popleft()
         except Corrupt as e:
             yield Corrupt(str(e), at)
             at, sure = at + 1, False
