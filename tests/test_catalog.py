@@ -43,4 +43,8 @@ def test_query_matches_sql(spark, sf, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_other_queries_run(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0
+    found = QUERIES[name](spark, sf)
+    rows = found.collect()
+    assert len(set(found.columns)) == len(found.columns) and all(len(r) == len(found.columns) for r in rows)
+    # sweeps, simulations and controls have a row for each setting, whatever is found; graphs may be empty
+    assert rows or name.endswith("_graph") or name in ("negative_control", "noise_robustness", "missing_robustness", "corrupted_candidates")
