@@ -461,8 +461,8 @@ _SAMPLED = {
 
 @query(
     "seed_samples",
-    f"""WITH {c.FLAGS}, s(kind, place, at) AS (VALUES {values([(k, i, int(x)) for k, v in _SAMPLED.items() for i, x in enumerate(v)])}), m AS (SELECT seed, avg(value) AS value FROM runs WHERE node_id = 'quantity' GROUP BY seed)
-     SELECT kind, place, m.seed, round(value, 6) + 0.0 AS value FROM s JOIN m ON m.seed = at""",
+    f"""WITH {c.FLAGS}, s(kind, place, drawn) AS (VALUES {values([(k, i, int(x)) for k, v in _SAMPLED.items() for i, x in enumerate(v)])}), m AS (SELECT seed, avg(value) AS value FROM runs WHERE node_id = 'quantity' GROUP BY seed)
+     SELECT kind, place, m.seed, round(value, 6) + 0.0 AS value FROM s JOIN m ON m.seed = drawn""",
 )
 def seed_samples(spark, sf_dir):
     means = a.flag_runs(spark, sf_dir).filter("node_id = 'quantity'").groupBy("seed").agg(F.avg("value").alias("value"))
