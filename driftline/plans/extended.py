@@ -14,6 +14,7 @@ from driftline.functions.stats import draws, stable_seed
 from driftline.operators import confirmation as conf
 from driftline.operators import discovery, effects, robustness, secondary, sweeps
 from driftline.plans import catalog as c
+from driftline.plans import scenarios  # noqa: F401  registers its queries
 from driftline.plans.catalog import ORACLE_SQL, QUERIES, query
 from driftline.sources import adapters as a
 from driftline.sources import graphs, tables

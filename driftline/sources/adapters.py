@@ -102,3 +102,43 @@ def flag_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select(
         "direction", "seed", "time", F.expr("stack(2, 'quantity', quantity, 'discount', discount) AS (node_id, value)")
     )
+
+
+def city(spark: SparkSession, sf_dir: str) -> Dataset:
+    """The fields of a segregation run: users as agents, their events as what befalls them, and the torus of grid()."""
+    x, agent, moved = F.col("x"), F.col("agent"), (F.col("n") > 1) | (F.col("x") > 80.003)
+    df = event_cells(spark, sf_dir).select(
+        "run", "time", "agent",
+        (agent % 2).alias("agent_group"), (agent % 6).alias("district_id"), ((agent * 7 + F.col("time")) % 9).alias("neighbour_count"),
+        (x < 30.003).alias("unhappy"), moved.alias("moved"), ((agent + F.col("time")) % 3 == 0).alias("boundary_agent"),
+        F.least(x / 100, F.lit(1.0)).alias("local_similarity"),
+        F.when(moved, (agent % 7) / 7).otherwise(0.0).alias("move_distance"), F.when(moved, F.least(x / 150, F.lit(1.0))).alias("destination_similarity"),
+    )
+    at, torus = ("time", "agent"), ("time", "grid_y", "grid_x")
+    kinds = dict.fromkeys(("agent_group", "district_id", "neighbour_count"), "integer") | dict.fromkeys(("unhappy", "moved", "boundary_agent"), "bool")
+    fields = {c: TensorType(kinds.get(c, "numeric"), at) for c in df.columns[3:]}
+    cells = grid(spark, sf_dir).tables[torus].withColumnRenamed("state", "state_grid")
+    return Dataset(("run",), {at: df, torus: cells}, fields | {"state_grid": TensorType("integer", torus)})
+
+
+def circle(spark: SparkSession, sf_dir: str) -> Dataset:
+    """The fields of an opinion run: nations as agents, their mean order price as opinion, the graph of trade()."""
+    t = trade(spark, sf_dir)
+    x, agent, at, ties = F.col("balance"), F.col("agent"), ("time", "agent"), ("time", "edge")
+    accepted, backfire = x > 145000.0003, (agent + F.col("time")) % 5 == 0
+    distance = F.abs(x / 150000 - 1)
+    df = t.tables[at].select(
+        "run", "time", "agent",
+        F.greatest(F.least((x - 150000) / 30000, F.lit(1.0)), F.lit(-1.0)).alias("state_opinion"),
+        accepted.alias("interaction_accepted"), backfire.alias("interaction_backfire"), (~accepted & ~backfire).alias("interaction_rejected"),
+        ((agent * 3 + F.col("time")) % 4 == 0).alias("edge_rewired"), ((agent + F.col("time") * 2) % 7 == 0).alias("sign_flip"),
+        distance.alias("interaction_distance"), (distance / 2 - 0.03).alias("agent_shift"),
+    )
+    numeric = {"state_opinion", "interaction_distance", "agent_shift"}
+    edges = t.tables[ties].withColumnsRenamed({f"link_{i}": f"network_edges_{i}" for i in range(2)})
+    return Dataset(
+        ("run",),
+        {at: df, ties: edges, (): t.tables[()].withColumnRenamed("nations", "agent_count")},
+        {c: TensorType("numeric" if c in numeric else "bool", at) for c in df.columns[3:]}
+        | {"network_edges": TensorType("integer", ("time", "edge", "endpoint")), "agent_count": TensorType("integer")},
+    )
