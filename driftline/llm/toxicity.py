@@ -324,7 +324,7 @@ def toxicity_scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
 
 
 def keep_below(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose text scores threshold or more; all columns as they are, no shuffle.
+    """docs without the rows whose text scores threshold or more; all columns as they are, whatever their names, no shuffle.
 
     Null, empty and wordless texts are kept or not as toxicity_scores() scores them; of repeated rows all
     or none go.
@@ -338,4 +338,7 @@ def keep_below(docs: DataFrame, model: Model, text: str = "text", threshold: flo
             scores = own.score(np.array([own.measure(i) for i in found], float))
             yield batch.filter(pa.array(scores < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    # under numbers, as Spark takes a dot in a name for a path here
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    numbered = docs.toDF(*names)
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
