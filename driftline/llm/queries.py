@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, language, packing, pii, secrets, simhash, templates, tokens, toxicity, warc
+from . import concurrency, divergence, extraction, hilbert, language, packing, pii, secrets, simhash, templates, tokens, toxicity, warc
 from .common import bucket, release, table
 
 
@@ -72,6 +72,21 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_digest(table(spark, sf_dir, "pages"), tag="op7")
 
 
+def op11_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    release("op11")
+    return concurrency.sales_concurrency(*[table(spark, sf_dir, t) for t in ("sales", "sale_lines", "clients")], tag="op11")
+
+
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    release("op12")
+    return extraction.main_texts(table(spark, sf_dir, "pages"), tag="op12")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    release("op13")
+    return divergence.divergence(table(spark, sf_dir, "documents"), tag="op13")
+
+
 QUERIES = {
     "op4_neighbours": op4_neighbours,
     "op7_warc": op7_warc,
@@ -83,6 +98,9 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op3_pii": op3_pii,
     "op10_secrets": op10_secrets,
+    "op11_concurrency": op11_concurrency,
+    "op12_extraction": op12_extraction,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -96,4 +114,6 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
         FROM f
     """,
+    "op11_concurrency": concurrency.SQL,
+    "op13_divergence": divergence.SQL,
 }
