@@ -192,10 +192,11 @@ def concurrency(spells: DataFrame, tag: str = "", bits: int = BITS, span_bits: i
     )
 
 
-def open_sales(sales: DataFrame, lines: DataFrame, clients: DataFrame) -> DataFrame:
+def open_sales(sales: DataFrame, lines: DataFrame, clients: DataFrame, tag: str = "") -> DataFrame:
     """The spells of sales: from sold_at to a day after the first shipped_at of their lines, for the client's nation and for ALL_NATIONS.
 
     Worth is the total in cents, 0 if null or not finite. Of several rows of one client the least nation counts.
+    Both right sides are written first: joins of plain tables let adaptive execution split a client or sale of many rows.
     """
     shipped = (
         lines.select(F.col("sale_id").alias("_sale"), utc_seconds(lines, "shipped_at").alias("_shipped"))
@@ -209,15 +210,15 @@ def open_sales(sales: DataFrame, lines: DataFrame, clients: DataFrame) -> DataFr
     rows = sales.select("sale_id", "client_id", utc_seconds(sales, "sold_at").alias("start"), F.when(finite & ~F.isnan("total"), cents).otherwise(0).cast("long").alias("worth"))
     return (
         rows.filter(F.col("start").isNotNull())
-        .join(shipped.hint("merge"), F.col("sale_id") == F.col("_sale"), "left")
-        .join(nations.hint("merge"), F.col("client_id") == F.col("_client"), "left")
+        .join(materialize(shipped, "shipped", tag).hint("merge"), F.col("sale_id") == F.col("_sale"), "left")
+        .join(materialize(nations, "nations", tag).hint("merge"), F.col("client_id") == F.col("_client"), "left")
         .select(F.explode(F.array(F.coalesce(F.col("_nation").cast("int"), F.lit(NO_NATION)), F.lit(ALL_NATIONS))).alias("key"), "start", "end", "worth")
     )
 
 
 def sales_concurrency(sales: DataFrame, lines: DataFrame, clients: DataFrame, tag: str = "") -> DataFrame:
     """nation_id, from_s, to_s, n_open, open_cents, high_open, is_peak of the sales open at each moment."""
-    return concurrency(open_sales(sales, lines, clients), tag=tag).withColumnsRenamed({"key": "nation_id", "open_worth": "open_cents"})
+    return concurrency(open_sales(sales, lines, clients, tag), tag=tag).withColumnsRenamed({"key": "nation_id", "open_worth": "open_cents"})
 
 
 SQL = """
