@@ -302,27 +302,24 @@ _TREE_DDL = "label array<string>, parent array<int>, text array<string>, linked
 
 
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) -> (host, layout, nodes, print): what the smallest page of a layout is chosen by."""
+    """(html, host, print) -> (layout, nodes, host, print): what the smallest page of a layout is chosen by."""
     for batch in slices(batches):
-        pages = [parse(x or "") for x in batch.column(1).to_pylist()]
-        prints = [xxhash.xxh64_intdigest((x or "").encode("utf-8", "surrogatepass")) - (1 << 63) for x in batch.column(1).to_pylist()]
+        pages = [parse(x or "") for x in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([layout(p) for p in pages], pa.string()), pa.array([len(p.label) for p in pages], pa.int32()), pa.array(prints, pa.int64())],
-            ["host", "layout", "nodes", "print"],
+            [pa.array([layout(p) for p in pages], pa.string()), pa.array([len(p.label) for p in pages], pa.int32()), *batch.columns[1:]],
+            ["layout", "nodes", "host", "print"],
         )
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(html, host, ...) -> (layout, print, the tree, host, ...)."""
+    """(html, ...) -> (layout, the tree, ...)."""
     for batch in slices(batches):
-        texts = [x or "" for x in batch.column(0).to_pylist()]
-        pages = [parse(x) for x in texts]
-        prints = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in texts]
+        pages = [parse(x or "") for x in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([layout(p) for p in pages], pa.string()), pa.array(prints, pa.int64())]
+            [pa.array([layout(p) for p in pages], pa.string())]
             + [pa.array([getattr(p, name) for p in pages], kind) for name, kind in _TREE]
             + batch.columns[1:],
-            ["layout", "print", *[name for name, _ in _TREE], *batch.schema.names[1:]],
+            ["layout", *[name for name, _ in _TREE], *batch.schema.names[1:]],
         )
 
 
@@ -377,11 +374,12 @@ def main_texts(pages: DataFrame, html: str = "html", url: str = "url", page_id:
     rows = pages.select(
         F.col(f"`{html}`").cast("string").alias("html"),
         F.lower(F.coalesce(F.regexp_extract(F.col(f"`{url}`").cast("string"), _HOST, 1), F.lit(""))).alias("host"),
+        F.xxhash64(F.coalesce(F.col(f"`{html}`").cast("string"), F.lit(""))).alias("print"),
         F.col(f"`{page_id}`").alias("page_id"),
         F.col(f"`{url}`").alias("url"),
     )
     # the smallest page of each layout stands for it; of pages of equal bytes one counts
-    sized = rows.select("host", "html").mapInArrow(_sized, "host string, layout string, nodes int, print long")
+    sized = rows.select("html", "host", "print").mapInArrow(_sized, "layout string, nodes int, host string, print long")
     chosen = (
         sized.groupBy("host", "layout", "print")
         .agg(F.min("nodes").alias("nodes"))
@@ -391,12 +389,12 @@ def main_texts(pages: DataFrame, html: str = "html", url: str = "url", page_id:
         .select("host", "layout", F.col("least.print").alias("print"))
     )
     kept = [c for c, _ in _TREE]
-    parsed = rows.mapInArrow(_parsed, f"layout string, print long, {_TREE_DDL}, host string, page_id {pages.schema[page_id].dataType.simpleString()}, url {pages.schema[url].dataType.simpleString()}")
-    few = small_side(materialize(chosen, "chosen", tag))
-    wrappers = parsed.join(few, ["host", "layout", "print"], "left_semi").groupBy("host", "layout").agg(F.min(F.struct("label", "parent")).alias("w"))
+    kinds = dict(rows.dtypes) | {"layout": "string"}
+    tree = lambda df: df.mapInArrow(_parsed, f"layout string, {_TREE_DDL}, " + ", ".join(f"{c} {kinds[c]}" for c in df.columns[1:]))
+    few = small_side(materialize(chosen.select("host", "print").distinct(), "chosen", tag))
+    wrappers = tree(rows.join(few, ["host", "print"], "left_semi").select("html", "host")).groupBy("host", "layout").agg(F.min(F.struct("label", "parent")).alias("w"))
     wrappers = small_side(materialize(wrappers.select("host", "layout", F.col("w.label").alias("own_label"), F.col("w.parent").alias("own_parent")), "wrappers", tag))
-    aligned = parsed.join(wrappers, ["host", "layout"], "left").select("own_label", "own_parent", *kept, "host", "layout", "print", "page_id", "url")
-    kinds = dict(aligned.dtypes)
+    aligned = tree(rows.select("html", "host", "print", "page_id", "url")).join(wrappers, ["host", "layout"], "left").select("own_label", "own_parent", *kept, "host", "layout", "print", "page_id", "url")
     blocks = materialize(
         aligned.mapInArrow(_aligned, f"blocks {_BLOCKS_DDL}, " + ", ".join(f"{c} {kinds[c]}" for c in ("host", "layout", "print", "page_id", "url"))), "blocks", tag
     )
