@@ -1,9 +1,9 @@
 """Class-conditional Kneser-Ney language models: how much likelier toxic than ordinary a text is.
 
-One interpolated bigram model for each label, of Kneser-Ney's adjusted counts: a word counts once for
-each distinct word before it, a pair once for each distinct word before the pair, so that a passage
-copied a thousand times weighs as much as one. All words and pairs of the sample count, rare ones
-discounted (modified Kneser-Ney, discounts from counts of counts). What a class's discounts set free
+One interpolated bigram model for each label, of Kneser-Ney's adjusted counts: pairs, the highest order,
+by their occurrences, words once for each distinct word before them, so that a word of one copied
+passage weighs as much as one. All words and pairs of the sample count, rare ones discounted (modified
+Kneser-Ney, discounts from counts of counts). What a class's discounts set free
 goes to counts that both classes share: of words to the continuation counts over both, of pairs to the
 pair counts over both and from there to the words, so that an expression too rare to tell is worth
 nearly the same to either.
@@ -32,14 +32,14 @@ from .common import materialize, slices, small_side
 FIT_ROWS = 8_000
 #: Labelled rows of each class on which the score is calibrated, in expectation.
 CALIBRATION_ROWS = 3_000
-#: Words and word pairs up to which the driver takes all that the sample has (24 bytes each); of more, those of the most contexts.
-KEPT_WORDS = 1 << 22
-KEPT_PAIRS = 1 << 23
+#: Bytes of text of each class, and distinct word pairs of the model (24 bytes each), that bound the sample too: of longer texts it has fewer rows.
+FIT_BYTES = 64 << 20
+MODEL_PAIRS = 1 << 23
 #: Parts in which pairs come to the driver, a power of two.
 PARTS = 8
 #: Powers of the mean, and shares of what a pair tells beyond its second word, that the calibration chooses from.
 POWERS = (0.0, 1.0, 2.0, 4.0)
-PAIR_SHARES = (0.0, 0.5, 1.0)
+PAIR_SHARES = (0.25, 0.5, 1.0)
 #: Words remembered by a worker between texts.
 REMEMBERED = 1 << 19
 THRESHOLD = 0.7
@@ -121,8 +121,8 @@ def build(words: dict[str, np.ndarray], pairs: dict[str, np.ndarray]) -> Model:
     """The models from adjusted counts.
 
     words: h (hash, ascending), c0, c1 (distinct words before it in each class), left (over both).
-    pairs: key (place of the first word * (words + 1) + place of the second, ascending), c0, c1 (distinct
-    words before it in each class).
+    pairs: key (place of the first word * (words + 1) + place of the second, ascending), c0, c1 (occurrences
+    in each class: counts of the highest order are raw).
     """
     hashes, size = words["h"], len(words["h"])
     shared = (np.append(words["left"], 0) + 1.0) / (words["left"].sum() + size + 1.0)
@@ -152,8 +152,8 @@ def build(words: dict[str, np.ndarray], pairs: dict[str, np.ndarray]) -> Model:
     return Model(hashes, word[1] - word[0], after[1] - after[0], pairs["key"], pair[1] - pair[0])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, label) -> (z, a, b, label): the distinct three-word windows of the batch, as hashes; zeros before a text."""
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, label) -> (a, b, label, n): the word pairs of the batch, as hashes, and how often each occurs; zero before a text."""
     for batch in slices(batches):
         seen: dict[str, int] = {}
 
@@ -164,26 +164,20 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if own == label and (h := [hash_of(w) for w in words_of(text)]):
-                    padded = np.array([0, 0, *h], np.uint64)
-                    rows.append(np.column_stack((padded[:-2], padded[1:-1], padded[2:])))
+                    padded = np.array([0, *h], np.uint64)
+                    rows.append(np.column_stack((padded[:-1], padded[1:])))
             if rows:
                 found = np.concatenate(rows)
                 found = found[np.lexsort(found.T[::-1])]
-                found = found[np.append(True, (found[1:] != found[:-1]).any(axis=1))]
+                first = np.flatnonzero(np.append(True, (found[1:] != found[:-1]).any(axis=1)))
+                n, found = np.diff(np.append(first, len(found))), found[first]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(3)]
-                    + [pa.array(np.full(len(found), label, np.int32))],
-                    ["z", "a", "b", "label"],
+                    [pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(2)]
+                    + [pa.array(np.full(len(found), label, np.int32)), pa.array(n.astype(np.int64))],
+                    ["a", "b", "label", "n"],
                 )
 
 
-def _most(counts: DataFrame, rank: Column, keys: list[str], most: int) -> DataFrame:
-    """counts, or if they are more than `most` rows, those of the highest rank."""
-    if counts.limit(most + 1).count() <= most:
-        return counts
-    return counts.orderBy(rank.desc(), *keys).limit(most)
-
-
 def _taken(counts: DataFrame, keys: list[str]) -> dict[str, np.ndarray]:
     found = counts.select(*[F.col(c) if c in keys else F.col(c).cast("int") for c in counts.columns]).toArrow()
     return {c: found[c].to_numpy() for c in found.column_names}
@@ -205,10 +199,10 @@ def _taken_pairs(counts: DataFrame, hashes: np.ndarray) -> dict[str, np.ndarray]
 
 
 def _share(u: Column, numbers: dict, most: float, at: float, cap: int) -> Column:
-    """Rows of label whose u lies in [at, at + width) of the unit interval, width: most, or less for a large class."""
+    """Rows of label whose u lies in [at, at + width) of the unit interval, width: most, or less for a class of many rows or long texts."""
     out = F.lit(False)
-    for c, n in numbers.items():
-        lo, hi = at, at + min(most, cap / n)
+    for c, (n, size) in numbers.items():
+        lo, hi = at, at + min(most, cap / n, FIT_BYTES / max(size, 1))
         out = out | ((F.col("label") == c) & (u >= int(lo * (1 << 30))) & (u < int(hi * (1 << 30))))
     return out
 
@@ -222,35 +216,41 @@ def fit(
     expectation, chosen by a hash of doc_id, give counts and CALIBRATION_ROWS others the calibration; all
     there are, if fewer. A doc_id labelled both ways counts as either; repeated labels count once, rows
     repeated under one doc_id all do; a null doc_id has no label. Without rows of both classes every score
-    is a half. Ids alone are joined with labels; of the chosen ones the texts are read. The counts are
-    made on the executors; those of all words and pairs come to the driver, KEPT_WORDS and KEPT_PAIRS at
-    most; rarer ones, if any, are left to the words and to unknown words.
+    is a half. Ids and lengths alone are joined with labels; of the chosen ones the texts are read. The sample
+    is bounded in bytes too, by FIT_BYTES of each class in expectation, and is halved, by another hash of
+    doc_id, until its distinct pairs are MODEL_PAIRS at most; the model holds every word and pair of its
+    sample. The counts are made on the executors and come to the driver.
     """
     labels = docs if labels is None else labels
     known = labels.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("label"))
     known = known.filter(F.col("label").isin(0, 1) & F.col("__id").isNotNull()).distinct()
-    ids = docs.select(F.col(f"`{doc_id}`").alias("__id")).filter(F.col("__id").isNotNull()).distinct().join(known, "__id")
+    size = F.octet_length(F.col(f"`{text}`").cast("string"))
+    ids = docs.select(F.col(f"`{doc_id}`").alias("__id"), size.alias("size")).filter(F.col("__id").isNotNull()).groupBy("__id").agg(F.sum("size").alias("size")).join(known, "__id")
     ids = materialize(ids.withColumn("u", F.pmod(F.xxhash64("__id", F.lit("toxicity")), F.lit(1 << 30))), "toxicity-ids", tag)
-    numbers = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sums = ids.groupBy("label").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
+    numbers = {r["label"]: (r["n"], r["size"]) for r in sums.collect()}
     part = FIT_ROWS / (FIT_ROWS + CALIBRATION_ROWS)
     counted = _share(F.col("u"), numbers, part, 0.0, FIT_ROWS)
-    chosen = ids.withColumn("counts", counted).filter(F.col("counts") | _share(F.col("u"), numbers, 1 - part, part, CALIBRATION_ROWS))
+    chosen = ids.withColumns({"counts": counted, "v": F.pmod(F.xxhash64("__id", F.lit("halves")), F.lit(1 << 30))}).filter(F.col("counts") | _share(F.col("u"), numbers, 1 - part, part, CALIBRATION_ROWS))
     rows = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("text"))
-    sample = materialize(rows.join(small_side(chosen.select("__id", "label", "counts")), "__id").drop("__id"), "toxicity-fit", tag)
-    pairs = (
-        sample.filter("counts").select("text", "label").mapInArrow(_contexts, "z long, a long, b long, label int")
-        .distinct()
-        .groupBy("a", "b")
-        .agg(F.count_if(F.col("label") == 0).alias("c0"), F.count_if(F.col("label") == 1).alias("c1"))
-    )
-    pairs = materialize(pairs, "toxicity-pairs", tag)
+    sample = materialize(rows.join(small_side(chosen.select("__id", "label", "counts", "v")), "__id").drop("__id"), "toxicity-fit", tag)
+    counting, kept = sample.filter("counts"), 1 << 30
+    while True:
+        pairs = (
+            counting.filter(F.col("v") < kept).select("text", "label").mapInArrow(_occurrences, "a long, b long, label int, n long")
+            .groupBy("a", "b")
+            .agg(*[F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in (0, 1)])
+        )
+        pairs = materialize(pairs, "toxicity-pairs", tag)
+        if pairs.limit(MODEL_PAIRS + 1).count() <= MODEL_PAIRS:
+            break
+        kept >>= 1
     words = pairs.groupBy("b").agg(F.count_if(F.col("c0") > 0).alias("c0"), F.count_if(F.col("c1") > 0).alias("c1"), F.count("*").alias("left"))
-    words = _taken(_most(words, F.col("left"), ["b"], KEPT_WORDS), ["b"])
+    words = _taken(words, ["b"])
     words["h"] = words.pop("b").view(np.uint64)
     order = np.argsort(words["h"])
     words = {k: v[order] for k, v in words.items()}
-    kept = _most(pairs.filter(F.col("a") != 0), F.col("c0") + F.col("c1"), ["a", "b"], KEPT_PAIRS)
-    model = build(words, _taken_pairs(kept, words["h"]))
+    model = build(words, _taken_pairs(pairs.filter(F.col("a") != 0), words["h"]))
     sent = pairs.sparkSession.sparkContext.broadcast(model)
     ways = [(power, share) for share in PAIR_SHARES for power in POWERS]
     found = _measured(sample.filter("NOT counts").select("text", "label"), sent, ways).select("label", "f").toPandas()
@@ -259,13 +259,11 @@ def fit(
     if not len(y) or y.min() == y.max():
         model.weights = np.zeros(2)
         return model
-    x, prior = np.stack(found["f"].to_numpy()), numbers.get(1, 0) / sum(numbers.values())
+    x, prior = np.stack(found["f"].to_numpy()), numbers[1][0] / (numbers[0][0] + numbers[1][0])
     tried = [calibrate(x[:, i], y, prior) for i in range(len(ways))]
     # a likelier toxic text never scores less
     best = min(range(len(ways)), key=lambda i: (tried[i][0][1] < 0, tried[i][1], i))
     (model.power, model.share), model.weights = ways[best], tried[best][0]
-    if not model.share:  # no score needs the pairs
-        model.pairs, model.pair = model.pairs[:0], model.pair[:0]
     return model
 
 

@@ -36,14 +36,14 @@ def discounts(counts):
 
 def plain_ratios(train):
     """Log-likelihood ratios of words, and of words after words, from the definition."""
-    before = [defaultdict(set), defaultdict(set)]  # pair -> words before it
+    times = [defaultdict(int), defaultdict(int)]  # pair -> occurrences
     for _, text, y in train:
-        w = ["<s>", "<s>", *text.split()]
-        for z, a, b in zip(w, w[1:], w[2:], strict=False):
-            before[y][a, b].add(z)
-    pairs = sorted({p for c in before for p in c})
+        w = ["<s>", *text.split()]
+        for p in zip(w, w[1:], strict=False):
+            times[y][p] += 1
+    pairs = sorted({p for c in times for p in c})
     known = sorted({b for _, b in pairs})
-    c = [{p: len(before[y].get(p, ())) for p in pairs} for y in (0, 1)]
+    c = [{p: times[y].get(p, 0) for p in pairs} for y in (0, 1)]
     words = [{w: sum(1 for p in pairs if p[1] == w and c[y][p]) for w in known} for y in (0, 1)]
     left = {w: sum(1 for p in pairs if p[1] == w) for w in known}
     inner = [p for p in pairs if p[0] != "<s>"]
@@ -84,8 +84,6 @@ def test_ratios_equal_the_formulas_written_out(spark, monkeypatch):
     seen = {}
     real = toxicity.build
     monkeypatch.setattr(toxicity, "build", lambda w, p: seen.setdefault("model", real(w, p)))
-    chosen = []
-    contexts = toxicity._contexts
     monkeypatch.setattr(toxicity, "FIT_ROWS", 8_000)
     toxicity.fit(df)
     model = seen["model"]
@@ -95,7 +93,7 @@ def test_ratios_equal_the_formulas_written_out(spark, monkeypatch):
     u = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30))
     most = int(8_000 / 11_000 * (1 << 30))
     chosen = [tuple(r) for r in df.filter(u < most).collect()]
-    assert contexts is toxicity._contexts and 100 < len(chosen) < 240
+    assert 100 < len(chosen) < 240
     word, pair, after, unknown = plain_ratios(chosen)
     at = {w: int(np.searchsorted(model.hashes, np.uint64(xxhash.xxh64_intdigest(w.encode())))) for w in word}
     for w, x in word.items():
@@ -129,3 +127,22 @@ def test_repeated_rows_other_columns_and_long_texts(spark):
     kept = toxicity.keep_below(test, model, threshold=2.0)
     assert kept.columns == test.columns and kept.count() == 7
     assert toxicity.toxicity_scores(test.limit(0), model).count() == 0 and toxicity.keep_below(test.limit(0), model).count() == 0
+
+
+def test_pairs_stay_whatever_the_size(spark, sf):
+    from driftline.llm.common import table
+    from pyspark.sql import functions as F
+
+    labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(table(spark, sf, "documents"), labels)
+    assert model.share > 0 and len(model.pairs) == len(model.pair) > 1000
+
+
+def test_too_many_pairs_shrink_the_sample_not_the_model(spark, monkeypatch):
+    df = spark.createDataFrame(rows(300), "doc_id long, text string, label int")
+    whole = toxicity.fit(df)
+    monkeypatch.setattr(toxicity, "MODEL_PAIRS", len(whole.pairs) - 1)
+    less = toxicity.fit(df)
+    assert 0 < len(less.pairs) < len(whole.pairs)
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 100)
+    assert len(toxicity.fit(df).pairs) < len(less.pairs)
