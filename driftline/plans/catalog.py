@@ -440,7 +440,7 @@ def path_projection(spark, sf_dir):
 
 
 _EFF = """eff AS (SELECT p_brand AS parameter, CASE WHEN p_size % 2 = 0 THEN 'plus' ELSE 'minus' END AS direction, concat('v', p_partkey % 6) AS node_id,
- CASE WHEN min(p_partkey) % 17 = 0 THEN NULL ELSE CAST(avg(p_size) - 25 AS DOUBLE) END AS effect, CAST(min(p_partkey) % 9 AS INTEGER) - 1 AS onset, min(p_partkey) % 5 <> 0 AS moved FROM {part} GROUP BY 1, 2, 3)"""
+ CASE WHEN min(p_partkey) % 17 = 0 THEN NULL ELSE CAST(avg(p_size) - 25 AS DOUBLE) END AS effect, CAST(max(p_partkey) % 6 AS INTEGER) - 1 AS onset, min(p_partkey) % 7 <> 0 AS moved FROM {part} GROUP BY 1, 2, 3)"""
 _ROLES = {"v0": "micro", "v1": "micro", "v2": "meso", "v3": "meso", "v4": "macro", "v5": "macro"}
 _EDGES = [("v0", "v2", "macro_outcome_v4", 1, 0.4), ("v1", "v3", "macro_outcome_v5", 2, -0.3), ("v2", "v4", "macro_outcome_v4", 1, 0.2), ("v3", "v5", "macro_outcome_v5", 3, 0.5), ("v4", "v5", "macro_outcome_v5", 1, 0.1)]
 _MIDS = [("v0", "v2", "v4"), ("v1", "v3", "v5"), ("v1", "v2", "v4")]
