@@ -1,4 +1,4 @@
-"""Grids and graphs: joins where a relation says it, grouped functions for connected components only."""
+"""Grids and graphs: joins where a relation says it, grouped functions for connected components of blocks and tiles only."""
 
 from __future__ import annotations
 
@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.nulls import TINY, correlation, group_reducer
+from driftline.operators.components import kept, least_reachable, stars
+
+#: Side of the squares of a grid that a task joins at once.
+TILE = 1 << 10
 
 
 def both_ways(edges: DataFrame, keys) -> DataFrame:
@@ -100,59 +104,71 @@ def grid_similarity(grid: DataFrame, keys, value: str = "value") -> DataFrame:
     return size.select(*at).join(met, at, "left").select(*at, F.coalesce("_s", F.lit(1.0)).alias("value"))
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least node reachable from each of n nodes over links a-b: labels fall, and jump to their labels', until still."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def grid_components(grid: DataFrame, keys, value: str = "value") -> DataFrame:
+def grid_components(grid: DataFrame, keys, value: str = "value", tile: int | None = None) -> DataFrame:
     """keys, time, components, largest: same-group components of a torus without vacancies, and the largest's share.
 
-    A task holds one grid at one time.
+    A task joins the cells of one tile; tiles are joined over the cells along their borders.
     """
-    at = [*keys, "time"]
+    at, tile = [*keys, "time"], tile or TILE
+    rows = grid.select(*at, F.col("grid_y").cast("long").alias("y"), F.col("grid_x").cast("long").alias("x"), F.col(value).cast("double").alias("g"))
+    size = rows.groupBy(*at).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    live = rows.filter(~F.isnan("g") & (F.col("g") >= 0)).join(size, at)
 
     def run(table: pa.Table) -> pa.Table:
-        y, x, g = (table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("grid_y", "grid_x", value))
-        full = np.full((int(y.max()) + 1, int(x.max()) + 1), -1.0)
-        full[y.astype(int), x.astype(int)] = np.where(np.isnan(g.astype(float)), -1, g.astype(float))
+        y, x, g = (table[c].combine_chunks().to_numpy() for c in ("y", "x", "g"))
+        h, w = table["h"][0].as_py(), table["w"][0].as_py()
+        whole, top, left = h <= tile and w <= tile, y.min() // tile * tile, x.min() // tile * tile
+        full = np.full((min(tile, h - top), min(tile, w - left)), -1.0)
+        full[y - top, x - left] = g
         ids, a, b = np.arange(full.size).reshape(full.shape), [], []
         for axis in (0, 1):
             same = (full == np.roll(full, -1, axis)) & (full >= 0)
+            if not whole:  # the torus closes over other tiles
+                np.moveaxis(same, axis, 0)[-1] = False
             a.append(ids[same])
             b.append(np.roll(ids, -1, axis)[same])
-        root = _roots(full.size, np.concatenate(a), np.concatenate(b))[full.ravel() >= 0]
-        sizes = np.unique(root, return_counts=True)[1]
-        out = {c: table[c].slice(0, 1) for c in at}
-        return pa.table(out | {"components": [float(len(sizes))], "largest": [float(sizes.max() / len(root)) if len(root) else 0.0]})
+        root = least_reachable(full.size, np.concatenate(a), np.concatenate(b))
+        far = (top + root // full.shape[1]) * w + left + root % full.shape[1]
+        inner = root[full.ravel() >= 0]
+        own, n = np.unique(inner, return_counts=True)
+        edge = np.zeros(full.shape, bool)
+        if not whole:
+            edge[[0, -1]] = edge[:, [0, -1]] = True
+        ey, ex = np.nonzero(edge & (full >= 0))
+        none, many = [None] * len(own), len(own) + len(ey)
+        return pa.table(
+            {c: pa.array([table[c][0].as_py()] * many, table.schema.field(c).type) for c in [*at, "h", "w"]}
+            | {
+                "root": pa.array([*far[own].tolist(), *far[ids[ey, ex]].tolist()], pa.int64()),
+                "n": pa.array([*n.tolist(), *[None] * len(ey)], pa.int64()),
+                "y": pa.array([*none, *(ey + top).tolist()], pa.int64()),
+                "x": pa.array([*none, *(ex + left).tolist()], pa.int64()),
+                "g": pa.array([*none, *full[ey, ex].tolist()], pa.float64()),
+            }
+        )
 
     fields = ", ".join(f"{c} {grid.schema[c].dataType.simpleString()}" for c in at)
-    return grid.select(*at, "grid_y", "grid_x", value).groupBy(*at).applyInArrow(run, f"{fields}, components double, largest double")
-
-
-def graph_components(edges: DataFrame, nodes: DataFrame, keys) -> DataFrame:
-    """keys, time, components, largest: of a graph's nodes 0 .. node_count - 1, isolated ones included.
-
-    A task holds the edges of one graph at one time.
-    """
+    tiles = live.groupBy(*at, F.floor(F.col("y") / tile).alias("_ty"), F.floor(F.col("x") / tile).alias("_tx"))
+    parts = kept(tiles.applyInArrow(run, f"{fields}, h long, w long, root long, n long, y long, x long, g double"), "tiles")
+    pieces = parts.filter("n IS NOT NULL").select(*at, "root", "n")
+    border = parts.filter("n IS NULL")
+    if not border.isEmpty():
+        other = border.select(*at, "y", "x", "g", F.col("root").alias("b"))
+        right = border.select(*at, "y", F.pmod(F.col("x") + 1, "w").alias("x"), "g", F.col("root").alias("a"))
+        below = border.select(*at, F.pmod(F.col("y") + 1, "h").alias("y"), "x", "g", F.col("root").alias("a"))
+        links = right.union(below).join(other, [*at, "y", "x", "g"]).filter("a <> b").select(*at, "a", "b").distinct()
+        joined = stars(links, at).withColumnRenamed("root", "_to").withColumnRenamed("node", "root")
+        pieces = pieces.join(joined, [*at, "root"], "left").groupBy(*at, F.coalesce("_to", "root").alias("root")).agg(F.sum("n").alias("n"))
+    found = pieces.groupBy(*at).agg(F.count("*").cast("double").alias("_c"), (F.max("n") / F.sum("n")).alias("_l"))
+    return size.select(*at).join(found, at, "left").select(*at, F.coalesce("_c", F.lit(0.0)).alias("components"), F.coalesce("_l", F.lit(0.0)).alias("largest"))
+
+
+def graph_components(edges: DataFrame, nodes: DataFrame, keys, block: int | None = None) -> DataFrame:
+    """keys, time, components, largest: of a graph's nodes 0 .. node_count - 1, isolated ones included."""
     at = [*keys, "time"]
-    rows = edges.join(nodes, list(keys)).select(*at, "u", "v", F.col("node_count").cast("long").alias("node_count"))
-
-    def run(table: pa.Table) -> pa.Table:
-        u, v, n = (table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("u", "v", "node_count"))
-        sizes = np.unique(_roots(int(n[0]), u.astype(int), v.astype(int)), return_counts=True)[1]
-        return pa.table({c: table[c].slice(0, 1) for c in at} | {"components": [float(len(sizes))], "largest": [float(sizes.max() / n[0])]})
-
-    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in at)
-    return rows.groupBy(*at).applyInArrow(run, f"{fields}, components double, largest double")
+    rows = edges.join(nodes, list(keys)).select(*at, F.col("u").cast("long").alias("a"), F.col("v").cast("long").alias("b"), F.col("node_count").cast("long").alias("node_count"))
+    graphs = rows.groupBy(*at).agg(F.max("node_count").alias("_n"))
+    sizes = stars(rows.select(*at, "a", "b"), at, block).groupBy(*at, "root").agg((F.count("*") + 1).alias("_size"))
+    joined = sizes.groupBy(*at).agg(F.sum(F.col("_size") - 1).alias("_less"), F.max("_size").alias("_most"))
+    n = F.col("_n").cast("double")
+    return graphs.join(joined, at, "left").select(*at, (n - F.coalesce("_less", F.lit(0))).alias("components"), (F.coalesce("_most", F.lit(1)) / n).alias("largest"))

@@ -96,7 +96,7 @@ def recovery(truth: DataFrame, found: DataFrame, by=()) -> DataFrame:
     both = F.col("_t") & F.col("_f")
     hit, missed, extra = F.count_if(F.coalesce(both, F.lit(False))), F.count_if(F.col("_f").isNull()), F.count_if(F.col("_t").isNull())
     p, r = hit / F.greatest(hit + extra, F.lit(1)), hit / F.greatest(hit + missed, F.lit(1))
-    signed = ~F.isnan("_fb") & (F.col("_fb") != 0)
+    signed = ~F.isnan("_fb") & (F.col("_fb") != 0) & (F.abs("_fb") < float("inf"))
     return (
         a.join(b, on, "full")
         .groupBy(*by)
@@ -182,6 +182,34 @@ def shifted_parents(series: DataFrame, parents, least: int, most: int, master: i
     return circular_shift(series.select("seed", "node_id", "time", "value"), ["seed", "node_id"], "value", shifts)
 
 
+def shifted_repetitions(series: DataFrame, parents, least: int, most: int, master: int, repetitions: int) -> DataFrame:
+    """cell, seed, node_id, time, value: shifted_parents() of each repetition as a cell, and the series as it is as cell -1.
+
+    A table of shifts, a row for each (cell, seed, node), is joined once: the series is read once for all.
+    """
+    kind = series.schema["seed"].dataType.simpleString()
+    own = series.select("seed", "node_id", "time", "value")
+    every = own.groupBy("seed", "node_id").agg(F.count("*").alias("_n"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for seed, node, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.append((-1, seed, node, n, 0))
+                for r in range(repetitions):
+                    draw = int(np.random.default_rng(stable_seed(master, "shift", r, seed, node)).integers(least, most + 1)) if node in parents else 0
+                    rows.append((r, seed, node, n, draw))
+            types = (pa.int32(), batch.schema.field(0).type, pa.string(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], ["cell", "seed", "node_id", "_n", "_shift"])
+
+    shifts = every.mapInArrow(run, f"cell int, seed {kind}, node_id string, _n long, _shift int")
+    time = F.pmod(F.col("time") + F.col("_shift"), F.col("_n")).cast(series.schema["time"].dataType)
+    return own.join(shifts, ["seed", "node_id"]).select("cell", "seed", "node_id", time.alias("time"), "value")
+
+
 def negative_control(
     series: DataFrame, pairs, lag: int, parent_alpha: float, fdr_alpha: float, replicates: int, support: float, least: int, most: int, master: int = 0, repetition: int = 0
 ) -> DataFrame:
@@ -218,12 +246,18 @@ def dose_effects(runs: DataFrame, keys, base: float, evaluation_start: int) -> D
     """keys, dose, seed, effect, standardised: mean difference from the base dose of the same seed and time.
 
     runs: keys, dose, seed, time, value. standardised is over the spread of the base dose's values;
-    missing without one.
+    missing without one. A seed whose doses don't have the base dose's times is an error; seeds without a base
+    dose are left out.
     """
     late = runs.filter(F.col("time") >= evaluation_start)
     centre = late.filter(F.col("dose") == base).select(*keys, "seed", "time", F.col("value").alias("_b"))
+    centre = centre.withColumns({"_m": F.lit(1), "_n": F.count("*").over(Window.partitionBy(*keys, "seed"))})
     spread = centre.groupBy(*keys).agg(F.stddev_samp("_b").alias("_sd"))
-    per = late.join(centre, [*keys, "seed", "time"]).groupBy(*keys, "dose", "seed").agg(F.avg(F.col("value") - F.col("_b")).alias("effect"))
+    per = late.join(centre, [*keys, "seed", "time"], "left").groupBy(*keys, "dose", "seed")
+    per = per.agg(F.avg(F.col("value") - F.col("_b")).alias("effect"), F.count("*").alias("_own"), F.count("_m").alias("_met"), F.max("_n").alias("_n"))
+    same = (F.col("_own") == F.col("_met")) & (F.col("_met") == F.col("_n"))
+    other = F.raise_error(F.concat(F.lit("times differ from the base dose's: seed "), F.col("seed").cast("string"), F.lit(", dose "), F.col("dose").cast("string")))
+    per = per.join(centre.select(*keys, "seed").distinct(), [*keys, "seed"], "left_semi").withColumn("effect", F.when(same, F.col("effect")).otherwise(other.cast("double")))
     return per.join(spread, list(keys)).select(*keys, "dose", "seed", "effect", F.when(F.col("_sd") > TINY, F.col("effect") / F.col("_sd")).alias("standardised"))
 
 

@@ -8,7 +8,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.stats import stable_seed
@@ -201,32 +201,34 @@ def ablations(series: DataFrame, pairs: discovery.Pairs, nodes: list[str], fit:
     return graph_table(edges, series.sparkSession.createDataFrame(sizes, "variant string, candidates long"), ["variant"])
 
 
-def control_summary(series: DataFrame, pairs: discovery.Pairs, paths: list[tuple[str, str, str]], repetitions: int, least: int, most: int, primary: int, fit: dict | None = None) -> DataFrame:
+def control_summary(series: DataFrame, pairs: discovery.Pairs, paths: list[tuple[str, str, str]], repetitions: int, least: int, most: int, primary: int | None = None, fit: dict | None = None) -> DataFrame:
     """repetition and what the method still finds in series whose parents are turned round: edges, paths, and their ratio to the primary graph.
 
-    paths: micro, meso, macro. All repetitions are one job.
+    paths: micro, meso, macro. All repetitions are cells of one job, and so is the primary graph, of the series as they
+    are, whose edges are counted unless their number is given.
     """
-    from driftline.operators.secondary import shifted_parents
+    from driftline.operators.secondary import shifted_repetitions
 
     fit = FIT | (fit or {})
     if least <= fit["lag"] or most < least:
         raise ValueError("shifts must be longer than the lag")
     spark, parents = series.sparkSession, {s for s, _, _ in pairs}
-    own = {r: pairs for r in range(repetitions)}
-    rows = None
-    for r in own:
-        turned = shifted_parents(series, parents, least, most, fit["master"], r).select(F.lit(r).alias("cell"), "seed", "time", "node_id", "value")
-        rows = turned if rows is None else rows.union(turned)
-    kept, _ = discovery.bootstrap_graphs(rows, own, fit["lag"], fit["parent_alpha"], fit["fdr_alpha"], fit["replicates"], {r: fit["support"] for r in own}, fit["master"], {r: f"negative:{r}" for r in own})
-    table = cells_table(spark, [{"repetition": r} for r in own], "repetition int", own)
-    found = graph_table(kept, table.select("cell", "candidates"), ["cell"])
+    own = {r: pairs for r in range(-1, repetitions)}
+    rows = shifted_repetitions(series, parents, least, most, fit["master"], repetitions).select("cell", "seed", "time", "node_id", "value")
+    kept, _ = discovery.bootstrap_graphs(rows, own, fit["lag"], fit["parent_alpha"], fit["fdr_alpha"], fit["replicates"], {r: fit["support"] for r in own}, fit["master"], {r: f"negative:{r}" if r >= 0 else "bootstrap" for r in own})
+    table = spark.createDataFrame([(r, len(set(pairs))) for r in own], "cell int, candidates long")
+    found = graph_table(kept, table, ["cell"])
     steps = [(i, f"macro_outcome_{macro}", a, b) for i, (micro, meso, macro) in enumerate(paths) for a, b in ((micro, meso), (meso, macro))]
     wanted = spark.createDataFrame(steps, "path int, group string, source string, target string")
     whole = kept.select("cell", "source", "target", "group").distinct().join(wanted, ["source", "target", "group"])
     whole = whole.groupBy("cell", "path").agg(F.count("*").alias("n")).filter("n = 2").groupBy("cell").agg(F.count("*").alias("qualified_paths"))
     n = F.coalesce("qualified_paths", F.lit(0))
+    # a row for each repetition: few
+    count = F.max(F.when(F.col("cell") == -1, F.col("retained"))).over(Window.partitionBy(F.lit(0)))
+    base = F.col("_primary")
+    found = found.withColumn("_primary", count if primary is None else F.lit(primary)).filter("cell >= 0")
     return found.join(whole, "cell", "left").select(
         F.col("cell").alias("repetition"), "candidates", "retained", "qualification_rate", F.lit(len(paths)).alias("paths"), n.alias("qualified_paths"),
-        (n / max(len(paths), 1)).alias("path_rate"), "stability", (F.col("retained") - primary).alias("difference_from_primary"),
-        (F.col("retained") / primary if primary else F.lit(None).cast("double")).alias("ratio_to_primary"),
+        (n / max(len(paths), 1)).alias("path_rate"), "stability", (F.col("retained") - base).alias("difference_from_primary"),
+        F.when(base > 0, F.col("retained") / base).alias("ratio_to_primary"),
     )

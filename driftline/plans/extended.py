@@ -589,4 +589,4 @@ _sweep("representation_robustness", lambda s, pairs, nodes: sweeps.representatio
 _sweep("mechanism_checks", lambda s, pairs, nodes: sweeps.mechanism_checks(s.filter("seed % 2 = 0"), pairs, "even_users", "odd_users", _FIT))
 _sweep("causal_scalability", lambda s, pairs, nodes: sweeps.scalability(s, nodes, (3, 5, 10), 2, _FIT))
 _sweep("functional_ablations", lambda s, pairs, nodes: sweeps.ablations(s, pairs[::2], nodes, _FIT))
-_sweep("control_summary", lambda s, pairs, nodes: sweeps.control_summary(s, pairs, [tuple(nodes[:3]), tuple(nodes[1:4])], 4, 5, 12, 10, _FIT))
+_sweep("control_summary", lambda s, pairs, nodes: sweeps.control_summary(s, pairs, [tuple(nodes[:3]), tuple(nodes[1:4])], 4, 5, 12, fit=_FIT))

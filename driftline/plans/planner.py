@@ -16,6 +16,12 @@ from driftline.operators.tensor import Dataset, Tensor, align, column_of, fresh,
 from driftline.plans import grammar as g
 
 
+def _entropy_of(tiny: float) -> Column:
+    """Entropy of counts _c from sums that partial aggregates merge: -sum c/n ln(c/n + tiny) is ln n - (sum c ln c) / n, less tiny for each value."""
+    n = F.sum("_c")
+    return F.log(n) - F.sum(F.col("_c") * F.log("_c")) / n - tiny * F.count(F.lit(1))
+
+
 class Planner:
     def __init__(self, data: Dataset):
         self.data, self.keys = data, data.keys
@@ -136,11 +142,7 @@ class Planner:
             place = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.col("_low")) / width * bins))).otherwise(0)
             counts = rows.filter(F.col("_x").isNotNull()).join(bounds, at).groupBy(*at, place.alias("_x")).agg(F.count("*").alias("_c"))
             tiny = 0.0
-        # p ln p summed from counts needs no total first: ln(c / n) with n the sum over the same group
-        total = F.sum("_c")
-        lists = counts.groupBy(*at).agg(total.alias("_n"), F.collect_list("_c").alias("_cs"))
-        h = F.aggregate("_cs", F.lit(0.0), lambda s, c: s - c / F.col("_n") * F.log(c / F.col("_n") + tiny))
-        found = lists.select(*at, h.alias("_h"))
+        found = counts.groupBy(*at).agg(_entropy_of(tiny).alias("_h"))
         name = fresh()
         dims = tuple(d for d in t.dims if d != node["axis"])
         all_ = rows.select(*at).distinct()
@@ -166,9 +168,7 @@ class Planner:
             found = found.join(reduced, [*at, "group"], "left")
         if "entropy" in ops:
             counts = live.filter(F.col("_x").isNotNull()).groupBy(*at, "group", "_x").agg(F.count("*").alias("_c"))
-            lists = counts.groupBy(*at, "group").agg(F.sum("_c").alias("_n"), F.collect_list("_c").alias("_cs"))
-            h = F.aggregate("_cs", F.lit(0.0), lambda s, c: s - c / F.col("_n") * F.log(c / F.col("_n") + 1e-15))
-            found = found.join(lists.select(*at, "group", h.alias("_entropy")), [*at, "group"], "left")
+            found = found.join(counts.groupBy(*at, "group").agg(_entropy_of(1e-15).alias("_entropy")), [*at, "group"], "left")
         out = [(F.coalesce("_count", F.lit(0.0)) if op == "count" else F.col(f"_{op}")).alias(op) for op in ops]
         dims = (*[d for d in groups.dims if d != axis], "group")
         return Tensor(found.select(*at, "group", *out), dims, F.lit(None), "numeric")
