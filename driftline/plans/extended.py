@@ -17,7 +17,7 @@ from driftline.plans import catalog as c
 from driftline.plans import scenarios  # noqa: F401  registers its queries
 from driftline.plans.catalog import ORACLE_SQL, QUERIES, query
 from driftline.sources import adapters as a
-from driftline.sources import graphs, tables
+from driftline.sources import graphs, npz, tables
 
 SEEDS = list(range(10))
 
@@ -570,6 +570,33 @@ def written_once(spark, sf_dir):
     return spark.createDataFrame([(told["row_count"], len(told["columns"]), refused)], "row_count long, columns int, refused boolean")
 
 
+def _archived(spark, sf_dir):
+    runs = a.flag_runs(spark, sf_dir)
+    return runs.select(F.concat_ws("-", "direction", F.col("seed").cast("string"), "node_id").alias("name"), F.col("time").cast("long").alias("time"), F.col("value").cast("double").alias("value"))
+
+
+_ARCHIVED = f"WITH {c.FLAGS}, named AS (SELECT concat_ws('-', direction, CAST(seed AS VARCHAR), node_id) AS name, time, value FROM runs)"
+
+
+@query("npz_round_trip", f"{_ARCHIVED} SELECT name, CAST(time AS BIGINT) AS time, round(value, 6) + 0.0 AS value FROM named")
+def npz_round_trip(spark, sf_dir):
+    path = tables.scratch(spark, "npz")
+    npz.write_archives(_archived(spark, sf_dir), path)
+    return npz.read_archives(spark, path, "name string, time long, value double", verify=True)
+
+
+@query(
+    "hidden_pair",
+    f"{_ARCHIVED} SELECT name, CAST(count(*) AS BIGINT) AS row_count, CAST(sum(time) AS BIGINT) AS times, round(sum(value), 6) + 0.0 AS total, CAST(0 AS BIGINT) AS shown FROM named GROUP BY name",
+)
+def hidden_pair(spark, sf_dir):
+    public, hidden, schema = tables.scratch(spark, "public"), tables.scratch(spark, "hidden"), "name string, time long, value double"
+    npz.write_archives(_archived(spark, sf_dir), public, ("value",), hidden)
+    whole = npz.read_archives(spark, public, schema, hidden).groupBy("name").agg(F.count("*").alias("row_count"), F.sum("time").alias("times"), F.sum("value").alias("total"))
+    shown = npz.read_archives(spark, public, schema).groupBy("name").agg(F.count("value").alias("shown"))
+    return whole.join(shown, "name")
+
+
 # ---- sweeps: one job each ---------------------------------------------------------------------------------
 
 _FIT = {"lag": 2, "parent_alpha": 0.5, "fdr_alpha": 0.9, "support": 0.2, "votes": 0.1, "replicates": 20}
