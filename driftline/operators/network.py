@@ -29,11 +29,12 @@ def faulty_edges(edges: DataFrame, keys, nodes: DataFrame | None = None) -> Data
         ),
     )
     found = simple.filter("fault IS NOT NULL")
-    repeated = edges.groupBy(*keys, low.alias("u"), high.alias("v")).agg(F.count("*").alias("n")).filter("n > 1 AND u IS NOT NULL")
+    whole = edges.filter(F.col("u").isNotNull() & F.col("v").isNotNull())
+    repeated = whole.groupBy(*keys, low.alias("u"), high.alias("v")).agg(F.count("*").alias("n")).filter("n > 1")
     found = found.union(repeated.select(*keys, "u", "v", F.lit("duplicate undirected edge")))
     if nodes is not None:
         on = [k for k in keys if k in nodes.columns]
-        far = edges.join(nodes, on).filter(high >= F.col("node_count"))
+        far = whole.join(nodes, on).filter(high >= F.col("node_count"))
         found = found.union(far.select(*keys, "u", "v", F.lit("end beyond the nodes")))
     return found
 

@@ -246,13 +246,23 @@ def endpoint_select(spark, sf_dir):
     return evaluate(a.trade(spark, sf_dir), {"low": low}).withColumn("time", F.col("time").cast("long"))
 
 
+_FAULTY = """e AS (SELECT c_nationkey % 3 AS run, CAST(CASE WHEN c_custkey % 37 = 0 THEN NULL WHEN c_custkey % 41 = 0 THEN -1 ELSE c_nationkey % 4 END AS BIGINT) AS u,
+ CAST(c_custkey % 5 AS BIGINT) AS v FROM customer)"""
+
+
 @query(
     "edge_faults",
-    "WITH e AS (SELECT c_nationkey % 4 AS u, c_custkey % 5 AS v FROM customer) SELECT u, v, 'loop' AS fault FROM e WHERE u = v UNION ALL SELECT least(u, v), greatest(u, v), 'duplicate undirected edge' FROM e GROUP BY 1, 2 HAVING count(*) > 1",
+    f"""WITH {_FAULTY}, n AS (SELECT run, max(u) + 1 AS node_count FROM e GROUP BY run), whole AS (SELECT * FROM e WHERE u IS NOT NULL AND v IS NOT NULL)
+     SELECT run, u, v, 'invalid end' AS fault FROM e WHERE u IS NULL OR v IS NULL OR u < 0 OR v < 0
+     UNION ALL SELECT run, u, v, 'loop' FROM whole WHERE u = v
+     UNION ALL SELECT run, least(u, v), greatest(u, v), 'duplicate undirected edge' FROM whole GROUP BY 1, 2, 3 HAVING count(*) > 1
+     UNION ALL SELECT run, u, v, 'end beyond the nodes' FROM whole JOIN n USING (run) WHERE greatest(u, v) >= node_count""",
 )
 def edge_faults(spark, sf_dir):
-    e = a.read(spark, sf_dir, "customer").select((F.col("c_nationkey") % 4).cast("long").alias("u"), (F.col("c_custkey") % 5).alias("v"))
-    return network.faulty_edges(e, [])
+    a.read(spark, sf_dir, "customer").createOrReplaceTempView("driftline_customer")
+    e = spark.sql(f"WITH {_FAULTY.replace('FROM customer', 'FROM driftline_customer')} SELECT * FROM e")
+    nodes = e.groupBy("run").agg((F.max("u") + 1).alias("node_count"))
+    return network.faulty_edges(e, ["run"], nodes)
 
 
 # ---- series ----------------------------------------------------------------------------------
@@ -716,12 +726,6 @@ def missing_robustness(spark, sf_dir):
     return discovery.bootstrap_graph(robustness.drop_values(s, 0.1, 0), pairs, _LAG, 0.5, 0.9, 20, 0.2)[0]
 
 
-@query("data_efficiency")
-def data_efficiency(spark, sf_dir):
-    s, pairs = _series(spark, sf_dir)
-    return discovery.bootstrap_graph(robustness.subset(s, 5, 0), pairs, _LAG, 0.5, 0.9, 20, 0.2)[0]
-
-
 @query("corrupted_candidates")
 def corrupted_candidates(spark, sf_dir):
     s, pairs = _series(spark, sf_dir)
