@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.stats import stable_seed
-from driftline.operators import discovery, robustness
+from driftline.operators import discovery, effects, robustness
+from driftline.operators.components import kept
 from driftline.operators.confirmation import graph_table
 from driftline.operators.windows import interpolate
 
@@ -201,6 +202,49 @@ def ablations(series: DataFrame, pairs: discovery.Pairs, nodes: list[str], fit:
     return graph_table(edges, series.sparkSession.createDataFrame(sizes, "variant string, candidates long"), ["variant"])
 
 
+def intervention_ablations(
+    baseline: DataFrame, interventions: DataFrame, pairs: discovery.Pairs, nodes: list[str], predefined: tuple[DataFrame, discovery.Pairs], fit: dict | None = None, config: dict | None = None, tolerance: int = 2
+) -> DataFrame:
+    """variant, the measures of its graph, intervention_support_rate and mean_ci_width: the full method and five without a part of it.
+
+    baseline: seed, time, node_id, value; interventions: parameter and direction as well. predefined: the series of
+    given observables with their candidates, whose effects nobody measured. The graphs of resamples are cells
+    of one job over both series; without_paired_seeds keeps the full graph and deals the baseline's seeds anew.
+    """
+    fit, at = FIT | (fit or {}), ["parameter", "direction", "node_id"]
+    how = (fit["lag"], fit["parent_alpha"], fit["fdr_alpha"])
+    names = {0: "full_method", 1: "without_structured_representation", 2: "predefined_observable_baseline"}
+    own = {0: pairs, 1: discovery.all_pairs(nodes), 2: predefined[1]}
+    rows = repeated(baseline, 2).unionByName(predefined[0].select(F.lit(2).alias("cell"), "seed", "time", "node_id", "value"))
+    labels = {0: "full", 1: "unrestricted", 2: "predefined"}
+    graphs = kept(discovery.bootstrap_graphs(rows, own, *how, fit["replicates"], {c: fit["support"] for c in own}, fit["master"], labels)[0], "ablations")
+    measures = ["source", "target", "lag", "beta", "support", "lag_support", "lag_std"]
+    edges = graphs.filter("cell = 0").select(F.lit("without_paired_seeds").alias("variant"), *measures)
+    for c, name in names.items():
+        edges = edges.union(graphs.filter(F.col("cell") == c).select(F.lit(name), *measures))
+    none = [F.lit(None).cast("double")] * 3
+    for name, graph in (("without_bootstrap", discovery.point_graph(baseline, pairs, *how)), ("without_joint_trajectories", discovery.single_graph(baseline, pairs, *how))):
+        edges = edges.union(graph.select(F.lit(name), "source", "target", "lag", "beta", *none))
+    edges = kept(edges, "ablations")
+    sizes = {"without_paired_seeds": len(set(pairs)), "without_bootstrap": len(set(pairs)), "without_joint_trajectories": len(set(pairs))} | {n: len(set(own[c])) for c, n in names.items()}
+    parameters, directions = interventions.select("parameter").distinct(), interventions.select("direction").distinct()
+    routes = edges.select("source", "target", F.col("source").alias("root"), F.lit("ablation").alias("scope")).distinct().crossJoin(F.broadcast(parameters))  # a few settings
+    found = None
+    for paired in (True, False):
+        base = baseline if paired else effects.unpaired(baseline, fit["master"], "ablations")
+        moved = effects.effect_summaries(effects.pair_runs(base, interventions, ["parameter", "direction"]), at, config)
+        moved = kept(moved.select(*at, "cumulative_effect_standardised", "onset_time", "significant", (F.col("cumulative_ci_high") - F.col("cumulative_ci_low")).alias("ci_width")), "ablations")
+        some = edges.filter((F.col("variant") != "predefined_observable_baseline") & ((F.col("variant") != "without_paired_seeds") == paired))
+        tried = effects.attempts(some.select("source", "target", F.col("variant").alias("group"), "lag", "beta"), routes, moved, directions, tolerance)
+        rate = effects.edge_evidence(tried).groupBy(F.col("group").alias("variant")).agg(F.avg((F.col("edge_class") == "supported").cast("int")).alias("intervention_support_rate"))
+        variants = baseline.sparkSession.createDataFrame([(n,) for n in sizes if n != "predefined_observable_baseline" and (n != "without_paired_seeds") == paired], "variant string")
+        width = moved.agg(F.avg("ci_width").alias("mean_ci_width"))  # one row
+        own_rates = variants.join(rate, "variant", "left").crossJoin(F.broadcast(width))
+        found = own_rates if found is None else found.union(own_rates)
+    table = graph_table(edges, baseline.sparkSession.createDataFrame(list(sizes.items()), "variant string, candidates long"), ["variant"])
+    return table.join(found, "variant", "left")
+
+
 def control_summary(series: DataFrame, pairs: discovery.Pairs, paths: list[tuple[str, str, str]], repetitions: int, least: int, most: int, primary: int | None = None, fit: dict | None = None) -> DataFrame:
     """repetition and what the method still finds in series whose parents are turned round: edges, paths, and their ratio to the primary graph.
 

@@ -613,7 +613,26 @@ def _sweep(name: str, make) -> None:
 _sweep("data_efficiency", lambda s, pairs, nodes: sweeps.data_efficiency(s, pairs, (1, 4, 8), 3, _FIT))
 _sweep("observation_robustness", lambda s, pairs, nodes: sweeps.observation_robustness(s, pairs, (0.1, 0.3), (0.05, 0.2), (0.1, 0.5), 2, _FIT))
 _sweep("representation_robustness", lambda s, pairs, nodes: sweeps.representation_robustness(s, pairs, (0.1, 0.3), 2, _FIT))
-_sweep("mechanism_checks", lambda s, pairs, nodes: sweeps.mechanism_checks(s.filter("seed % 2 = 0"), pairs, "even_users", "odd_users", _FIT))
 _sweep("causal_scalability", lambda s, pairs, nodes: sweeps.scalability(s, nodes, (3, 5, 10), 2, _FIT))
 _sweep("functional_ablations", lambda s, pairs, nodes: sweeps.ablations(s, pairs[::2], nodes, _FIT))
 _sweep("control_summary", lambda s, pairs, nodes: sweeps.control_summary(s, pairs, [tuple(nodes[:3]), tuple(nodes[1:4])], 4, 5, 12, fit=_FIT))
+
+
+_FLAG_NODES = ["discount", "quantity"]
+
+
+@query("mechanism_checks")
+def mechanism_checks(spark, sf_dir):
+    """Runs of the condition that turns the mechanism off: returned goods."""
+    runs = a.flag_runs(spark, sf_dir).filter("direction = 'R'").select("seed", "time", "node_id", "value")
+    return sweeps.mechanism_checks(runs, discovery.all_pairs(_FLAG_NODES), "returned", "sale", _FIT)
+
+
+@query("intervention_ablations")
+def intervention_ablations(spark, sf_dir):
+    runs = a.flag_runs(spark, sf_dir)
+    baseline = runs.filter("direction = 'A'").select("seed", "time", "node_id", "value")
+    others = runs.filter("direction <> 'A'").select(F.lit("flag").alias("parameter"), "direction", "seed", "time", "node_id", "value")
+    given, given_pairs = c._series(spark, sf_dir)
+    config = {"bootstrap_repetitions": 100, "evaluation_start": 4, "onset_consecutive_steps": 2}
+    return sweeps.intervention_ablations(baseline, others, [("quantity", "discount", "sale")], _FLAG_NODES, (given, given_pairs), _FIT, config)

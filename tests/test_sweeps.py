@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import json
 
 import numpy as np
@@ -182,3 +183,25 @@ def test_frozen_values_and_immutable_files(tmp_path, spark):
     twice = runs.union(runs).selectExpr("*", "'primary' AS partition")
     with pytest.raises(ValueError):
         tables.scan_phase(runs, twice, "baseline")
+
+
+def test_six_ablations_and_what_deals_seeds_anew_changes(spark):
+    r = random.Random(4)
+    base, more = [], []
+    for s in range(8):
+        a = [r.gauss(0, 1) + s for _ in range(40)]
+        for t in range(40):
+            b = 0.9 * a[t - 1] + 0.1 * r.gauss(0, 1) if t else 0.0
+            base += [(s, t, "a", a[t]), (s, t, "b", b)]
+            for d, step in (("up", 3.0), ("down", -3.0)):
+                more += [("p", d, s, t, "a", a[t] + step * (t > 9)), ("p", d, s, t, "b", b + step * (t > 10))]
+    baseline = spark.createDataFrame(base, "seed int, time int, node_id string, value double")
+    moved = spark.createDataFrame(more, "parameter string, direction string, seed int, time int, node_id string, value double")
+    config = {"bootstrap_repetitions": 40, "evaluation_start": 12, "onset_consecutive_steps": 3}
+    given = baseline.replace({"a": "x", "b": "y"}, subset=["node_id"])
+    got = {x["variant"]: x for x in sweeps.intervention_ablations(baseline, moved, [("a", "b", "g")], ["a", "b"], (given, [("x", "y", "g")]), FIT, config).collect()}
+    assert len(got) == 6 and all(x["retained"] <= x["candidates"] for x in got.values())
+    full, unpaired, given = got["full_method"], got["without_paired_seeds"], got["predefined_observable_baseline"]
+    assert full["retained"] == unpaired["retained"] == given["retained"] == 1 and full["intervention_support_rate"] == 1.0
+    assert unpaired["mean_ci_width"] > 5 * full["mean_ci_width"] and given["mean_ci_width"] is None and given["intervention_support_rate"] is None
+    assert got["without_structured_representation"]["candidates"] == 2 and got["without_bootstrap"]["stability"] is None
