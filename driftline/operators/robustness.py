@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.stats import stable_seed
+from driftline.operators import confirmation
 from driftline.operators.windows import interpolate
 
 CORRUPTIONS = (
@@ -77,6 +78,40 @@ def corrupt(pairs: list[tuple[str, str, str]], kind: str, ratio: float, master:
     return sorted({p for p in out if p[0] != p[1]}), added
 
 
+KINDS = ("delete_candidate_relation", "wrong_hypothesis_group_assignment", "cross_hypothesis_group_relation", "irrelevant_indicator", "redundant_semantic_indicator")
+
+
+def corrupt_table(candidates: DataFrame, nodes: DataFrame, kind: str, ratio: float, master: int = 0) -> tuple[DataFrame, DataFrame]:
+    """candidates (source, target, group) with max(1, round(ratio * n)) of them corrupted, and node_id, source of the series to add (source: null for noise).
+
+    The ones taken have the lowest hashes of what they are, so that nothing hangs on partitions. nodes: node_id, scale;
+    new relations lead from a scale to the next and are no candidates yet: a join of scales and an anti-join.
+    """
+    if kind not in KINDS:
+        raise ValueError(kind)
+    rows = candidates.select("source", "target", "group").distinct()
+    count = max(1, round(ratio * rows.count()))
+
+    def lowest(df: DataFrame) -> DataFrame:
+        order = (F.md5(F.concat_ws(":", F.lit(f"{master}:{kind}"), *df.columns)), *df.columns)
+        taken = df.orderBy(*order).limit(count)
+        return taken.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1)
+
+    none = rows.sparkSession.createDataFrame([], "node_id string, source string")
+    if kind == "cross_hypothesis_group_relation":
+        new = lowest(confirmation.scale_pairs(nodes, rows)).select("source", "target", F.lit("corrupt_macro_outcome_group"))
+        return rows.union(new), none
+    chosen = lowest(rows)
+    rest = rows.join(chosen, ["source", "target", "group"], "left_anti")
+    if kind == "delete_candidate_relation":
+        return rest, none
+    if kind == "wrong_hypothesis_group_assignment":
+        return rest.union(chosen.select("source", "target", F.concat(F.lit("misassigned_"), (F.col("_i") % 4).cast("string")))).distinct(), none
+    name = F.concat(F.lit(f"corrupt_{kind}_"), F.lpad(F.col("_i").cast("string"), 3, "0"))
+    copied = F.col("source") if kind == "redundant_semantic_indicator" else F.lit(None).cast("string")
+    return rows.union(chosen.select(name, "target", "group")), chosen.select(name.alias("node_id"), copied.alias("source"))
+
+
 def add_series(series: DataFrame, added: dict[str, str | None], master: int) -> DataFrame:
     """series with copies of nodes, or standard normal noise, under new names."""
     out = series.select("seed", "time", "node_id", "value")

@@ -507,6 +507,45 @@ def corrupted_sets(spark, sf_dir):
     return spark.createDataFrame(rows, "kind string, source string, target string")
 
 
+_TABLE = """n AS (SELECT DISTINCT c_nationkey AS k FROM customer), nodes AS (SELECT concat('n', k) AS node_id, CASE k % 3 WHEN 0 THEN 'micro' WHEN 1 THEN 'meso' ELSE 'macro' END AS scale FROM n),
+ cand AS (SELECT DISTINCT concat('n', c_nationkey) AS source, concat('n', c_custkey % 25) AS target, concat('g', c_custkey % 4) AS grp FROM customer WHERE c_nationkey <> c_custkey % 25 AND c_custkey % 7 < 3)"""
+
+
+def _lowest(kind: str, rows: str, columns: str) -> str:
+    order = f"md5(concat_ws(':', '0:{kind}', {columns})), {columns}"
+    return f"(SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS i FROM {rows} QUALIFY i < (SELECT greatest(1, round_even(0.1 * count(*), 0)) FROM cand))"
+
+
+_CORRUPTED = {
+    "delete_candidate_relation": "SELECT source, target, grp, CAST(NULL AS VARCHAR) AS copied FROM cand ANTI JOIN {low} x USING (source, target, grp)",
+    "wrong_hypothesis_group_assignment": "SELECT source, target, grp, NULL FROM cand ANTI JOIN {low} x USING (source, target, grp) UNION SELECT source, target, concat('misassigned_', i % 4), NULL FROM {low}",
+    "cross_hypothesis_group_relation": "SELECT source, target, grp, NULL FROM cand UNION ALL SELECT source, target, 'corrupt_macro_outcome_group', NULL FROM {new}",
+    "irrelevant_indicator": "SELECT source, target, grp, NULL FROM cand UNION ALL SELECT concat('corrupt_irrelevant_indicator_', lpad(CAST(i AS VARCHAR), 3, '0')), target, grp, NULL FROM {low}",
+    "redundant_semantic_indicator": "SELECT source, target, grp, NULL FROM cand UNION ALL SELECT concat('corrupt_redundant_semantic_indicator_', lpad(CAST(i AS VARCHAR), 3, '0')), target, grp, source FROM {low}",
+}
+_STEPS = "(SELECT a.node_id AS source, b.node_id AS target FROM nodes a JOIN nodes b ON (a.scale = 'micro' AND b.scale = 'meso') OR (a.scale = 'meso' AND b.scale = 'macro') WHERE NOT EXISTS (SELECT 1 FROM cand WHERE cand.source = a.node_id AND cand.target = b.node_id))"
+
+
+@query(
+    "corrupted_tables",
+    f"WITH {_TABLE} "
+    + " UNION ALL ".join(
+        f"SELECT '{k}' AS kind, source, target, grp AS \"group\", copied FROM ({sql.format(low=_lowest(k, 'cand', 'source, target, grp'), new=_lowest(k, _STEPS, 'source, target'))}) AS t(source, target, grp, copied)"
+        for k, sql in _CORRUPTED.items()
+    ),
+)
+def corrupted_tables(spark, sf_dir):
+    a.read(spark, sf_dir, "customer").createOrReplaceTempView("driftline_customer")
+    of = lambda name: spark.sql(f"WITH {_TABLE.replace('FROM customer', 'FROM driftline_customer')} SELECT * FROM {name}")
+    rows = None
+    for kind in robustness.KINDS:
+        found, added = robustness.corrupt_table(of("cand").withColumnRenamed("grp", "group"), of("nodes"), kind, 0.1)
+        added = added.select(F.col("node_id").alias("source"), F.col("source").alias("copied"))
+        own = found.join(added, "source", "left").select(F.lit(kind).alias("kind"), "source", "target", "group", "copied")
+        rows = own if rows is None else rows.union(own)
+    return rows
+
+
 # ---- scalars, sources and sinks ------------------------------------------------------------------------
 
 _FENCED = "concat('```json\n{{\"name\": \"', p_name, '\", \"size\": ', p_size, '}}\n```')".replace("{{", "{").replace("}}", "}")
