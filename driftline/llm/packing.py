@@ -80,7 +80,11 @@ def plan(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, ov
 
 
 def token_lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """doc_id, n_tokens of each row, with one token for the end of the document."""
+    """doc_id, n_tokens of each row, with one token for the end of the document.
+
+    Null and empty texts have that one token; very long texts are encoded whole; repeated rows and null
+    ids give a row each; an empty table gives no rows; other columns are not read.
+    """
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -237,8 +237,8 @@ def simhash_components(
     """doc_id, fp, component_id: the least doc_id reachable over fingerprints at most radius bits apart.
 
     Copies share a fingerprint and are linked as one, so groups of any size cost one fingerprint.
-    Null and empty texts have the fingerprint zero and are linked like any other; repeated rows give a
-    row each; a null doc_id is never the least unless all of a component are null; an empty table
+    Null and empty texts have the fingerprint zero and are linked like any other; very long texts are read
+    whole; repeated rows give a row each; a null doc_id is never the least unless all of a component are null; an empty table
     gives no rows; further columns of docs are not read.
     """
     found = materialize(fingerprints(docs, doc_id, text), "fingerprints", tag)

@@ -262,8 +262,9 @@ def write_warc(
 
     Of pages with equal payloads of LEAST_REVISIT bytes and more, those of the smallest page_id are
     responses and the others revisits of it. A null html is an empty payload; a null page_id never is
-    the smallest, unless all are, and then all are responses; an empty table writes no archive; other
-    columns are not read.
+    the smallest, unless all are, and then all are responses; several rows of one page_id are a record each,
+    of equal payloads all of the smallest page_id are responses; a very long page is one record, written whole;
+    an empty table writes no archive; other columns are not read.
     """
     rows = pages.select(
         F.col(f"`{page_id}`").alias("page_id"),
