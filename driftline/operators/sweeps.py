@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -186,6 +187,17 @@ def scalability(series: DataFrame, nodes: list[str], counts, repetitions: int, f
     return table.join(edges, "cell", "left").select("indicators", "repetition", "candidates", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
+def timed_scalability(series: DataFrame, nodes: list[str], counts, repetitions: int, fit: dict | None = None) -> DataFrame:
+    """scalability() with seconds: how long the job of so many indicators took, over series written before. A job for each count, with noise of its own."""
+    series = kept(series, "scalability")
+    out = None
+    for p in counts:
+        began = time.perf_counter()
+        part = kept(scalability(series, nodes, (p,), repetitions, fit), "scalability").withColumn("seconds", F.lit(time.perf_counter() - began))
+        out = part if out is None else out.union(part)
+    return out
+
+
 def ablations(series: DataFrame, pairs: discovery.Pairs, nodes: list[str], fit: dict | None = None) -> DataFrame:
     """variant and the measures of the full method's graph, and of those without resamples, joint trajectories or candidates."""
     fit = FIT | (fit or {})

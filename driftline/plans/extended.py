@@ -652,7 +652,7 @@ def _sweep(name: str, make) -> None:
 _sweep("data_efficiency", lambda s, pairs, nodes: sweeps.data_efficiency(s, pairs, (1, 4, 8), 3, _FIT))
 _sweep("observation_robustness", lambda s, pairs, nodes: sweeps.observation_robustness(s, pairs, (0.1, 0.3), (0.05, 0.2), (0.1, 0.5), 2, _FIT))
 _sweep("representation_robustness", lambda s, pairs, nodes: sweeps.representation_robustness(s, pairs, (0.1, 0.3), 2, _FIT))
-_sweep("causal_scalability", lambda s, pairs, nodes: sweeps.scalability(s, nodes, (3, 5, 10), 2, _FIT))
+_sweep("causal_scalability", lambda s, pairs, nodes: sweeps.timed_scalability(s, nodes, (3, 5, 10), 2, _FIT))
 _sweep("functional_ablations", lambda s, pairs, nodes: sweeps.ablations(s, pairs[::2], nodes, _FIT))
 _sweep("control_summary", lambda s, pairs, nodes: sweeps.control_summary(s, pairs, [tuple(nodes[:3]), tuple(nodes[1:4])], 4, 5, 12, fit=_FIT))
 

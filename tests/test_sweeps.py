@@ -133,6 +133,9 @@ def test_sweeps_have_a_row_for_each_setting(series):
     deleted = next(r for r in rep if r["operator"] == "delete_candidate_relation")
     assert deleted["candidates"] == 4 and all(r["retained"] <= r["candidates"] for r in rep)
     scale = {r["indicators"]: (r["candidates"], r["edges"]) for r in sweeps.scalability(series, NODES, (2, 5), 1, FIT).collect()}
+    timed = sweeps.timed_scalability(series, NODES, (2, 5), 1, FIT).collect()
+    assert {r["indicators"]: r["candidates"] for r in timed} == {k: v[0] for k, v in scale.items()}
+    assert all(r["seconds"] > 0 and r["edges"] <= r["candidates"] for r in timed)
     assert scale[2][0] == 2 and scale[5][0] == 20 and scale[5][1] >= 2
     control = sweeps.control_summary(series, pairs, [("a", "b", "c")], 2, 5, 12, 4, FIT).collect()
     assert len(control) == 2 and all(r["ratio_to_primary"] == r["retained"] / 4 for r in control)
