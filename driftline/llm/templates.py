@@ -12,6 +12,10 @@ are variables, numbered as they first occur, and a window that many of them have
 with many questions and many documents so costs a row a document, not one for each pair. Which windows
 hold the very values of a question, and which whole questions stand there, is looked up by hashes of the
 values.
+
+Templates that only share some windows, such as a common opening, meet a document only if it holds one of
+the rarest windows of theirs that no document with the coverage asked can do without. Of the pairs found
+so, all windows are then joined.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize, slices, small_side
@@ -292,6 +296,28 @@ def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
+def _spared(total: Column, coverage: float) -> Column:
+    """Of `total` places, how many of the rarest a document can't miss all of and still hold the coverage."""
+    least = F.greatest(F.lit(1), F.ceil(total * F.lit(coverage) - F.lit(1e-9)))
+    return total - least + 1
+
+
+def with_rare(windows: DataFrame, coverage: float) -> DataFrame:
+    """windows with rare: whether a document that holds the window has to be compared with the template.
+
+    A document of the coverage asked holds so many places of a template (or NAMED ones) that it can't miss
+    all rare ones. Places whose windows few templates share come first, so that a window of many templates
+    is rare only in those that consist of such windows for the most part.
+    """
+    shared = windows.select("template", "hash", "size").distinct().groupBy("hash", "size").agg(F.count("*").alias("__n"))
+    place = F.max("__n").over(Window.partitionBy("template", "item_at"))
+    any_form = F.dense_rank().over(Window.partitionBy("template").orderBy("__place", "item_at"))
+    one_form = F.dense_rank().over(Window.partitionBy("template", "named").orderBy("__n", "item_at"))
+    ranked = windows.join(shared, ["hash", "size"]).withColumn("__place", place).withColumns({"__any": any_form, "__one": one_form})
+    rare = (F.col("__any") <= _spared(F.col("windows"), coverage)) | (F.col("named") & (F.col("__one") <= _spared(F.col("named_windows"), coverage)))
+    return ranked.select(*windows.columns, rare.alias("rare"))
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -322,7 +348,7 @@ def contaminated(
     wholes = materialize(items.groupBy("template", "whole").agg(F.min("id").alias("own_id")), "item-texts", tag)
     shared = ["template", "hash", "size", "named", "named_windows", "windows"]
     windows = items.select(*shared, F.col("at").alias("item_at"), F.col("slots").alias("item_slots")).distinct()
-    windows = materialize(windows, "template-windows", tag)
+    windows = materialize(with_rare(windows, coverage), "template-windows", tag)
     values = materialize(items.select("template", "hash", F.col("at").alias("item_at"), "filled").distinct(), "item-values", tag)
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW of them
     hashes, known = items.select("hash").distinct(), None
@@ -333,7 +359,14 @@ def contaminated(
     hits = _rows(docs, doc_id, text).filter(F.col("text").isNotNull()).mapInArrow(
         _windows(sizes, known), f"id {kinds[0]}, hash long, at long, size int, slots array<string>, filled long"
     )
-    pairs = hits.join(small_side(windows), ["hash", "size"])
+    if known is None:
+        hits = hits.join(hashes, "hash", "left_semi")
+    hits = materialize(hits, "document-windows", tag)
+    rare = windows.filter("rare").select("template", "hash", "size").distinct()
+    met = materialize(hits.join(small_side(rare), ["hash", "size"]).select("id", "template").distinct(), "met-templates", tag)
+    met = met.withColumnRenamed("id", "__id").join(small_side(windows.drop("rare")), "template").withColumnsRenamed({"hash": "__hash", "size": "__size"})
+    held_by = F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash")) & (F.col("size") == F.col("__size"))
+    pairs = hits.join(met, held_by).drop("__id", "__hash", "__size")
     pairs = pairs.join(small_side(values.withColumn("same", F.lit(True))), ["template", "hash", "item_at", "filled"], "left")
     # an alignment of document and template, whose values are judged together
     same = F.coalesce("same", F.lit(False)).alias("same")

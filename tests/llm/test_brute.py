@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -16,6 +17,30 @@ def window_texts(tokens_, values, size):
     return [(" ".join(tokens_[i : i + size]), [v for v in values[i : i + size] if v is not None]) for i in range(len(tokens_) - size + 1)]
 
 
+UNITS = {"km", "kg", "days"}
+
+
+def plain_tokens(text):
+    """(template tokens, values, words) of plain English text with the units used here."""
+    words = re.findall("[A-Za-z]+|[0-9]+", text)
+    kinds = []
+    for i, w in enumerate(words):
+        unit = i > 0 and words[i - 1].isdigit() and w.lower() in UNITS
+        kinds.append("#" if w.isdigit() else "unit" if unit else "Name" if w[0].isupper() else None)
+    return [w if k is None else f"<{k}>" for w, k in zip(words, kinds, strict=True)], [k and w for w, k in zip(words, kinds, strict=True)], words
+
+
+def plainly_accepted(windows):
+    """Windows of the same values, or of values that go where most windows send them; names also come from where most come."""
+    same = [[x.lower() for x in a] == [y.lower() for y in b] for a, b in windows]
+    pairs = [p for a, b in windows for p in zip(a, b, strict=True)]
+    sure = {p for (a, b), s in zip(windows, same, strict=True) if s for p in zip(a, b, strict=True)}
+    to = lambda x: max((p for p in pairs if p[0] == x), key=lambda p: (pairs.count(p), p in sure, p[1]))
+    back = lambda y: max((p for p in pairs if p[1] == y), key=lambda p: (pairs.count(p), p in sure, p[0]))
+    fits = lambda p: to(p[0]) == p and (p[1][0].islower() or p[1][0].isdigit() or back(p[1]) == p)
+    return [s or all(map(fits, zip(a, b, strict=True))) for (a, b), s in zip(windows, same, strict=True)]
+
+
 def plain_coverage(text, item):
     """Share of an item's windows in a text, by looking at every window and every place; values judged along each shift."""
     best = 0.0
@@ -23,17 +48,16 @@ def plain_coverage(text, item):
     for fold in (False, True):
         sides = []
         for t in (item, text):
-            toks, vals = templates.template(t)
+            toks, vals, words = plain_tokens(t)
             if fold:
-                words = [w.casefold() for w in templates._TOKEN.findall(t)]
-                vals = [v if k in (templates.NUMBER, templates.UNIT) else None for k, v in zip(toks, vals, strict=True)]
-                toks = [k if v is not None else w for k, v, w in zip(toks, vals, words, strict=True)]
+                vals = [None if k == "<Name>" else v for k, v in zip(toks, vals, strict=True)]
+                toks = [w.lower() if v is None else k for k, v, w in zip(toks, vals, words, strict=True)]
             sides.append((toks, vals))
         forms.append(sides)
     n = len(forms[0][0][0])
     size = min(templates.WINDOW, n)
     total, found, named_total, named_found = n - size + 1, set(), 0, set()
-    raw = [[w.casefold() for w in templates._TOKEN.findall(t)] for t in (item, text)]
+    raw = [[w.lower() for w in plain_tokens(t)[2]] for t in (item, text)]
     by_shift = {}
     for fold, sides in zip((False, True), forms, strict=True):
         (a, av), (b, bv) = sides
@@ -49,7 +73,7 @@ def plain_coverage(text, item):
                     fill = lambda v, at: [x for x in v[at : at + size] if x is not None]
                     by_shift.setdefault(j - i, []).append((i, fold, fill(av, i), fill(bv, j)))
     for rows in by_shift.values():
-        for (i, fold, _, _), good in zip(rows, templates.accepted([(x, y) for _, _, x, y in rows]), strict=True):
+        for (i, fold, _, _), good in zip(rows, plainly_accepted([(x, y) for _, _, x, y in rows]), strict=True):
             if good:
                 found.add(i)
                 if not fold:
@@ -94,6 +118,39 @@ def test_one_template_of_many_items_costs_a_row_a_document(spark):
     assert len(found) == 60 and all(r["exact"] and r["item_id"] == r["doc_id"] and r["n_items"] == 60 for r in found)
 
 
+STEM = "find the sum of all the numbers that"
+
+
+def test_a_stem_of_many_items_costs_no_pairs(spark, monkeypatch):
+    """Items that only share an opening are compared where more than the opening stands."""
+    r = random.Random(5)
+    tails = [" ".join(r.choice(PLAIN) for _ in range(24)) for _ in range(120)]
+    bench = spark.createDataFrame([(i, f"{STEM} {t}") for i, t in enumerate(tails)], "item_id long, text string")
+    rows = [(i, f"intro {STEM} {tails[i] if i < 40 else ' '.join(reversed(tails[i].split()))} outro") for i in range(120)]
+    seen, real = {}, templates.materialize
+
+    def counted(df, name, tag=""):
+        seen[name] = real(df, name, tag)
+        return seen[name]
+
+    monkeypatch.setattr(templates, "materialize", counted)
+    found = templates.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((x["doc_id"], x["item_id"], x["exact"]) for x in found) == [(i, i, True) for i in range(40)]
+    assert seen["met-templates"].count() < 100 and seen["judged-windows"].count() < 100 * 2 * 25  # of 14,400 pairs
+    want = {i: [k for k, t in enumerate(tails) if plain_coverage(text, f"{STEM} {t}") is not None] for i, text in rows[30:50]}
+    assert want == {i: [x["item_id"] for x in found if x["doc_id"] == i] for i in want}
+
+
+def test_items_that_consist_of_a_shared_stem_are_all_found(spark):
+    """Where the shared windows alone bring the coverage, every item is held."""
+    stem = "find the sum of all the numbers that satisfy these conditions when the first of them is even and"
+    bench = spark.createDataFrame([(i, f"{stem} {w} {v}") for i, (w, v) in enumerate(zip(PLAIN[:9], PLAIN[9:18]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"intro {stem} outro"), (None, f"{stem} {PLAIN[0]} {PLAIN[9]}")], "doc_id long, text string")
+    found = templates.contaminated(docs, bench).collect()
+    assert len(found) == 18 and sorted(x["item_id"] for x in found if x["doc_id"] == 1) == list(range(9))
+    assert [x["item_id"] for x in found if x["exact"]] == [0]
+
+
 def plain_ngrams(text):
     out = {}
     low = text.lower()
