@@ -63,7 +63,7 @@ def template(text: str | None) -> tuple[list[str], list[str | None]]:
     for word in _TOKEN.findall(text or ""):
         if word[0].isdigit():
             token = NUMBER
-        elif tokens and tokens[-1] == NUMBER and (word in "%$€£" or word.lower() in UNITS):
+        elif tokens and tokens[-1] == NUMBER and (word in "%$€£" or word.casefold() in UNITS):
             token = UNIT
         elif word[0].isupper():
             token = NAME
@@ -74,8 +74,89 @@ def template(text: str | None) -> tuple[list[str], list[str | None]]:
     return tokens, values
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+#: Kinds of characters: of words, of numbers, signs of units, what may join two letters or two digits, and letters that fold to several.
+_LETTER, _DIGIT, _SIGN, _HYPHEN, _POINT, _SEVERAL = range(1, 7)
+
+
+class _Characters:
+    """Of each code point: its kind, a hash of its folded form, whether it is a capital, a digit; looked up 256 at a time as they occur."""
+
+    def __init__(self):
+        n = 0x110000
+        self.kind, self.value = np.zeros(n, np.uint8), np.zeros(n, np.uint64)
+        self.capital, self.digit, self.known = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n >> 8, bool)
+
+    def points(self, text: str) -> np.ndarray:
+        at = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        for block in np.unique((at >> 8)[~self.known[at >> 8]]).tolist():
+            self._learn(block << 8)
+        return at
+
+    def _learn(self, begin: int) -> None:
+        folds = np.zeros(256, np.uint64)
+        for i in range(256):
+            c = chr(begin + i)
+            fold = c.casefold()
+            folds[i] = ord(fold[0])
+            if _TOKEN.fullmatch(c):
+                self.kind[begin + i] = _DIGIT if c in "0123456789" else _SIGN if c in "%$€£" else _LETTER if len(fold) == 1 else _SEVERAL
+                self.capital[begin + i], self.digit[begin + i] = c.isupper(), c.isdigit()
+            else:
+                self.kind[begin + i] = _HYPHEN * (c in "'’-") + _POINT * (c in ".,:/")
+        self.value[begin : begin + 256] = _mix(_mix(folds + np.uint64(1)))
+        self.known[begin >> 8] = True
+
+
+_characters = _Characters()
+_power = np.ones(1, np.uint64)
+
+
+def _powers(n: int) -> np.ndarray:
+    global _power
+    if len(_power) < n:
+        _power = np.full(2 * n, 0xC2B2AE3D27D4EB4F, np.uint64)
+        _power[0] = 1
+        _power = np.cumprod(_power)
+    return _power
+
+
+def _word_hash(folded: str) -> np.uint64:
+    at = _characters.points(folded)
+    return _mix(_mix((_characters.value[at] * _powers(len(at))[: len(at)]).sum(keepdims=True)))[0]
+
+
+def _words_at_once(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """What _words() gives, without a string for each word; None where a letter folds to several."""
+    of = _characters
+    b = of.points(text.replace("ß", "ss"))
+    kind = of.kind[b]
+    if (kind == _SEVERAL).any():
+        return None
+    for joint, part in ((_HYPHEN, _LETTER), (_POINT, _DIGIT)):
+        at = np.flatnonzero(kind[1:-1] == joint) + 1
+        kind[at[(kind[at - 1] == part) & (kind[at + 1] == part)]] = part
+    kind[kind > _SIGN] = 0
+    first = kind > 0
+    first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _SIGN)
+    held = np.flatnonzero(kind)
+    begin = np.flatnonzero(first[held])
+    if not len(begin):
+        return np.zeros(0, np.uint64), *[np.zeros(0, bool)] * 3
+    length = np.diff(begin, append=len(held))
+    place = np.arange(len(held)) - np.repeat(begin, length)
+    raw = np.add.reduceat(of.value[b[held]] * _powers(int(length.max()))[place], begin)
+    start = b[held[begin]]
+    return _mix(_mix(raw)), of.digit[start], of.kind[start] == _SIGN, of.capital[start] & ~of.digit[start]
+
+
 class _Words(dict):
-    """word -> its place in kind (a digit, a unit after numbers, a capital first letter) and in the hashes of its forms."""
+    """word -> its place in kind (a digit, a sign of a unit, a capital first letter) and in the hashes of its forms."""
 
     def __init__(self):
         super().__init__()
@@ -89,24 +170,53 @@ class _Words(dict):
         i = len(self)
         if i == len(self.raw):
             self.kind, self.raw = (np.concatenate((x, np.zeros_like(x))) for x in (self.kind, self.raw))
-        folded = word.casefold()
-        unit = word in "%$€£" or word.lower() in UNITS
-        self.kind[i] = 1 if word[0].isdigit() else 2 * unit + 4 * word[0].isupper()
-        self.raw[i] = xxhash.xxh64_intdigest(folded.encode("utf-8", "surrogatepass"))
+        self.kind[i] = 1 if word[0].isdigit() else 2 * (word in "%$€£") + 4 * word[0].isupper()
+        self.raw[i] = _word_hash(word.casefold())
         self[word] = i
         return i
 
 
+#: Characters up to which a text is looked at at once (some 50 bytes each); the words of longer ones are looked up, with the same result.
+AT_ONCE = 1 << 20
+
+
+def _words(text: str, seen: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word of text: the hash of its folded form, whether it is a number, the sign of a unit, begins with a capital."""
+    found = _words_at_once(text) if len(text) <= AT_ONCE else None
+    if found is not None:
+        return found
+    if len(seen) >= 1 << 19:
+        seen._clear(1 << 12)
+    words = _TOKEN.findall(text)
+    i = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+    kind = seen.kind[i]
+    return seen.raw[i], kind == 1, kind == 2, kind & 4 > 0
+
+
+_UNIT_HASHES = np.sort(np.array([_word_hash(u) for u in UNITS], np.uint64))
+
+
+def _is_unit(raw: np.ndarray) -> np.ndarray:
+    return _UNIT_HASHES[np.searchsorted(_UNIT_HASHES, raw) % len(_UNIT_HASHES)] == raw
+
+
 _PLACEHOLDERS = np.array([xxhash.xxh64_intdigest(t) for t in (NUMBER, UNIT, NAME)], np.uint64)
 
 
 def _rolled(h: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Hashes of all windows of `size`, put together of windows of one, two, four words and so on."""
     n = len(h) - size + 1
     out = np.full(n, size + 256 * seed, np.uint64)
-    for k in range(size):
-        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(32)
-    return out
+    at, span = 0, 1
+    while True:
+        if size & span:
+            out ^= h[at : at + n]
+            out = _mix(out)
+            at += span
+        if 2 * span > size:
+            return out
+        h = _mix(h[:-span] * np.uint64(0xD6E8FEB86659FD93) ^ h[span:])
+        span *= 2
 
 
 def _enough(literal: np.ndarray, size: int) -> np.ndarray:
@@ -115,26 +225,23 @@ def _enough(literal: np.ndarray, size: int) -> np.ndarray:
     return total[size:] - total[:-size] >= LITERAL
 
 
-def window_hashes(words: list[str], sizes: list[int], seen: _Words) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(size, form, hashes, where they begin) of the windows of words.
+def window_hashes(text: str, sizes: list[int], seen: _Words) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(size, form, hashes, where they begin) of the windows of a text's words.
 
     NAMED: numbers, units and names are placeholders; windows of LITERAL other words only. FOLDED:
     names are words without case; all windows, those of fewer than LITERAL words with their numbers
     and units as they are, so that they match verbatim only.
     """
-    if len(seen) >= 1 << 19:
-        seen._clear(1 << 12)
-    i = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
-    kind, raw = seen.kind[i], seen.raw[i]
-    number = kind == 1
-    unit = np.zeros(len(words), bool)
-    unit[1:] = (kind[1:] & 2 > 0) & number[:-1]
-    name = (kind & 4 > 0) & ~unit
+    raw, number, sign, capital = _words(text, seen)
+    unit = np.zeros(len(raw), bool)
+    unit[1:] = number[:-1] & ~number[1:]
+    unit[unit] = sign[unit] | _is_unit(raw[unit])
+    name = capital & ~unit
     folded = np.where(number, _PLACEHOLDERS[0], np.where(unit, _PLACEHOLDERS[1], raw))
     named = np.where(name, _PLACEHOLDERS[2], folded)
     word = ~(number | unit)
     for size in sizes:
-        if size < 1 or len(words) < size:
+        if size < 1 or len(raw) < size:
             continue
         at = np.flatnonzero(_enough(word & ~name, size))
         if len(at):
@@ -175,12 +282,11 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for own, item in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             text = item.as_py()
-            words = _TOKEN.findall(text or "")
             tokens, values = template(text)
             variables = {v: str(i) for i, v in enumerate(dict.fromkeys(v for v in values if v is not None))}
             pattern = [v if v is None else variables[v] for v in values]
             of = {NAMED: (values, pattern), FOLDED: (_folded(tokens, values), _folded(tokens, pattern))}
-            found = list(window_hashes(words, [min(WINDOW, len(words))], seen))
+            found = list(window_hashes(text or "", [min(WINDOW, len(tokens))], seen))
             rows_of = [
                 (h, at, size, form, _hash([v.casefold() for v in _filling(of[form][0], at, size)]))
                 for size, form, hashes, places in found
@@ -188,10 +294,10 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ]
             whole = _hash([(at, h, filled) for h, at, _, form, filled in rows_of if form == FOLDED])
             named = [(h.tolist(), at.tolist()) for _, form, h, at in found if form == NAMED]
-            class_ = _hash([len(words), named, pattern]) if named else whole
+            class_ = _hash([len(tokens), named, pattern]) if named else whole
             for h, at, size, form, filled in rows_of:
                 rows.append(
-                    (own, class_, whole, h, at, size, form == NAMED, len(named[0][1]) if named else 0, len(words) - size + 1)
+                    (own, class_, whole, h, at, size, form == NAMED, len(named[0][1]) if named else 0, len(tokens) - size + 1)
                     + (_filling(of[form][1], at, size), filled)
                 )
         kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
@@ -207,14 +313,19 @@ def _windows(sizes: list[int], known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Words()
         keep = None if known is None else known.value
+        if keep is not None:  # most windows are told from it by some bits already
+            mask = np.int64((1 << max(16, (16 * len(keep)).bit_length())) - 1)
+            near = np.zeros(mask + 1, bool)
+            near[keep & mask] = True
         for batch in slices(batches):
             ids, hashes, places, lengths, slots, filled = [], [], [], [], [], []
             for own, item in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = item.as_py()
-                words = _TOKEN.findall(text or "")
                 values = None
-                for size, form, h, at in window_hashes(words, sizes, seen):
+                for size, form, h, at in window_hashes(text or "", sizes, seen):
                     if keep is not None:
+                        maybe = near[h & mask]
+                        h, at = h[maybe], at[maybe]
                         i = np.searchsorted(keep, h)
                         i[i == len(keep)] = 0
                         hit = keep[i] == h

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import pytest
 
 from driftline.llm import templates
@@ -47,3 +50,14 @@ def test_values_follow_the_mapping_of_most_windows():
     assert templates.accepted([same, moved, moved, other]) == [True, True, True, False]
     assert templates.accepted([(["1"], ["9"]), (["2"], ["9"])]) == [True, True]  # numbers may fall together
     assert templates.accepted([(["Ann"], ["Eve"]), (["Ann"], ["Eve"]), (["Bob"], ["Eve"])]) == [True, True, False]
+
+
+def test_words_at_once_are_the_words_one_by_one(monkeypatch):
+    r = random.Random(1)
+    letters = "éßÜ²ſ€’İЖ漢aB9'-.,:/%$ _\n\tz"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(14))) for _ in range(5000)] + ["ﬁne Straße STRASSE 5 Kg"]
+    at_once = [templates._words(t, templates._Words()) for t in texts]
+    monkeypatch.setattr(templates, "AT_ONCE", -1)
+    for text, quick in zip(texts, at_once, strict=True):
+        plain = templates._words(text, templates._Words())
+        assert all(np.array_equal(a, b) for a, b in zip(quick, plain, strict=True)) and len(plain[0]) == len(templates._TOKEN.findall(text))
