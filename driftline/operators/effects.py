@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.nulls import TINY
 from driftline.functions.stats import stable_seed
+from driftline.operators.components import kept
 
 CONFIG = {
     "bootstrap_repetitions": 500,
@@ -20,6 +21,8 @@ CONFIG = {
     "terminal_window": 10,
     "master_seed": 0,
 }
+#: Seeds and times of an effect that one task resamples.
+SEEDS, TIMES = 1024, 64
 SUMMARY = (
     "cumulative_effect_standardised double, cumulative_ci_low double, cumulative_ci_high double, cumulative_effect_raw double, "
     "cumulative_raw_ci_low double, cumulative_raw_ci_high double, baseline_sd double, terminal_effect_standardised double, "
@@ -61,118 +64,133 @@ def mean_effects(pairs: DataFrame, keys, evaluation_start: int) -> DataFrame:
     return raw.join(spread, list(keys)).select(*keys, "raw", "baseline_sd", F.when(F.col("baseline_sd") > TINY, F.col("raw") / F.col("baseline_sd")).alias("standardised"))
 
 
-def first_onset(curve: np.ndarray, significant: np.ndarray, start: int, run: int, times: np.ndarray | None = None) -> int:
-    """The first time (step, without times) from start on that begins `run` significant steps of one sign, or -1."""
-    sign = np.where(significant, np.sign(np.nan_to_num(curve)), 0)
-    times = np.arange(len(sign)) if times is None else times
-    for t in range(len(sign) - run + 1):
-        if times[t] >= start and sign[t] != 0 and (sign[t : t + run] == sign[t]).all():
-            return int(times[t])
-    return -1
-
-
-def _bands(table: pa.Table, keys, config: dict):
-    """The seed-by-time matrices of one effect and everything bootstrapped from them."""
-    seed, time, base, diff = (table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("seed", "time", "baseline", "difference"))
-    seeds, i = np.unique(seed, return_inverse=True)
-    times, j = np.unique(time, return_inverse=True)
-    d, b = np.full((len(seeds), len(times)), np.nan), np.full((len(seeds), len(times)), np.nan)
-    d[i, j], b[i, j] = diff.astype(float), base.astype(float)
-    whole = ~np.isnan(d).any(axis=0)  # times that every seed has
-    d, b, times = d[:, whole], b[:, whole], times[whole]
-    own = b[:, times >= config["evaluation_start"]].ravel()
-    sd = float(np.std(own, ddof=1)) if len(own) > 1 else np.nan
-    # all nodes of one parameter and direction share the draws
-    names = [table[k][0].as_py() for k in keys if k != "node_id"]
-    rng = np.random.default_rng(stable_seed(config["master_seed"], "effect", *names))
-    index = rng.integers(0, len(seeds), size=(config["bootstrap_repetitions"], len(seeds)))
-    boot = d[index].mean(axis=1)
-    return d, times, sd, boot
-
-
-def _summary(table: pa.Table, keys, config: dict) -> dict:
-    d, times, sd, boot = _bands(table, keys, config)
-    late, low = times >= config["evaluation_start"], (1 - config["confidence_level"]) / 2
-    threshold, run, begin = config["minimum_standardised_effect"], config["onset_consecutive_steps"], config["onset_detection_start"]
-    seen = bool(late.any())
-    band = np.quantile(boot[:, late].mean(axis=1), [low, 1 - low]) if seen else [None, None]
-    out = {
-        "cumulative_effect_raw": float(d[:, late].mean()) if seen else None,
-        "cumulative_raw_ci_low": band[0],
-        "cumulative_raw_ci_high": band[1],
-        "baseline_sd": sd,
-        "estimable": seen and bool(np.isfinite(sd) and sd > TINY),
-        "onset_time": -1,
-        "peak_time": -1,
-        "effect_sign": 0,
-        "sign_consistency": None,
-        "significant": False,
-    }
-    if not out["estimable"]:
-        return out
-    s, boot = d / sd, boot / sd
-    mean = s.mean(axis=0)
-    curve = np.quantile(boot, [low, 1 - low], axis=0)
-    onset = first_onset(mean, (curve[0] > threshold) | (curve[1] < -threshold), begin, run, times)
-    onsets = np.array([first_onset(c, np.abs(c) >= threshold, begin, run, times) for c in boot])
-    onsets = onsets[onsets >= 0]
-    by_seed = s[:, late].mean(axis=1)
-    total = float(by_seed.mean())
-    band = np.quantile(boot[:, late].mean(axis=1), [low, 1 - low])
-    sign = int(np.sign(total))
-    return out | {
-        "cumulative_effect_standardised": total,
-        "cumulative_ci_low": float(band[0]),
-        "cumulative_ci_high": float(band[1]),
-        "terminal_effect_standardised": float(mean[-config["terminal_window"] :].mean()),
-        "onset_time": int(onset),
-        "onset_ci_low": float(np.quantile(onsets, low)) if len(onsets) else None,
-        "onset_ci_high": float(np.quantile(onsets, 1 - low)) if len(onsets) else None,
-        "peak_time": int(times[late][np.argmax(np.abs(mean[late]))]),
-        "effect_sign": sign,
-        "sign_consistency": float((np.sign(by_seed) == sign).mean()) if sign else 0.0,
-        "significant": bool(onset >= 0 and (band[0] > threshold or band[1] < -threshold)),
-    }
+def _blocks(pairs: DataFrame, keys: list, start: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the times that every seed of their effect has (keys, seed, time, difference, _i: the seed's place, _n: their number), and each effect's baseline_sd.
 
+    Repeated rows count with their mean, NaN as missing; effects with a null key take no part.
+    """
+    number = lambda c: F.avg(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(c)
+    rows = pairs.groupBy(*keys, "seed", F.col("time").cast("long").alias("time")).agg(number("baseline"), number("difference"))
+    effect = Window.partitionBy(*keys)  # a row for each seed, not for each time
+    places = rows.select(*keys, "seed").distinct().withColumns({"_i": F.row_number().over(effect.orderBy("seed")) - 1, "_n": F.count("*").over(effect)})
+    whole = F.count("difference").over(Window.partitionBy(*keys, "time")) == F.col("_n")
+    rows = kept(rows.join(places, [*keys, "seed"]).withColumn("_whole", whole), "effects")
+    own = F.when(F.col("_whole") & (F.col("time") >= start), F.col("baseline"))
+    return rows.filter("_whole").drop("_whole", "baseline"), rows.groupBy(*keys).agg(F.stddev_samp(own).alias("baseline_sd"))
 
-def effect_summaries(pairs: DataFrame, keys=("scenario", "parameter", "direction", "node_id"), config: dict | None = None) -> DataFrame:
-    """keys and SUMMARY: effects of paired runs with bands from resamples of seeds. A task holds one effect's runs.
 
-    Starts, onsets and peaks are times, not places; times that not every seed has are left out.
+def _resampled(rows: DataFrame, keys: list, config: dict) -> DataFrame:
+    """keys, time, replicate, mean: the mean difference of all seeds, replicate 0, and of resamples of whole seeds.
+
+    A task holds SEEDS seeds at TIMES times of an effect and gives their part of each mean. All nodes of
+    one parameter and direction share the draws, which a task makes anew, a replicate at a time.
     """
-    config = CONFIG | (config or {})
-    keys = list(keys)
-    kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
-    columns = [x.split() for x in SUMMARY.split(", ")]
-    types = {"double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
+    replicates, named = config["bootstrap_repetitions"], [k for k in keys if k != "node_id"]
 
     def run(table: pa.Table) -> pa.Table:
-        found = _summary(table, keys, config)
-        return pa.table({k: table[k].slice(0, 1) for k in keys} | {n: pa.array([found.get(n)], types[t]) for n, t in columns})
+        i, time, diff = (table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("_i", "time", "difference"))
+        n, low = table["_n"][0].as_py(), table["_s"][0].as_py() * SEEDS
+        times, j = np.unique(time, return_inverse=True)
+        part = np.zeros((min(SEEDS, n - low), len(times)))
+        part[i - low, j] = diff
+        rng = np.random.default_rng(stable_seed(config["master_seed"], "effect", *(table[k][0].as_py() for k in named)))
+        weights = np.ones((replicates + 1, len(part)))
+        for r in range(1, replicates + 1):
+            weights[r] = np.bincount(rng.integers(0, n, size=n), minlength=n)[low : low + len(part)]
+        sums = weights @ part / n
+        out = {k: pa.array([table[k][0].as_py()] * sums.size, table[k].type) for k in keys}
+        out |= {"time": np.tile(times, len(sums)), "replicate": np.repeat(np.arange(len(sums), dtype=np.int32), len(times)), "part": sums.ravel()}
+        return pa.table(out)
+
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    dealt = rows.withColumns({"_s": F.floor(F.col("_i") / SEEDS), "_t": F.floor(F.col("time") / TIMES)})
+    parts = dealt.groupBy(*keys, "_s", "_t").applyInArrow(run, f"{kinds}, time long, replicate int, part double")
+    return parts.groupBy(*keys, "time", "replicate").agg(F.sum("part").alias("mean"))
+
+
+def _scale() -> Column:
+    """The baseline's spread, null where it is none to measure by."""
+    return F.when(F.col("baseline_sd") > TINY, F.col("baseline_sd"))
+
+
+def _courses(means: DataFrame, spread: DataFrame, keys: list, config: dict) -> DataFrame:
+    """keys, time, raw, _band of raw means, baseline_sd, significant."""
+    low, limit = (1 - config["confidence_level"]) / 2, config["minimum_standardised_effect"]
+    again = F.when(F.col("replicate") > 0, F.col("mean"))
+    courses = means.groupBy(*keys, "time").agg(F.max(F.when(F.col("replicate") == 0, F.col("mean"))).alias("raw"), F.percentile(again, [low, 1 - low]).alias("_band"))
+    beyond = (F.col("_band")[0] / _scale() > limit) | (F.col("_band")[1] / _scale() < -limit)
+    return courses.join(spread, keys).withColumn("significant", F.coalesce(beyond, F.lit(False)))
+
+
+def _first_run(rows: DataFrame, by: list, sign: Column, config: dict) -> DataFrame:
+    """rows with _starts: its time, if from it on enough steps in a row have one sign."""
+    n = config["onset_consecutive_steps"]
+    ahead = Window.partitionBy(*by).orderBy("time").rowsBetween(0, n - 1)
+    same = (F.min("_sign").over(ahead) == F.max("_sign").over(ahead)) & (F.count("_sign").over(ahead) == n) & (F.col("_sign") != 0)
+    return rows.withColumn("_sign", sign).withColumn("_starts", F.when(same & (F.col("time") >= config["onset_detection_start"]), F.col("time")))
 
-    return pairs.select(*keys, "seed", "time", "baseline", "difference").groupBy(*keys).applyInArrow(run, f"{kinds}, {SUMMARY}")
+
+def effect_summaries(pairs: DataFrame, keys=("scenario", "parameter", "direction", "node_id"), config: dict | None = None) -> DataFrame:
+    """keys and SUMMARY: effects of paired runs with bands from resamples of seeds.
+
+    Means of resamples are made of blocks of seeds and times (_resampled); bands, onsets and peaks are
+    aggregates of them, so no task holds an effect's runs. Starts, onsets and peaks are times, not places;
+    times that not every seed has are left out. What there is of an effect without such times is null.
+    """
+    config, keys = CONFIG | (config or {}), list(keys)
+    low, limit = (1 - config["confidence_level"]) / 2, config["minimum_standardised_effect"]
+    rows, spread = _blocks(pairs, keys, config["evaluation_start"])
+    means = kept(_resampled(rows, keys, config), "effects")
+    late, sd = F.col("time") >= config["evaluation_start"], _scale()
+
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("time"))) <= config["terminal_window"]
+    course = _first_run(_courses(means, spread, keys, config), keys, F.when(F.col("significant"), F.signum("raw")).otherwise(0.0), config)
+    found = course.withColumn("_last", last).groupBy(*keys).agg(
+        F.avg(F.when(late, F.col("raw"))).alias("_raw"),
+        F.avg(F.when(F.col("_last"), F.col("raw"))).alias("_terminal"),
+        F.min("_starts").alias("_onset"),
+        F.min_by("time", F.when(late, F.struct(-F.abs("raw"), "time"))).alias("_peak"),
+    )
+    loud = F.when(F.abs(F.col("mean") / sd) >= limit, F.signum("mean")).otherwise(0.0)
+    again = _first_run(means.filter("replicate > 0").join(spread, keys), [*keys, "replicate"], loud, config)
+    again = again.groupBy(*keys, "replicate").agg(F.avg(F.when(late, F.col("mean"))).alias("_m"), F.min("_starts").alias("_at"))
+    again = again.groupBy(*keys).agg(F.percentile("_m", [low, 1 - low]).alias("_band"), F.percentile("_at", [low, 1 - low]).alias("_onsets"))
+    by_seed = rows.filter(late).groupBy(*keys, "seed").agg(F.avg("difference").alias("_d"))
+    agree = by_seed.join(found.select(*keys, "_raw"), keys).groupBy(*keys).agg(F.avg((F.signum("_d") == F.signum("_raw")).cast("double")).alias("_agree"))
+
+    raw, band = F.col("_raw"), F.col("_band")
+    good = sd.isNotNull() & raw.isNotNull()
+    told = lambda c: F.when(good, c)
+    measures = {
+        "cumulative_effect_standardised": told(raw / sd),
+        "cumulative_ci_low": told(band[0] / sd),
+        "cumulative_ci_high": told(band[1] / sd),
+        "cumulative_effect_raw": raw,
+        "cumulative_raw_ci_low": band[0],
+        "cumulative_raw_ci_high": band[1],
+        "baseline_sd": F.col("baseline_sd"),
+        "terminal_effect_standardised": told(F.col("_terminal") / sd),
+        "onset_time": F.coalesce(told(F.col("_onset")), F.lit(-1)),
+        "onset_ci_low": told(F.col("_onsets")[0]),
+        "onset_ci_high": told(F.col("_onsets")[1]),
+        "peak_time": F.coalesce(told(F.col("_peak")), F.lit(-1)),
+        "effect_sign": F.coalesce(told(F.signum(raw)), F.lit(0.0)),
+        "sign_consistency": told(F.when(raw != 0, F.col("_agree")).otherwise(0.0)),
+        "significant": F.coalesce(told(F.col("_onset").isNotNull() & ((band[0] / sd > limit) | (band[1] / sd < -limit))), F.lit(False)),
+        "estimable": good,
+    }
+    kinds = dict(x.split() for x in SUMMARY.split(", "))
+    out = spread.join(found, keys, "left").join(again, keys, "left").join(agree, keys, "left")
+    return out.select(*keys, *[c.cast(kinds[n]).alias(n) for n, c in measures.items()])
 
 
 def effect_curves(pairs: DataFrame, keys=("scenario", "parameter", "direction", "node_id"), config: dict | None = None) -> DataFrame:
     """keys, time, mean_raw, low_raw, high_raw, mean, low, high, significant: an effect's course with its bands."""
-    config = CONFIG | (config or {})
-    keys = list(keys)
-    kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(table: pa.Table) -> pa.Table:
-        d, times, sd, boot = _bands(table, keys, config)
-        a = (1 - config["confidence_level"]) / 2
-        raw, (low, high) = d.mean(axis=0), np.quantile(boot, [a, 1 - a], axis=0)
-        good = np.isfinite(sd) and sd > TINY
-        t = config["minimum_standardised_effect"]
-        std = [x / sd if good else [None] * len(times) for x in (raw, low, high)]
-        sig = (low / sd > t) | (high / sd < -t) if good else np.zeros(len(times), bool)
-        out = {k: pa.array([table[k][0].as_py()] * len(times), table[k].type) for k in keys}
-        out |= {"time": pa.array(times, pa.int64()), "mean_raw": raw, "low_raw": low, "high_raw": high}
-        return pa.table(out | {n: pa.array(x, pa.float64()) for n, x in zip(("mean", "low", "high"), std, strict=True)} | {"significant": sig})
-
-    return pairs.select(*keys, "seed", "time", "baseline", "difference").groupBy(*keys).applyInArrow(
-        run, f"{kinds}, time long, mean_raw double, low_raw double, high_raw double, mean double, low double, high double, significant boolean"
+    config, keys = CONFIG | (config or {}), list(keys)
+    rows, spread = _blocks(pairs, keys, config["evaluation_start"])
+    raw = {"mean": F.col("raw"), "low": F.col("_band")[0], "high": F.col("_band")[1]}
+    return _courses(_resampled(rows, keys, config), spread, keys, config).select(
+        *keys, "time", *[c.alias(f"{n}_raw") for n, c in raw.items()], *[(c / _scale()).alias(n) for n, c in raw.items()], "significant"
     )
 
 

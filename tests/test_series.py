@@ -7,6 +7,7 @@ import pytest
 
 from driftline.functions import stats
 from driftline.operators import discovery, effects, secondary, windows
+from tests.test_bands import first_onset
 
 
 def test_false_discovery(spark):
@@ -20,7 +21,7 @@ def test_onset(spark):
     df = spark.createDataFrame([(0, t, x, abs(x) >= 0.1) for t, x in enumerate(v)], "k int, time int, value double, flag boolean")
     assert windows.onset(df, ["k"], "flag", "value", 0, 4).first()["onset"] == 3
     assert windows.onset(df, ["k"], "flag", "value", 4, 4).first()["onset"] == -1
-    assert effects.first_onset(np.array(v), np.abs(v) >= 0.1, 0, 4) == 3
+    assert first_onset(np.array(v), np.abs(v) >= 0.1, 0, 4) == 3
 
 
 def test_student_tail():
