@@ -153,3 +153,62 @@ def test_boilerplate_makes_no_large_groups(spark):
     rare = jaccard._by_rare_shingles(nodes, sets, 0.8)
     assert jaccard._sizes(rare.filter("often > 1"), sets).count() == 0
     assert jaccard.keep_one(df).count() == 600
+
+
+def pair_of(r, a, b, both):
+    """Two sets of a and b shingles, as many as `both` in common."""
+    import numpy as np
+
+    x = np.array([r.randrange(1 << 63) for _ in range(a + b - both)], np.uint64)
+    return np.sort(x[:a]), np.sort(np.concatenate([x[:both], x[a:]]))
+
+
+def test_candidates_are_simhash_fingerprints_that_share_a_shard():
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(11)
+    sets = [x for a, b, both in ((4, 5, 4), (12, 15, 12), (80, 100, 80), (450, 450, 400)) for _ in range(60) for x in pair_of(r, a, b, both)]
+    few = sets[-1][:9]
+    bits = np.unpackbits(jaccard.fingerprint(few).view(np.uint8))
+    each = np.array([np.unpackbits(jaccard.fingerprint(few[i : i + 1]).view(np.uint8)) for i in range(9)])
+    assert (bits == (each.sum(axis=0) * 2 > 9)).all()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int64()), pa.array([jaccard.fingerprint(x).tobytes() for x in sets], pa.binary())], ["node", "print"])
+    shards = sorted((row for b in jaccard._to_shards([batch]) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda x: x[0])
+    assert {s >> jaccard.PART for s, _ in shards} == set(range(jaccard.PARTS))
+    held = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*shards, strict=True)], ["shard", "members"])
+    found = {p for b in jaccard._candidates([held]) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert found == {(i + 1, i) for i in range(0, len(sets), 2)}
+
+
+def test_the_tree_finds_what_brute_force_finds(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "ASKED", 7)
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 63, (40, 4), np.uint64)
+    points = base[r.integers(0, 40, 300)]
+    for _ in range(30):  # some bits of each are turned
+        points[np.arange(300), r.integers(0, 4, 300)] ^= np.uint64(1) << r.integers(0, 63, 300).astype(np.uint64)
+    apart = np.bitwise_count(points[:, None] ^ points[None]).sum(axis=2, dtype=int)
+    for reach in (20, 40, 82):
+        want = {(i, j) for i, j in zip(*np.nonzero(apart <= reach), strict=True) if i < j}
+        for leaf in (4, 50, 1000):
+            tree = jaccard.Tree(points, reach, leaf)
+            got = [p for at in range(0, 300, 7) for i, j in tree.near(np.arange(at, min(at + 7, 300))) for p in zip(i.tolist(), j.tolist(), strict=True)]
+            assert len(got) == len(set(got))
+            # of pairs, those are left out whose first two words alone differ in more than five eighths of reach
+            some = np.bitwise_count(points[:, None, :2] ^ points[None, :, :2]).sum(axis=2, dtype=int) <= reach * 5 // 8
+            assert set(got) == {p for p in want if some[p]}
+        nodes = r.permutation(300)
+        member, least = jaccard.shard_links(nodes, points, reach)
+        root = {int(n): int(n) for n in nodes}
+        for _ in range(300):
+            before = dict(root)
+            for i, j in want:
+                if some[i, j]:
+                    a, b = int(nodes[i]), int(nodes[j])
+                    root[a] = root[b] = min(root[a], root[b])
+            if root == before:
+                break
+        assert dict(zip(member.tolist(), least.tolist(), strict=True)) == {n: m for n, m in root.items() if n != m}
