@@ -10,7 +10,7 @@ a reader of metadata, or of a range of documents, reads those pages only.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,9 @@ PAGE_ROWS = 2_000
 REMEMBERED = 700_000
 #: Longer words are encoded each time.
 LONGEST = 64
+#: Words that are encoded at once, and characters of texts whose new words are.
+TOGETHER = 1_000
+AT_ONCE = 1 << 14
 #: Marks that end a word and never join what stands before them.
 MARKS = frozenset(b".,;:!?")
 
@@ -53,24 +56,72 @@ class WordIds(dict):
         self.encode = Tokenizer.from_file(path).encode
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(word) > 1 and word[-1] in MARKS and word[-2] < 128 and chr(word[-2]).isalnum():
+        if _marked(word):
             return self[word[:-1]] + self[word[-1:]]
         ids = self.old.get(word)
         if ids is None:
             ids = np.array(self.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
-                self.old = dict(self)
-                self.clear()
+                self._turn()
             self[word] = ids
         return ids
 
+    def _turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Encode the words not yet known, many in one call, which takes little more than half the time of a call for each."""
+        bare = {}
+        for word in words:
+            while _marked(word):
+                word = word[:-1]
+            if len(word) <= LONGEST and word not in self and word not in self.old:
+                bare[word] = None
+        new = list(bare)
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            found = self.encode([w.decode("utf-8") for w in some], is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(found.ids, "<u4").tobytes()
+            ends = (4 * np.searchsorted(found.word_ids, np.arange(len(some) + 1))).tolist()
+            if len(self) + len(some) > REMEMBERED:
+                self._turn()
+            self.update(zip(some, [raw[s:e] for s, e in zip(ends, ends[1:], strict=False)], strict=True))
+
     def text(self, text: str | None) -> bytes:
-        raw = (text or "").encode("utf-8")
-        if b"<|" not in raw:  # special tokens are told by their case
-            raw = raw.lower()
-        # bytes.split takes ASCII white space only; whatever other space there is stays in a word, for the tokenizer
-        return b"".join(map(self.__getitem__, raw.split()))
+        return b"".join(map(self.__getitem__, _split(text)))
+
+    def texts(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """text() of each; the new words of some AT_ONCE characters are encoded together."""
+        held, size = [], 0
+        for text in texts:
+            held.append(_split(text))
+            size += len(text or "")
+            if size >= AT_ONCE:
+                yield from self._known(held)
+                held, size = [], 0
+        yield from self._known(held)
+
+    def _known(self, split: list[list[bytes]]) -> list[bytes]:
+        found = [list(map(self.get, words)) for words in split]
+        some = [i for i, ids in enumerate(found) if None in ids]
+        self.learn(dict.fromkeys(w for i in some for w, ids in zip(split[i], found[i], strict=True) if ids is None))
+        for i in some:
+            found[i] = [self[w] if ids is None else ids for w, ids in zip(split[i], found[i], strict=True)]
+        return [b"".join(ids) for ids in found]
+
+
+def _marked(word: bytes) -> bool:
+    return len(word) > 1 and word[-1] in MARKS and word[-2] < 128 and chr(word[-2]).isalnum()
+
+
+def _split(text: str | None) -> list[bytes]:
+    raw = (text or "").encode("utf-8")
+    if b"<|" not in raw:  # special tokens are told by their case
+        raw = raw.lower()
+    # bytes.split takes ASCII white space only; whatever other space there is stays in a word, for the tokenizer
+    return raw.split()
 
 
 _loaded: dict[str, WordIds] = {}
@@ -88,7 +139,7 @@ def _encode(path: str, end_id: int):
         words, end = word_ids(path), np.array([end_id], "<u4").tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for batch in slices(batches):
-            raw = [words.text(t.as_py()) + end for t in batch.column(1)]
+            raw = [ids + end for ids in words.texts(t.as_py() for t in batch.column(1))]
             n = np.array([len(r) // 4 for r in raw], np.int64)
             ends = np.cumsum(n)
             offsets = pa.array(np.append(0, ends).astype(np.int32))

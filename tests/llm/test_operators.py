@@ -375,3 +375,19 @@ def test_toxicity_held_out_accuracy_and_odd_texts(spark):
     kept = {r["doc_id"] for r in toxicity.keep_below(test, model).collect()}
     assert kept == {i for i, s in got.items() if s < 0.7}
     assert {r["score"] for r in toxicity.toxicity_scores(test, toxicity.fit(train.limit(0))).collect()} == {0.5}
+
+
+def test_new_words_are_encoded_in_few_calls_with_the_same_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 300)
+    monkeypatch.setattr(tokens, "AT_ONCE", 2000)
+    monkeypatch.setattr(tokens, "TOGETHER", 50)
+    known = tokens.WordIds(tokens.default_tokenizer())
+    plain, calls = known.encode, []
+    known.encode = lambda *a, **k: calls.append(a) or plain(*a, **k)
+    texts = [" ".join(f"w{i}x{k}{'.,'[: k % 3]} Ünë{i}" for k in range(20)) for i in range(40)]
+    texts += [None, "", " \n", "...", "a.,", "no break   space", "<|endoftext|> A<|endoftext|>b Word", "x" * 200 + "!", "é ퟿ 你好,世界"]
+    want = [np.array(plain(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for _ in range(2):
+        assert list(known.texts(texts)) == want
+    # a call for each word before: more than 800
+    assert len(calls) < 150
