@@ -9,8 +9,11 @@ a reader of metadata, or of a range of documents, reads those pages only.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ END_ID = 1
 ROW_GROUP_BYTES = 16 << 20
 PAGE_ROWS = 2_000
 #: Words whose ids a worker remembers, twice over: a full generation becomes the old one.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 #: Longer words are encoded each time.
 LONGEST = 64
 #: Words that are encoded at once, and characters of texts whose new words are.
@@ -32,6 +35,7 @@ TOGETHER = 1_000
 AT_ONCE = 1 << 14
 #: Marks that end a word and never join what stands before them.
 MARKS = frozenset(b".,;:!?")
+_ID = attrgetter("id")
 
 
 def default_tokenizer() -> str:
@@ -45,7 +49,9 @@ class WordIds(dict):
 
     For tokenizers that lower-case, drop white space and never join what it separates, as word_bpe
     does: the ids of a text are then those of its words, one after the other, and each word needs
-    encoding once. A mark after a letter or digit is a token of its own there as well.
+    encoding once. A mark after a letter or digit is a token of its own there as well. Of a word of
+    plain letters (see _letters) the tokenizer's steps before its model would change nothing, so that
+    the model alone is asked, in a third of the time; signs at its end are looked up by themselves.
     """
 
     def __init__(self, path: str):
@@ -53,20 +59,45 @@ class WordIds(dict):
 
         super().__init__()
         self.old: dict[bytes, bytes] = {}
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model = tokenizer.encode, tokenizer.model
+        self.letters, signs = _letters(tokenizer)
+        self.same = all(chr(c) == read for c, read in self.letters.items() if c < 128)
+        self.plain = re.compile(f"([{''.join(map(chr, self.letters))}]+)([{re.escape(signs)}]*)" if self.letters else "(?!)()()")
+        self.waiting: list[bytes] | None = None  # within texts(): new words that learn() is to encode together
 
     def __missing__(self, word: bytes) -> bytes:
-        if _marked(word):
-            return self[word[:-1]] + self[word[-1:]]
         ids = self.old.get(word)
-        if ids is None:
-            ids = np.array(self.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+        if ids is None and (found := self.plain.fullmatch(word.decode("utf-8").lower())):
+            core, signs = found.groups()
+            ids = self._signed(core, signs) if signs else self._of_model(core)
+        elif ids is None and _marked(word):
+            return self[word[:-1]] + self[word[-1:]]
+        elif ids is None and self.waiting is not None:
+            self.waiting.append(word)
+            return b""
+        elif ids is None:
+            ids = self._whole(word)
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self._turn()
             self[word] = ids
         return ids
 
+    def _of_model(self, core: str) -> bytes:
+        ids = [*map(_ID, self.model.tokenize(core if core.isascii() and self.same else core.translate(self.letters)))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _signed(self, core: str, signs: str) -> bytes:
+        end = signs.encode()
+        ids = self.get(end) or self.old.get(end) or self._whole(end)
+        if len(end) <= LONGEST:
+            self[end] = ids
+        return self[core.encode()] + ids
+
+    def _whole(self, word: bytes) -> bytes:
+        return np.array(self.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+
     def _turn(self) -> None:
         self.old = dict(self)
         self.clear()
@@ -93,23 +124,48 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, _split(text)))
 
     def texts(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """text() of each; the new words of some AT_ONCE characters are encoded together."""
+        """text() of each; the new words of some AT_ONCE characters that are not plain letters are encoded together."""
         held, size = [], 0
         for text in texts:
-            held.append(_split(text))
+            held.append(text)
             size += len(text or "")
             if size >= AT_ONCE:
                 yield from self._known(held)
                 held, size = [], 0
         yield from self._known(held)
 
-    def _known(self, split: list[list[bytes]]) -> list[bytes]:
-        found = [list(map(self.get, words)) for words in split]
-        some = [i for i, ids in enumerate(found) if None in ids]
-        self.learn(dict.fromkeys(w for i in some for w, ids in zip(split[i], found[i], strict=True) if ids is None))
-        for i in some:
-            found[i] = [self[w] if ids is None else ids for w, ids in zip(split[i], found[i], strict=True)]
-        return [b"".join(ids) for ids in found]
+    def _known(self, texts: list[str | None]) -> list[bytes]:
+        self.waiting, found, again = [], [], []
+        for i, text in enumerate(texts):
+            n = len(self.waiting)
+            found.append(self.text(text))
+            if len(self.waiting) > n:
+                again.append(i)
+        new, self.waiting = self.waiting, None
+        self.learn(new)
+        for i in again:
+            found[i] = self.text(texts[i])
+        return found
+
+
+def _letters(tokenizer) -> tuple[dict[int, str], str]:
+    """What the model reads for each of the lower-case letters that the steps before it leave whole, and signs that these steps part from letters before.
+
+    Asked of the tokenizer's own normalizer and pre-tokenizer, for all pairs of letters; none if some pair is parted.
+    """
+    if tokenizer.pre_tokenizer is None:
+        return {}, ""
+
+    def pieces(text: str) -> list[str]:
+        text = tokenizer.normalizer.normalize_str(text) if tokenizer.normalizer else text
+        return [piece for piece, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    letters = [c for c in map(chr, range(256)) if c.isalpha() and c.islower()]
+    reads = {ord(c): got[0] for c in letters if len(got := pieces(c)) == 1}
+    pairs = "".join(chr(a) + chr(b) for a in reads for b in reads)
+    if pieces(pairs) != [pairs.translate(reads)]:
+        return {}, ""
+    return reads, "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and len(pieces(f"a{c}")) == len(pieces(f"a{c}{c}")) == 2)
 
 
 def _marked(word: bytes) -> bool:

@@ -391,3 +391,19 @@ def test_new_words_are_encoded_in_few_calls_with_the_same_ids(monkeypatch):
         assert list(known.texts(texts)) == want
     # a call for each word before: more than 800
     assert len(calls) < 150
+
+
+def test_plain_words_ask_the_model_alone_with_the_same_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 300)
+    known = tokens.WordIds(tokens.default_tokenizer())
+    plain, calls = known.encode, []
+    known.encode = lambda *a, **k: calls.append(a) or plain(*a, **k)
+    part = ["wort", "ÇIÓN", "straße", "ǅ", "ﬁn", "ét", "İs", "KelvinK", "n'", "'ll", "d's", "x9"]
+    texts = [" ".join(f"{a}{b}{sign}" for b in part[:4] for sign in ("", ".", "?!", "$$$", "'", "''")) for a in part]
+    texts += [" ".join(f"{a}{b}" for b in part) for a in part] + [" ".join(f"q{'abcdefghij'[i % 10] * (i // 10 + 1)}." for i in range(400))]
+    texts += ["A<| É<|endoftext|>é. naïve<|", "a.b. c<|startoftext|>.", "é" * 100 + "###" * 40, "\x1cab ab\x1f. a b."]
+    want = [np.array(plain(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for _ in range(2):
+        assert list(known.texts(texts)) == [known.text(t) for t in texts] == want
+    calls.clear()
+    assert list(known.texts([" ".join(f"nouveau{a}{b}" for a in "abcdefghé" for b in "abcdefghé")]))[0] and not calls
