@@ -36,7 +36,7 @@ CALIBRATION_ROWS = 3_000
 FIT_BYTES = 64 << 20
 MODEL_PAIRS = 1 << 23
 #: Parts in which pairs come to the driver, a power of two.
-PARTS = 8
+PARTS = 16
 #: Powers of the mean, and shares of what a pair tells beyond its second word, that the calibration chooses from.
 POWERS = (0.0, 1.0, 2.0, 4.0)
 PAIR_SHARES = (0.25, 0.5, 1.0)
@@ -107,9 +107,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + self.weights[1] * measures, -30, 30)))
 
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 0, 1, 2, 3 and more."""
-    n = np.bincount(np.minimum(counts, 5), minlength=6)[1:5].astype(float)
+@dataclass
+class Pairs:
+    """The pair counts of a model, which come to the driver a range of first words at a time."""
+
+    n: int
+    times: dict[str, list[int]]  # of c0, c1 and both: how many pairs have a count of 1, 2, 3 and 4
+    parts: Iterator[dict[str, np.ndarray]]  # key, c0, c1; ascending by key, all pairs of a first word in one part
+
+
+def _discounts(n: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts of counts 0, 1, 2, 3 and more, from how many counts are 1, 2, 3 and 4."""
+    n = np.asarray(n, float)
     if (n == 0).any():
         return np.array([0, 0.75, 0.75, 0.75])
     y = n[0] / (n[0] + 2 * n[1])
@@ -117,8 +126,8 @@ def _discounts(counts: np.ndarray) -> np.ndarray:
     return np.clip(found, [0, 0.1, 0.1, 0.1], [0, 0.98, 1.9, 2.9])
 
 
-def build(words: dict[str, np.ndarray], pairs: dict[str, np.ndarray]) -> Model:
-    """The models from adjusted counts.
+def build(words: dict[str, np.ndarray], pairs: Pairs) -> Model:
+    """The models from adjusted counts; of pairs only key and ratio are held whole, 12 bytes each.
 
     words: h (hash, ascending), c0, c1 (distinct words before it in each class), left (over both).
     pairs: key (place of the first word * (words + 1) + place of the second, ascending), c0, c1 (occurrences
@@ -126,30 +135,42 @@ def build(words: dict[str, np.ndarray], pairs: dict[str, np.ndarray]) -> Model:
     """
     hashes, size = words["h"], len(words["h"])
     shared = (np.append(words["left"], 0) + 1.0) / (words["left"].sum() + size + 1.0)
-    a, b = (x.astype(np.int32) for x in np.divmod(pairs["key"], np.int64(size + 1)))
-
-    def discounted(own: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Share of each pair among those of its first word, and what the discounts leave of each first word."""
-        off = _discounts(own).astype(np.float32)
-        less = np.maximum(own - off[np.minimum(own, 3).astype(int)], 0).astype(np.float32)
-        # pairs without a count of their own are one event after each word
-        total = np.maximum(np.bincount(a, own, size + 1), least) + 1.0
-        less /= total.astype(np.float32)[a]
-        return less, np.maximum(1 - np.bincount(a, less, size + 1), 1e-3).astype(np.float32)
-
-    both, rest = discounted(pairs["c0"] + pairs["c1"], np.append(words["left"], 0))
-    word, after, pair = [], [], []
+    least = {k: np.append(words[w], 0).astype(float) for k, w in (("both", "left"), ("c0", "c0"), ("c1", "c1"))}
+    word, own_p, after = [], [], [np.ones(size + 1, np.float32) for _ in (0, 1)]
     for c in (0, 1):
-        count = np.append(words[f"c{c}"], 0).astype(float)
-        off = _discounts(words[f"c{c}"])
+        count = least[f"c{c}"]
+        off = _discounts(np.bincount(np.minimum(words[f"c{c}"], 5), minlength=6)[1:5])
         less = np.maximum(count - off[np.minimum(count, 3).astype(int)], 0)
         total = max(count.sum(), 1.0)
         p = less / total + (1 - less.sum() / total) * shared
-        high, low = discounted(pairs[f"c{c}"], count)
         word.append(np.log(p))
-        after.append(np.log(low))
-        pair.append(np.log(high + low[a] * (both + rest[a] * p.astype(np.float32)[b])))
-    return Model(hashes, word[1] - word[0], after[1] - after[0], pairs["key"], pair[1] - pair[0])
+        own_p.append(p.astype(np.float32))
+    offs = {k: _discounts(n).astype(np.float32) for k, n in pairs.times.items()}
+    key, pair, at = np.empty(pairs.n, np.int64), np.empty(pairs.n, np.float32), 0
+    for part in pairs.parts:
+        if not len(part["key"]):
+            continue
+        a, b = np.divmod(part["key"], np.int64(size + 1))
+        lo, hi = int(a[0]), int(a[-1]) + 1
+        a -= lo
+
+        def discounted(kind: str, own: np.ndarray, a=a, lo=lo, hi=hi) -> tuple[np.ndarray, np.ndarray]:
+            """Share of each pair among those of its first word, and what the discounts leave of each first word."""
+            less = np.maximum(own - offs[kind][np.minimum(own, 3)], 0).astype(np.float32)
+            # pairs without a count of their own are one event after each word
+            total = np.maximum(np.bincount(a, own, hi - lo), least[kind][lo:hi]) + 1.0
+            less /= total.astype(np.float32)[a]
+            return less, np.maximum(1 - np.bincount(a, less, hi - lo), 1e-3).astype(np.float32)
+
+        both, rest = discounted("both", part["c0"] + part["c1"])
+        ratio = []
+        for c in (0, 1):
+            high, low = discounted(f"c{c}", part[f"c{c}"])
+            after[c][lo:hi] = low
+            ratio.append(np.log(high + low[a] * (both + rest[a] * own_p[c][b])))
+        key[at : at + len(a)], pair[at : at + len(a)] = part["key"], ratio[1] - ratio[0]
+        at += len(a)
+    return Model(hashes, word[1] - word[0], np.log(after[1]) - np.log(after[0]), key[:at], pair[:at])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,19 +204,23 @@ def _taken(counts: DataFrame, keys: list[str]) -> dict[str, np.ndarray]:
     return {c: found[c].to_numpy() for c in found.column_names}
 
 
-def _taken_pairs(counts: DataFrame, hashes: np.ndarray) -> dict[str, np.ndarray]:
-    """key, c0, c1 of the pairs of known words, ascending by key; fetched a range of hashes at a time to stay small."""
-    parts = []
-    for i in range(PARTS):
-        part = _taken(counts.filter(F.shiftrightunsigned("a", 64 - PARTS.bit_length() + 1) == i), ["a", "b"])
-        first, second = part["a"].view(np.uint64), part["b"].view(np.uint64)
-        a, b = np.searchsorted(hashes, first), np.searchsorted(hashes, second)
-        known = np.flatnonzero((a < len(hashes)) & (b < len(hashes)))
-        known = known[(hashes[a[known]] == first[known]) & (hashes[b[known]] == second[known])]
-        key = a[known] * np.int64(len(hashes) + 1) + b[known]
-        order = np.argsort(key)
-        parts.append({"key": key[order]} | {c: part[c][known][order] for c in ("c0", "c1")})
-    return {c: np.concatenate([x[c] for x in parts]) for c in ("key", "c0", "c1")}
+def _pairs(counts: DataFrame, hashes: np.ndarray) -> Pairs:
+    """The pairs of known words; a range of hashes is fetched when the one before is done with."""
+
+    def parts() -> Iterator[dict[str, np.ndarray]]:
+        for i in range(PARTS):
+            part = _taken(counts.filter(F.shiftrightunsigned("a", 64 - PARTS.bit_length() + 1) == i), ["a", "b"])
+            first, second = part["a"].view(np.uint64), part["b"].view(np.uint64)
+            a, b = np.searchsorted(hashes, first), np.searchsorted(hashes, second)
+            known = np.flatnonzero((a < len(hashes)) & (b < len(hashes)))
+            known = known[(hashes[a[known]] == first[known]) & (hashes[b[known]] == second[known])]
+            key = a[known] * np.int64(len(hashes) + 1) + b[known]
+            order = np.argsort(key)
+            yield {"key": key[order]} | {c: part[c][known][order] for c in ("c0", "c1")}
+
+    kinds = {"c0": F.col("c0"), "c1": F.col("c1"), "both": F.col("c0") + F.col("c1")}
+    got = counts.agg(F.count("*").alias("n"), *[F.count_if(own == i).alias(f"{k}{i}") for k, own in kinds.items() for i in range(1, 5)]).first()
+    return Pairs(got["n"], {k: [got[f"{k}{i}"] for i in range(1, 5)] for k in kinds}, parts())
 
 
 def _share(u: Column, numbers: dict, most: float, at: float, cap: int) -> Column:
@@ -242,7 +267,7 @@ def fit(
             .agg(*[F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in (0, 1)])
         )
         pairs = materialize(pairs, "toxicity-pairs", tag)
-        if pairs.limit(MODEL_PAIRS + 1).count() <= MODEL_PAIRS:
+        if pairs.count() <= MODEL_PAIRS:
             break
         kept >>= 1
     words = pairs.groupBy("b").agg(F.count_if(F.col("c0") > 0).alias("c0"), F.count_if(F.col("c1") > 0).alias("c1"), F.count("*").alias("left"))
@@ -250,7 +275,7 @@ def fit(
     words["h"] = words.pop("b").view(np.uint64)
     order = np.argsort(words["h"])
     words = {k: v[order] for k, v in words.items()}
-    model = build(words, _taken_pairs(pairs.filter(F.col("a") != 0), words["h"]))
+    model = build(words, _pairs(pairs.filter(F.col("a") != 0), words["h"]))
     sent = pairs.sparkSession.sparkContext.broadcast(model)
     ways = [(power, share) for share in PAIR_SHARES for power in POWERS]
     found = _measured(sample.filter("NOT counts").select("text", "label"), sent, ways).select("label", "f").toPandas()

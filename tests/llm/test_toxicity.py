@@ -146,3 +146,19 @@ def test_too_many_pairs_shrink_the_sample_not_the_model(spark, monkeypatch):
     assert 0 < len(less.pairs) < len(whole.pairs)
     monkeypatch.setattr(toxicity, "FIT_BYTES", 100)
     assert len(toxicity.fit(df).pairs) < len(less.pairs)
+
+
+def test_the_driver_holds_keys_and_ratios_of_pairs_alone(spark):
+    import tracemalloc
+
+    r = random.Random(4)
+    df = spark.createDataFrame([(i, " ".join(f"w{r.randrange(2_000)}" for _ in range(500)), i % 2) for i in range(1_600)], "doc_id long, text string, label int")
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(df)
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    # all counts at once and what is made of them were 76 bytes a pair and more
+    assert len(model.pairs) > 400_000 and peak < 32 * len(model.pairs)
+    assert (np.diff(model.pairs) > 0).all() and np.isfinite(model.pair).all()
